@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media_ts, packing, token_store, warc
-from .common import materialise, scratch, table
+from pyspark.sql import functions as F
+
+from . import decontaminate, jaccard_join, language_rank, media_ts, packing, quality_knn, token_store, warc
+from .common import held_out_expr, materialise, scratch, table
 
 
 def op2_warc_normalise(spark, sf_dir):
@@ -11,12 +13,30 @@ def op2_warc_normalise(spark, sf_dir):
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_quality_knn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality_knn.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_knn.score(docs, model)
+    return scored.select("doc_id", F.expr(held_out_expr()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_ngram_jaccard(spark, sf_dir):
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark, sf_dir):
     path = scratch(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), path)
     return token_store.read_store(spark, path)
 
 
+def op6_language_rank(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_rank.learn(language_rank.training_rows(docs))
+    found = language_rank.predict(docs, profiles)
+    return found.select("doc_id", F.expr(held_out_expr()).alias("held_out"), "lang_pred", "score")
+
+
 def op7_vector_pack(spark, sf_dir):
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -36,4 +56,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_normalise": warc.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
+    return {"op2_warc_normalise": warc.ORACLE, "op4_ngram_jaccard": jaccard_join.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
