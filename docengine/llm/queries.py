@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_rank, media_ts, packing, quality_knn, token_store, warc
+from . import decontaminate, jaccard_join, language_rank, license_dice, media_ts, packing, pii_crf, quality_knn, token_store, warc
 from .common import held_out_expr, materialise, scratch, table
 
 
+def op1_pii_crf(spark, sf_dir):
+    return pii_crf.find(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_normalise(spark, sf_dir):
     read = warc.round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,6 +46,10 @@ def op7_vector_pack(spark, sf_dir):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_license_dice(spark, sf_dir):
+    return license_dice.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_normalise": warc.ORACLE, "op4_ngram_jaccard": jaccard_join.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
+    return {"op2_warc_normalise": warc.ORACLE, "op4_ngram_jaccard": jaccard_join.ORACLE, "op8_license_dice": license_dice.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
