@@ -77,7 +77,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 # ---- the labelled table
 
-CUES = ("at", "dot", "[at]", "(at)", "[dot]", "(dot)", "com", "org", "net", "email", "mail", "e-mail", "phone", "tel", "call", "mobile", "fax", "card", "visa", "number", "no", "mr", "mrs", "ms", "dr", "name", "is", "my", "contact", "ip", "host", "version", "token", "from")
+CUES = ("at", "dot", "[at]", "(at)", "[dot]", "(dot)", "com", "org", "net", "email", "mail", "e-mail", "phone", "tel", "call", "mobile", "fax", "card", "visa", "number", "no", "mr", "mr.", "mrs", "mrs.", "ms.", "dr", "dr.", "tel.", "name", "is", "my", "contact", "ip", "host", "version", "token", "from")
 
 
 def labelled_rows(n: int = 900, seed: int = 11) -> list[tuple[list[str], list[str]]]:
@@ -109,6 +109,10 @@ def labelled_rows(n: int = 900, seed: int = 11) -> list[tuple[list[str], list[st
             return [f"{num(4)}-{num(2)}-{num(2)}"]
         if k < 0.95:
             return ["token", "=", '"' + "".join(r.choice("0123456789abcdef") for _ in range(40)) + '"']
+        if k < 0.96:
+            if r.random() < 0.4:
+                return [cap() + r.choice(["", ".", ","])] * r.randint(3, 8)
+            return [word(), "is" + r.choice([".", "", ":", ","]), cap() + r.choice(["", ".", ","]), cap()]
         if k < 0.97:
             return [r.choice(("at", "dot", "is", "from", "my", "no", "net", "name", "call", "mail", "number", "card", "contact"))]
         return [word() + "-" + word(), f"({word()})"][r.randint(0, 1) :][:1]
@@ -125,8 +129,8 @@ def labelled_rows(n: int = 900, seed: int = 11) -> list[tuple[list[str], list[st
             return kind, r.choice([["-".join(g)], g, ["".join(g)], [".".join(g)]]), r.choice([[], ["card"], ["card", "number"], ["Visa"]])
         if kind == "phone":
             a, b, c = num(3), num(3), num(4)
-            return kind, r.choice([[f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"{a}.{b}.{c}"], [f"+{num(1)}", f"({a})", f"{b}-{c}"], [f"+{num(2)}", a, b, c]]), r.choice([[], ["call"], ["tel:"], ["phone"], ["Phone:"], ["mobile"]])
-        return kind, [cap() for _ in range(r.randint(1, 3))], r.choice([["Mr."], ["Mrs."], ["Dr."], ["Ms."], ["my", "name", "is"], ["My", "name", "is"], ["Name:"], ["Contact:"]])
+            return kind, r.choice([[f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"{a}-{b}-{c}"], [f"{a}.{b}.{c}"], [f"+{num(1)}", f"({a})", f"{b}-{c}"], [f"+{num(2)}", a, b, c]]), r.choice([[], ["call"], ["tel:"], ["phone"], ["Phone:"], ["mobile"]])
+        return kind, [cap() for _ in range(r.randint(1, 3))], r.choice([["my", "name", "is"], ["Mr."], ["Mrs."], ["Dr."], ["Ms."], ["my", "name", "is"], ["My", "name", "is"], ["Name:"], ["Contact:"]])
 
     rows = []
     for i in range(n):
@@ -155,10 +159,12 @@ _DIGIT[48:58] = True
 
 
 def raw_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shape hash, digits 0..7+, cue hash) of each word; one closing mark is not part of them."""
-    ends = ends - ((ends - starts > 1) & _MARKS[data[ends - 1]]) if len(ends) else ends
+    """(shape hash, digits 0..7+, cue hash) of each word without one closing mark; a full stop stays part of a cue."""
+    last = data[ends - 1]
+    whole, ends = ends, ends - ((ends - starts > 1) & _MARKS[last])
+    cue_ends = np.where(last == 0x2E, whole, ends)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    return shape_hashes(data, starts, ends), np.minimum(digits[ends] - digits[starts], 7), span_hashes(LOWER[data], starts, ends)
+    return shape_hashes(data, starts, ends), np.minimum(digits[ends] - digits[starts], 7), span_hashes(LOWER[data], starts, cue_ends)
 
 
 _CUE_HASHES = None
@@ -239,7 +245,7 @@ class Field:
         return labels
 
 
-def train(rows=None, rounds: int = 220, rate: float = 0.15, ridge: float = 2e-4) -> Field:
+def train(rows=None, rounds: int = 160, rate: float = 0.2, ridge: float = 2e-4) -> Field:
     """Maximum likelihood by forward-backward and Adam, from (words, labels) rows."""
     rows = rows or labelled_rows()
     text = "\n".join(" ".join(w) for w, _ in rows).encode()
@@ -332,7 +338,8 @@ def plausible(kind: str, found: str) -> bool:
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 9 <= len(digits) <= 15 and not re.search(r"[^\s0-9().+/-]", found)
-    return all(x[:1].isupper() for x in found.split()) and not digits
+    parts = found.split()
+    return 1 <= len(parts) == len(set(parts)) <= 4 and all(x[:1].isupper() and x[1:].islower() and x.isalpha() for x in parts)
 
 
 def field_spans(field: Field, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[str, int, int]]]:
