@@ -36,11 +36,10 @@ def _pieces(path: str, capacity: int, separator: int):
     tail = np.array([separator], "<u4").tobytes()
 
     def run(batches):
-        encode = tokens.encoder(path)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                data, doc_id = encode(text.as_py()) + tail, doc_id.as_py()
+            rows, doc_ids = [], batch.column(0).to_pylist()
+            for row, ids in tokens.encoded(batch, path):
+                data, doc_id = ids.astype("<u4").tobytes() + tail, doc_ids[row]
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))

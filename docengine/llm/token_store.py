@@ -112,13 +112,11 @@ def _cut_documents(path: str, end_id: int, width: int):
     dtype = "<u2" if width == 2 else "<u4"
 
     def run(batches):
-        encode = tokens.encoder(path)
         for batch in batches:
-            ids_col, texts = batch.column(0), batch.column(1)
             out = {k: [] for k in ("n_tokens", "names", "root", "chunks")}
             seen: set[bytes] = set()
-            for text in texts:
-                ids = np.append(np.frombuffer(encode(text.as_py()), "<u4"), np.uint32(end_id))
+            for _, ids in tokens.encoded(batch, path):
+                ids = np.append(ids, np.uint32(end_id))
                 packed, names, fresh, last = ids.astype(dtype), [], [], 0
                 for end in cut_points(ids):
                     data = packed[last:end].tobytes()
@@ -134,7 +132,7 @@ def _cut_documents(path: str, end_id: int, width: int):
                 out["chunks"].append(fresh)
             chunk = pa.struct([("name", pa.binary()), ("ids", pa.binary())])
             yield pa.RecordBatch.from_arrays(
-                [ids_col, pa.array(out["n_tokens"], pa.int64()), pa.array(out["names"], pa.list_(pa.binary())), pa.array(out["root"], pa.binary()), pa.array(out["chunks"], pa.list_(chunk))],
+                [batch.column(0), pa.array(out["n_tokens"], pa.int64()), pa.array(out["names"], pa.list_(pa.binary())), pa.array(out["root"], pa.binary()), pa.array(out["chunks"], pa.list_(chunk))],
                 names=["doc_id", "n_tokens", "names", "root", "chunks"],
             )
 

@@ -1,20 +1,33 @@
-"""Token ids of whole texts by a public vocabulary, with a bounded memo of words.
+"""Token ids of whole texts by a public vocabulary, word by word.
 
-The vocabulary drops white space and never merges across it, so a text's ids are the ids of its
-blank-separated pieces in order; each distinct piece goes through the tokenizers library once per
-worker and memo generation.
+The vocabulary drops white space, folds case and never merges across blanks, nor between a letter or
+digit and a mark.  So a text's ids are those of its blank-separated words in order, with A-Z folded and a
+closing full stop or comma taken as a word of its own.  Words are found and hashed for a whole slice of
+texts at once; each distinct word goes through the tokenizers library once per worker and memo
+generation, and the slice's ids are gathered from the memo.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: Entries kept per worker before the memo starts anew (about 150 bytes each).
-MEMO_ENTRIES = 600_000
+from .common import LOWER, span_hashes, text_slices, word_spans
+
+#: Words kept per worker before the memo starts anew (about 200 bytes each).
+MEMO_WORDS = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
 
+_BLANKS = np.ones(256, bool)
+_BLANKS[[0x20, 0x0A]] = False
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_CLOSING = np.zeros(256, bool)
+_CLOSING[[0x2E, 0x2C]] = True
+
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -22,41 +35,85 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class WordMemo(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers; asks the library on a miss."""
+class Encoder:
+    """Ids of slices of texts. Equal to the library's own encode(text, add_special_tokens=False)."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        value = np.array(ids, "<u4").tobytes()
-        # Text between blanks has no natural bound; only ordinary words are worth keeping.
-        if len(piece) <= 64:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[piece] = value
-        return value
-
-
-_MEMOS: dict[str, WordMemo] = {}
-
-
-def encoder(path: str):
-    """A function text -> bytes of little-endian u32 ids; null and empty texts give no ids."""
-    memo = _MEMOS.get(path)
-    if memo is None:
-        memo = _MEMOS[path] = WordMemo(path)
-    memo[""] = b""
-
-    def encode(text: str | None) -> bytes:
-        if not text:
-            return b""
-        memo[""] = b""
-        return b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" ")))
-
-    return encode
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.pool, self.starts, self.lens = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        for lo in range(0, len(words), 4096):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)]
+            lens = np.fromiter(map(len, found), np.int64, len(found))
+            total, k = int(lens.sum()), len(self.known)
+            while self.used + total > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            while k + len(found) > len(self.starts):
+                self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+            self.pool[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+            self.starts[k : k + len(found)] = self.used + np.cumsum(lens) - lens
+            self.lens[k : k + len(found)] = lens
+            self.known.update(zip(hashes[lo : lo + 4096], range(k, k + len(found)), strict=True))
+            self.used += total
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): text i of the slice has ids[bounds[i]:bounds[i + 1]]."""
+        starts, ends, first = word_spans(data, offsets, _BLANKS)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        mark = (ends - starts > 1) & _CLOSING[data[ends - 1]] & _ALNUM[data[np.maximum(ends - 2, 0)]]
+        place = np.arange(len(starts)) + np.cumsum(mark) - mark
+        total = len(starts) + int(mark.sum())
+        s, e = np.empty(total, np.int64), np.empty(total, np.int64)
+        s[place], e[place] = starts, ends - mark
+        s[place[mark] + 1], e[place[mark] + 1] = ends[mark] - 1, ends[mark]
+        first = np.append(place, total)[first]
+        folded = LOWER[data]
+        # Special tokens are matched before case is folded: words that may hold one stay as they are.
+        opening = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        for w in np.unique(np.searchsorted(starts, opening, "right") - 1).tolist():
+            folded[starts[w] : ends[w]] = data[starts[w] : ends[w]]
+        hashes, at, which = np.unique(span_hashes(folded, s, e), return_index=True, return_inverse=True)
+        if len(self.known) + len(hashes) > MEMO_WORDS:
+            self.forget()
+        keys = hashes.tolist()
+        numbers = list(map(self.known.get, keys))
+        missing = [i for i, n in enumerate(numbers) if n is None]
+        if missing:
+            raw = folded.tobytes()
+            self._learn([keys[i] for i in missing], [raw[s[at[i]] : e[at[i]]].decode() for i in missing])
+            for i in missing:
+                numbers[i] = self.known[keys[i]]
+        numbers = np.array(numbers)[which]
+        lens = self.lens[numbers]
+        bounds = np.concatenate([[0], np.cumsum(lens)])
+        ids = self.pool[np.repeat(self.starts[numbers] - bounds[:-1], lens) + np.arange(bounds[-1])]
+        return ids, bounds[first]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder, with its memo, per worker and vocabulary."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def encoded(batch: pa.RecordBatch, path: str, column: str = "text") -> Iterator[tuple[int, np.ndarray]]:
+    """(row, ids) of every row; null and empty texts have no ids."""
+    own = encoder(path)
+    for lo, hi, data, offsets in text_slices(batch, column):
+        ids, bounds = own.encode(data, offsets)
+        for i in range(lo, hi):
+            yield i, ids[bounds[i - lo] : bounds[i - lo + 1]]
