@@ -1 +1,74 @@
+"""Sessions and routing over `conversations` and `events`."""
 
+from pyspark.sql import functions as F
+
+from docengine.registry import query, table
+from docengine.streaming import sessions as S
+
+_LAST = "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)"
+
+
+@query("z2_last_messages", f"SELECT conv_id, turn, role FROM {_LAST} WHERE n <= 3")
+def last_messages(spark, sf):
+    return S.last_messages(table(spark, sf, "conversations"), 3).select("conv_id", "turn", "role")
+
+
+_PAIRS = f"""r AS (SELECT * FROM {_LAST} WHERE n <= 6), u AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS usr FROM r),
+p AS (SELECT conv_id, turn, usr, text AS assistant FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM u WHERE role = 'assistant' AND usr IS NOT NULL) WHERE k <= 3)"""
+
+
+@query("z5_turn_pairs", f'WITH {_PAIRS} SELECT conv_id, turn, usr AS "user", assistant FROM p')
+def turn_pairs(spark, sf):
+    return S.turn_pairs(table(spark, sf, "conversations"))
+
+
+@query("f26_message_list", f"WITH {_PAIRS} SELECT conv_id, 'system: help' || chr(10) || string_agg('user: ' || usr || chr(10) || 'assistant: ' || assistant, chr(10) ORDER BY turn) || chr(10) || 'user: q' AS messages FROM p GROUP BY conv_id")
+def message_list(spark, sf):
+    return S.message_list(table(spark, sf, "conversations"), "help", F.lit("q")).select("conv_id", F.array_join("messages", "\n").alias("messages"))
+
+
+@query("z1_sessions", "SELECT user_id, min(ts) AS created, max(ts) AS last_activity, count(*)::BIGINT AS messages FROM events GROUP BY user_id")
+def sessions(spark, sf):
+    return S.sessions(table(spark, sf, "events"), "user_id", "ts")
+
+
+@query("z3_expired", "WITH s AS (SELECT user_id, max(ts) AS l FROM events GROUP BY user_id) SELECT user_id FROM s WHERE l < (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
+def expired(spark, sf):
+    e = table(spark, sf, "events")
+    now = e.agg(F.max("ts").alias("now"))
+    rows = S.sessions(e, "user_id", "ts").crossJoin(F.broadcast(now))
+    return S.expired(rows, F.col("now")).select("user_id")
+
+
+@query("z6_rate_limit", "WITH e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) - 1 AS i FROM events) SELECT user_id, event_id, round(max(t - i * 2.5::DOUBLE) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) + i * 2.5::DOUBLE, 3) AS allowed_at FROM e")
+def rate_limit(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return S.rate_limited(e, "user_id", "t", 2.5).select("user_id", "event_id", F.round("allowed_at", 3).alias("allowed_at"))
+
+
+@query("z8_route", "WITH l AS (SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text, count(*) FILTER (WHERE role = 'tool') AS calls FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN calls >= 2 THEN 'answer' WHEN role = 'tool' THEN 'agent' WHEN role = 'assistant' AND contains(text, 'tool:') THEN 'tools' WHEN role = 'assistant' THEN 'end' ELSE 'agent' END AS next FROM l")
+def route(spark, sf):
+    return S.route(table(spark, sf, "conversations"))
+
+
+@query("z9_summary_input", f"WITH c AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 4) SELECT conv_id, string_agg(role || ': ' || left(text, 200), chr(10) ORDER BY turn) AS text FROM {_LAST} WHERE n <= 10 AND conv_id IN (SELECT conv_id FROM c) GROUP BY conv_id")
+def summary_input(spark, sf):
+    return S.summary_input(table(spark, sf, "conversations"))
+
+
+@query("z10_needs_analysis", r"SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) >= 15 AS needed FROM conversations")
+def needs_analysis(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", S.needs_analysis(F.col("text")).alias("needed"))
+
+
+@query("z7_token_stream", "SELECT conv_id AS answer_id, string_agg(text, '' ORDER BY turn) AS text, false AS done FROM conversations GROUP BY conv_id")
+def token_stream(spark, sf):
+    line = F.to_json(F.struct(F.col("text").alias("response"), F.lit(False).alias("done")))
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("seq"), line.alias("line"))
+    return S.stream_text(rows)
+
+
+@query("a17_session_stats", "SELECT count(DISTINCT conv_id)::BIGINT AS sessions, count(*)::BIGINT AS messages, round(count(*) / count(DISTINCT conv_id)::DOUBLE, 4) AS mean FROM conversations")
+def session_stats(spark, sf):
+    n = F.count_distinct("conv_id")
+    return table(spark, sf, "conversations").agg(n.alias("sessions"), F.count("*").alias("messages"), F.round(F.count("*") / n, 4).alias("mean"))

@@ -1 +1,54 @@
+"""The linter over configurations made from driver rows (a template per document, numbers from doc_id)."""
 
+from pyspark.sql import functions as F
+
+from docengine.operators import lint as L
+from docengine.registry import query, table
+
+_TEMPLATE = "frontend web\n  bind *:{p}\n  acl ok src 0.0.0.0/0\n  use_backend app\n  default_backend none{d}\nbackend app\n  balance {b}\n  server s1 10.0.0.1:80\n  server s1 10.0.0.2:80 ssl verify none\n  timeout connect {t}h\n  option httplog\n"
+_SQL_CONFIG = "SELECT doc_id AS config_id, 'frontend web' || chr(10) || '  bind *:' || (doc_id * 37 % 99999)::VARCHAR AS config, doc_id * 37 % 99999 AS p, doc_id % 3 AS b, doc_id % 4 AS t FROM documents"
+
+
+def configs(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    c = F.lit(_TEMPLATE)
+    for key, value in (("{p}", (F.col("doc_id") * 37 % 99999).cast("string")), ("{d}", F.lit("")), ("{b}", F.when(F.col("doc_id") % 3 == 0, "fastest").otherwise("leastconn")), ("{t}", (F.col("doc_id") % 4).cast("string"))):
+        c = F.replace(c, F.lit(key), value)
+    return d.select(F.col("doc_id").alias("config_id"), c.alias("config"))
+
+
+_FOUND = f"""c AS ({_SQL_CONFIG}), f AS (
+SELECT config_id, 1 AS line, 'section' AS rule FROM c UNION ALL SELECT config_id, 6, 'section' FROM c
+UNION ALL SELECT config_id, 2, 'bind_port' FROM c WHERE p < 1 OR p > 65535
+UNION ALL SELECT config_id, 2, 'port_digits' FROM c WHERE p >= 10000
+UNION ALL SELECT config_id, 3, 'acl_permissive' FROM c UNION ALL SELECT config_id, 7, 'balance' FROM c WHERE b = 0
+UNION ALL SELECT config_id, 9, 'server_repeated' FROM c UNION ALL SELECT config_id, 9, 'server_verify_none' FROM c
+UNION ALL SELECT config_id, 10, 'timeout_long' FROM c WHERE t > 1 UNION ALL SELECT config_id, 11, 'option_typo' FROM c
+UNION ALL SELECT config_id, 0, 'backend_undefined' FROM c)"""
+
+
+@query("l0_findings", f"WITH {_FOUND} SELECT * FROM f")
+def findings(spark, sf):
+    return L.findings(configs(spark, sf)).select("config_id", "line", "rule")
+
+
+@query("l16_compliance", f"""WITH {_FOUND}, n AS (SELECT config_id, count(*) FILTER (WHERE rule IN ('bind_port','port_digits','balance','server_repeated','option_typo','backend_undefined')) AS e, count(*) FILTER (WHERE rule IN ('acl_permissive','server_verify_none','timeout_long')) AS w FROM f GROUP BY 1)
+SELECT config_id, e::BIGINT AS errors, w::BIGINT AS warnings, round(greatest(0, least(1, 1 - 0.1::DOUBLE * e - 0.02::DOUBLE * w)), 6) AS compliance, CASE WHEN round(1 - 0.1::DOUBLE * e - 0.02::DOUBLE * w, 6) >= 0.9 THEN 'excellent' WHEN round(1 - 0.1::DOUBLE * e - 0.02::DOUBLE * w, 6) >= 0.7 THEN 'good' WHEN round(1 - 0.1::DOUBLE * e - 0.02::DOUBLE * w, 6) >= 0.5 THEN 'fair' ELSE 'poor' END AS label FROM n""")
+def compliance(spark, sf):
+    c = configs(spark, sf)
+    return L.summary(c, L.findings(c))
+
+
+@query("l2_sections", f"WITH c AS ({_SQL_CONFIG}) SELECT config_id, 'frontend' AS section, 5::BIGINT AS n FROM c UNION ALL SELECT config_id, 'backend', 6::BIGINT FROM c")
+def sections(spark, sf):
+    return L.sections(L.lines(configs(spark, sf))).groupBy("config_id", "section").agg(F.count("*").alias("n"))
+
+
+@query("l14_references", f"WITH c AS ({_SQL_CONFIG}) SELECT config_id, 'none' AS value FROM c")
+def references(spark, sf):
+    return L.findings(configs(spark, sf)).filter("rule = 'backend_undefined'").select("config_id", "value")
+
+
+@query("l_strict")
+def strict(spark, sf):
+    return L.findings(configs(spark, sf), mode="strict")
