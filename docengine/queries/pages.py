@@ -1 +1,129 @@
+"""HTML structuring, links and hierarchy over `pages`."""
 
+from pyspark.sql import functions as F
+
+from docengine.operators import hierarchy as H
+from docengine.registry import query, table
+from docengine.sources import html as X
+
+_H = "coalesce(html, '')"
+
+
+def _pages(spark, sf):
+    return table(spark, sf, "pages")
+
+
+@query("x1_markdown")
+def to_markdown(spark, sf):
+    return X.to_markdown(_pages(spark, sf))
+
+
+@query("x3_sections")
+def sections(spark, sf):
+    return X.sections(_pages(spark, sf))
+
+
+@query("x4_h1_sections")
+def h1_sections(spark, sf):
+    return X.sections(_pages(spark, sf), ("h1",))
+
+
+@query("x11_anchors")
+def anchor_rows(spark, sf):
+    return X.anchor_rows(_pages(spark, sf), 50)
+
+
+_T = r"nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<{t}\b[^>]*>(.*?)</{t}>', 1), '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '')"
+
+
+@query("x14_title", f"SELECT page_id, coalesce({_T.format(t='h1')}, {_T.format(t='title')}, '') AS title FROM pages")
+def title(spark, sf):
+    return _pages(spark, sf).select("page_id", X.title(F.col("html")).alias("title"))
+
+
+def _plain(names: list[str]) -> str:
+    inner = _H
+    pattern = "|".join(rf"<{n}\b[^>]*>.*?</{n}>" for n in names)
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({inner}, '(?is)({pattern})', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("x16_plain_text", f"SELECT page_id, {_plain(['script', 'style'])} AS text FROM pages")
+def plain_text(spark, sf):
+    return _pages(spark, sf).select("page_id", X.plain_text(F.col("html")).alias("text"))
+
+
+@query("x15_main_text", f"SELECT page_id, {_plain(['script', 'style', 'nav', 'footer'])} AS text FROM pages")
+def main_text(spark, sf):
+    return _pages(spark, sf).select("page_id", X.plain_text(F.col("html"), "script|style|nav|footer").alias("text"))
+
+
+@query("x17_outline", r"WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1) AS t FROM pages) SELECT page_id, (i - 1)::INT AS pos, 1 AS level, trim(regexp_replace(regexp_replace(t[i], '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS title FROM (SELECT page_id, t, unnest(range(1, len(t) + 1)) AS i FROM h)")
+def outline(spark, sf):
+    return X.outline(_pages(spark, sf)).filter("level = 1")
+
+
+_LINKS = r"""list_filter(list_transform(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1), lambda u: trim(u)), lambda u: u <> '' AND NOT regexp_matches(u, '(?i)^(#|https?:|mailto:|ftp:|javascript:)'))"""
+
+
+@query("x18_links", f"SELECT DISTINCT page_id, unnest({_LINKS}) AS link FROM pages")
+def links(spark, sf):
+    return _pages(spark, sf).select("page_id", F.explode(X.links(F.col("html"))).alias("link"))
+
+
+@query("x19_resolve", f"SELECT DISTINCT page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || link AS target FROM (SELECT page_id, url, unnest({_LINKS}) AS link FROM pages) WHERE starts_with(link, '/')")
+def resolve(spark, sf):
+    rows = _pages(spark, sf).select("page_id", "url", F.explode(X.links(F.col("html"))).alias("link")).filter("startswith(link, '/')")
+    return rows.select("page_id", X.resolve(F.col("url"), F.col("link")).alias("target")).distinct()
+
+
+@query("x20_normal_url", "SELECT page_id, split_part(url, '#', 1) AS url FROM pages")
+def normal_url(spark, sf):
+    return _pages(spark, sf).select("page_id", F.split_part("url", F.lit("#"), F.lit(1)).alias("url"))
+
+
+@query("x21_url_parts", r"SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*/?$', '') AS parent_url, len(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+', ''), '[?#].*$', ''), '/'), lambda x: x <> ''))::INT AS depth FROM pages")
+def url_parts(spark, sf):
+    return _pages(spark, sf).select("page_id", X.parent_url(F.col("url")).alias("parent_url"), X.url_depth(F.col("url")).alias("depth"))
+
+
+@query("x9_anchor_depth", r"SELECT page_id, greatest(1, len(regexp_extract_all(url, '\d+')))::INT AS depth FROM pages")
+def anchor_depth(spark, sf):
+    return _pages(spark, sf).select("page_id", X.anchor_depth(F.col("url")).alias("depth"))
+
+
+@query("x10_section_path", "SELECT page_id, 'Doc > Section 5 > 5.' || page_id::VARCHAR AS path FROM pages")
+def section_path(spark, sf):
+    anchor = F.concat(F.lit("5."), F.col("page_id").cast("string"))
+    return _pages(spark, sf).select("page_id", F.array_join(X.section_path(anchor, F.lit("Doc")), " > ").alias("path"))
+
+
+@query("x6_markdown_sections", "SELECT doc_id, 0 AS pos, NULL::VARCHAR AS anchor, 'Introduction' AS title FROM documents WHERE trim(lang) <> '' UNION ALL SELECT doc_id, 1, 'a' || doc_id::VARCHAR, 'Head' FROM documents")
+def markdown_sections(spark, sf):
+    d = table(spark, sf, "documents")
+    body = F.concat("lang", F.lit("\n## [1.](http://x/y.html#a"), F.col("doc_id").cast("string"), F.lit(") Head\nbody"))
+    return X.markdown_sections(d.select("doc_id", body.alias("md")), "doc_id", "md").select("doc_id", "pos", "anchor", "title")
+
+
+def _tree(spark, sf):
+    p = _pages(spark, sf)
+    return p.select("url", X.parent_url(F.col("url")).alias("parent_url"))
+
+
+_TREE = r"t AS (SELECT url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*/?$', '') AS parent_url FROM pages), o AS (SELECT DISTINCT url FROM t), e AS (SELECT DISTINCT url, parent_url FROM t WHERE parent_url <> '' AND parent_url <> url)"
+
+
+@query("h1_nodes", f"WITH {_TREE}, k AS (SELECT parent_url AS url, count(*) AS c FROM e GROUP BY 1) SELECT coalesce(o.url, k.url) AS url, coalesce(c, 0)::BIGINT AS children, o.url IS NULL AS implied FROM o FULL JOIN k ON o.url = k.url")
+def nodes(spark, sf):
+    return H.nodes(_tree(spark, sf))
+
+
+@query("h2_orphans", f"WITH {_TREE} SELECT url, parent_url FROM t WHERE parent_url <> '' AND parent_url <> url AND parent_url NOT IN (SELECT url FROM o)")
+def orphans(spark, sf):
+    return H.orphans(_tree(spark, sf))
+
+
+@query("h3_depths", "SELECT 'p' || doc_id::VARCHAR AS url, length(bin(doc_id + 1))::INT AS depth FROM documents")
+def depths(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    up = F.when(F.col("doc_id") > 0, F.concat(F.lit("p"), F.floor((F.col("doc_id") - 1) / 2).cast("string")))
+    return H.depths(d.select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("url"), up.alias("parent_url")))
