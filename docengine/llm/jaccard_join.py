@@ -135,11 +135,19 @@ def _deal_shingles(shards: int):
     return run
 
 
-_SHARED = "doc_id long, n long, shared long, token long, df long"
+_SHARED = "bucket int, docs binary, n binary, shared binary, token long, df long"
+_SHARED_NAMES = ["bucket", "docs", "n", "shared", "token", "df"]
 
 
-def _count_shared(batches):
-    """Per document of a task: its size or its shingles that occur in another one; frequent shingles with their df."""
+def _count_shared(buckets: int):
+    """Rows of many documents each, dealt by document: its size (or -1) and its shingles here that occur in another one.
+
+    Frequent shingles come with their document counts in rows of their own.
+    """
+    return lambda batches: _shared_rows(batches, buckets)
+
+
+def _shared_rows(batches, buckets: int):
     held: dict[int, list] = {}
     for batch in batches:
         for s, docs, counts, low in zip(*batch.columns, strict=True):
@@ -163,18 +171,32 @@ def _count_shared(batches):
         often = df >= FREQUENT
         hot.append((np.int64(s) << 32) | low[first[often]].astype(np.int64))
         hot_df.append(df[often])
-    a = np.concatenate([*ids, np.zeros(0, np.int64)])
-    b, where = np.unique(np.concatenate([*with_shared, np.zeros(0, np.int64)]), return_inverse=True)
-    b_n = np.bincount(where, np.concatenate([*shared, np.zeros(0)]), len(b)).astype(np.int64)
-    c = np.concatenate([*hot, np.zeros(0, np.int64)])
-    null = lambda k: pa.nulls(k, pa.int64())
-    for rows in (
-        [pa.array(a), pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)])), null(len(a)), null(len(a)), null(len(a))],
-        [pa.array(b), null(len(b)), pa.array(b_n), null(len(b)), null(len(b))],
-        [null(len(c)), null(len(c)), null(len(c)), pa.array(c), pa.array(np.concatenate([*hot_df, np.zeros(0, np.int64)]))],
-    ):
-        if len(rows[0]):
-            yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "n", "shared", "token", "df"])
+    empty = np.zeros(0, np.int64)
+    b, where = np.unique(np.concatenate([*with_shared, empty]), return_inverse=True)
+    b_shared = np.bincount(where, np.concatenate([*shared, empty]), len(b)).astype(np.int64)
+    docs = np.concatenate([*ids, b])
+    n = np.concatenate([*sizes, np.full(len(b), -1, np.int64)])
+    count = np.concatenate([np.zeros(len(docs) - len(b), np.int64), b_shared])
+    rows = [(k, docs[at].tobytes(), n[at].tobytes(), count[at].tobytes()) for k, at in _groups(_shard_of(mix64(docs.astype(np.uint64)), buckets), buckets)]
+    if rows:
+        columns = list(zip(*rows, strict=True))
+        null = pa.nulls(len(rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:]), null, null], names=_SHARED_NAMES)
+    tokens = np.concatenate([*hot, empty])
+    if len(tokens):
+        none = pa.nulls(len(tokens), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(tokens), pa.int32()), none, none, none, pa.array(tokens), pa.array(np.concatenate(hot_df).astype(np.int64))], names=_SHARED_NAMES)
+
+
+def _sum_documents(batches):
+    """doc_id, n, shared over all rows of a task; a document's rows all reach one task."""
+    parts = [[np.frombuffer(x.as_py(), np.int64) for x in row] for batch in batches for row in zip(*batch.columns, strict=True)]
+    if parts:
+        docs, n, shared = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, where = np.unique(docs, return_inverse=True)
+        size = np.full(len(ids), -1, np.int64)
+        np.maximum.at(size, where, n)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(np.bincount(where, shared, len(ids)).astype(np.int64))], names=["doc_id", "n", "shared"])
 
 
 def level_of(n: int) -> int:
@@ -442,8 +464,9 @@ def links(texts: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataF
     parts = spread(spark, texts)
     shards = shards or 2 * parts
     dealt = texts.select("doc_id", "text").mapInArrow(_deal_shingles(shards), _PACKED)
-    counted = materialise(dealt.repartition(parts, "shard").mapInArrow(_count_shared, _SHARED), "shared")
-    sizes = materialise(counted.filter("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared")), "sizes")
+    counted = materialise(dealt.repartition(parts, "shard").mapInArrow(_count_shared(parts), _SHARED), "shared")
+    by_document = counted.filter("bucket is not null").repartition(parts, "bucket").select("docs", "n", "shared")
+    sizes = materialise(by_document.mapInArrow(_sum_documents, "doc_id long, n long, shared long"), "sizes")
     alive = sizes.filter(f"n > 0 and {DENOMINATOR} * shared >= {NUMERATOR} * n").select("doc_id")
 
     hot = counted.filter("token is not null").orderBy(F.desc("df"), "token").limit(FREQUENT_KEPT).select("token", "df").collect()
