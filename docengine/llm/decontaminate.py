@@ -4,7 +4,7 @@ Words are runs of ASCII letters, digits and non-ASCII characters, A-Z folded.  E
 WINDOW consecutive item words (or the whole item, if it has fewer) is a pattern; the automaton scans a
 document's normalised words once, and matches are mapped back to word numbers and to offsets of the
 original text.  Patterns are broadcast in blocks of at most BLOCK_CHARS characters, so the benchmark
-may grow: each further block is one more scan, and hits of all blocks are united per document.
+may grow: each further block is one more scan of the same row, which adds its hits to those found.
 
 Defined results: null texts have no words; items without words have no window; equal items each count;
 null item_ids are left out of the id list; repeated documents give repeated rows; an empty benchmark
@@ -116,102 +116,85 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_CHARS)
     return out, ids
 
 
+_SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+
+
 def _scan_block(shared, key: str):
+    """Adds one block's hits to the last three columns: n_words, ranges, items."""
+
     def run(batches):
         if key not in _CACHE:
             _CACHE.clear()
             _CACHE[key] = automaton(shared.value)
         machine, items_of = _CACHE[key]
         for batch in batches:
+            k = batch.num_columns - 3
             n, ranges, items = [], [], []
-            for text in batch.column(1):
+            old = zip(batch.column(k + 1), batch.column(k + 2), strict=True)
+            for text, (had, known) in zip(batch.column(batch.schema.get_field_index("text")), old, strict=True):
                 count, spans, found = scan(text.as_py(), machine, items_of)
                 n.append(count)
+                if len(had):
+                    spans = merged(spans + [(r["lo"], r["hi"]) for r in had.as_py()])
                 ranges.append([{"lo": lo, "hi": hi} for lo, hi in spans])
-                items.append(sorted(found))
-            span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ranges, span), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "place", "n_words", "ranges", "items"])
+                items.append(sorted(found.union(known.as_py()) if len(known) else found))
+            done = [pa.array(n, pa.int64()), pa.array(ranges, _SPANS), pa.array(items, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *done], names=batch.schema.names)
 
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_CHARS) -> tuple[DataFrame, list]:
-    """(doc_id, place, n_words, ranges, items) per document, and the item_ids behind the numbers in ``items``."""
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_CHARS) -> tuple[DataFrame, list[str], list]:
+    """Documents with three more columns, their names (words, merged hit ranges, items), and the item_ids behind the items.
+
+    Blocks are scanned one after another in one stage: no shuffle, whatever their number.
+    """
     spark = docs.sparkSession
     parts, ids = blocks(benchmark, window, limit)
-    keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
-    schema = "doc_id long, place long, n_words long, ranges array<struct<lo: long, hi: long>>, items array<long>"
-    scans = []
-    for k, part in enumerate(parts):
-        shared = spark.sparkContext.broadcast(part)
-        scans.append(keyed.mapInArrow(_scan_block(shared, uuid.uuid4().hex), schema))
-    if len(scans) == 1:
-        return scans[0], ids
-    every = scans[0]
-    for s in scans[1:]:
-        every = every.unionByName(s)
-    one = every.groupBy("place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return one.select("doc_id", "place", "n_words", "ranges", "items"), ids
-
-
-def _report(ids: list):
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, n_words, ranges, items in zip(batch.column(0), batch.column(2), batch.column(3), batch.column(4), strict=True):
-                hit = sum(hi - lo for lo, hi in merged([(r["lo"], r["hi"]) for r in ranges.as_py()]))
-                named = sorted({str(ids[k]) for k in items.as_py() if ids[k] is not None})
-                n = n_words.as_py()
-                rows.append((doc_id.as_py(), n, hit, len(set(items.as_py())), hashlib.sha256(",".join(named).encode()).hexdigest(), hit > 0 and SHARE * hit >= n))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            types = [pa.int64()] * 4 + [pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    names = ["n_words", "ranges", "items"]
+    while set(names) & set(docs.columns):
+        names = ["_" + n for n in names]
+    kinds = ("long", "array<struct<lo: long, hi: long>>", "array<long>")
+    out = docs
+    for name, kind, start in zip(names, kinds, ("0L", "array()", "array()"), strict=True):
+        out = out.withColumn(name, F.expr(f"cast({start} as {kind})"))
+    for part in parts:
+        out = out.mapInArrow(_scan_block(spark.sparkContext.broadcast(part), uuid.uuid4().hex), out.schema)
+    return out, names, ids
 
-    return run
 
-
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
-    hits, ids = find(docs, benchmark)
-    return hits.mapInArrow(_report(ids), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+def hit_words(ranges: str) -> str:
+    """SQL: the words in merged ranges."""
+    return f"aggregate({ranges}, 0L, (a, r) -> a + r.hi - r.lo)"
 
 
-def _keep_clean(shared, key: str):
+def _items_digest(ids: list):
     def run(batches):
-        if key not in _CACHE:
-            _CACHE.clear()
-            _CACHE[key] = automaton(shared.value)
-        machine, items_of = _CACHE[key]
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            keep = []
-            for text in batch.column(at):
-                n, ranges, _ = scan(text.as_py(), machine, items_of)
-                hit = sum(hi - lo for lo, hi in ranges)
-                keep.append(not (hit > 0 and SHARE * hit >= n))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            digests = []
+            for items in batch.column(4):
+                named = sorted({str(ids[k]) for k in items.as_py() if ids[k] is not None})
+                digests.append(hashlib.sha256(",".join(named).encode()).hexdigest())
+            n_items = [len(x) for x in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(3), pa.array(n_items, pa.int64()), pa.array(digests)], names=["doc_id", "n_words", "n_hit", "contaminated", "n_items", "items_sha256"])
 
     return run
 
 
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
+    hits, (n_words, ranges, items), ids = find(docs.select("doc_id", "text"), benchmark, window, limit)
+    rows = hits.select("doc_id", F.col(n_words).alias("n_words"), F.expr(hit_words(ranges)).alias("n_hit"), F.col(items).alias("items"))
+    judged = rows.select("doc_id", "n_words", "n_hit", F.expr(f"n_hit > 0 and {SHARE} * n_hit >= n_words").alias("contaminated"), "items")
+    out = judged.mapInArrow(_items_digest(ids), "doc_id long, n_words long, n_hit long, contaminated boolean, n_items long, items_sha256 string")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_CHARS) -> DataFrame:
     """The documents that are not contaminated, all columns kept."""
-    parts, _ = blocks(benchmark, window, limit)
-    if len(parts) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(parts[0])
-        return docs.mapInArrow(_keep_clean(shared, uuid.uuid4().hex), docs.schema)
-    placed = docs.withColumn("_place", F.monotonically_increasing_id())
-    hits, _ = find(docs, benchmark, window, limit)
-
-    def bad(batches):
-        for batch in batches:
-            keep = []
-            for n, ranges in zip(batch.column(2), batch.column(3), strict=True):
-                hit = sum(hi - lo for lo, hi in merged([(r["lo"], r["hi"]) for r in ranges.as_py()]))
-                keep.append(hit > 0 and SHARE * hit >= n.as_py())
-            yield pa.RecordBatch.from_arrays([batch.column(1)], names=["_place"]).filter(pa.array(keep, pa.bool_()))
-
-    return placed.join(hits.mapInArrow(bad, "_place long"), "_place", "left_anti").drop("_place")
+    hits, (n_words, ranges, _), _ = find(docs, benchmark, window, limit)
+    hit = hit_words(ranges)
+    return hits.filter(f"not ({hit} > 0 and {SHARE} * {hit} >= {n_words})").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -38,7 +38,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def awkward(spark):
     """Nulls, empty and very long texts, repeated rows, and columns whose names operators use inside."""
     df = spark.createDataFrame(AWKWARD, SCHEMA)
-    for c in ("digest", "rep", "n", "place", "component", "sequence_id", "_row", "_place", "label", "score", "block", "batch"):
+    for c in ("digest", "rep", "n", "place", "n_words", "ranges", "component", "sequence_id", "_row", "_place", "label", "score", "block", "batch"):
         df = df.withColumn(c, F.lit("clash"))
     return df.repartition(3)
 
@@ -530,8 +530,7 @@ def test_decontamination(spark, limit):
     items = [(i, r.choice([" ", ", ", "\n"]).join(word() for _ in range(r.choice([0, 1, 3, 12, 13, 14, 20])))) for i in range(14)] + [(20, None), (None, "zz yy")]
     rows = [(i, " ".join(word() for _ in range(r.randint(0, 60))) + r.choice(["", " ", "! " + (r.choice(items)[1] or "")])) for i in range(60)] + [(90, None), (90, None), (91, "zz YY!")]
     d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    hits, ids = decontaminate.find(d, b, limit=limit)
-    got = sorted(tuple(x) for x in hits.mapInArrow(decontaminate._report(ids), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").collect())
+    got = sorted(tuple(x) for x in decontaminate.report(d, b, limit=limit).collect())
     want = sorted((i, *plain_contamination(t, items)) for i, t in rows)
     assert got == want
     clean = sorted(x["doc_id"] for x in decontaminate.clean(d, b, limit=limit).collect())
@@ -544,7 +543,9 @@ def test_decontamination_edges(spark, awkward, empty):
     assert len(got) == len(AWKWARD) and {d for d, c in got if c} == {5, 6}
     assert decontaminate.report(awkward, b.filter("false")).filter("contaminated").count() == 0
     assert decontaminate.report(empty, b).count() == 0
-    assert decontaminate.clean(awkward, b).columns == awkward.columns
+    for limit in (1 << 20, 4):
+        clean = decontaminate.clean(awkward, b.unionByName(spark.createDataFrame([(2, "zz zz")], b.schema)), limit=limit)
+        assert clean.columns == awkward.columns and {r["doc_id"] for r in clean.collect()} == {1, 2, 3, 4, 7, 8, 9, None}
     machine, items = decontaminate.automaton([("one two", (0,))])
     _, ranges, _ = decontaminate.scan("é! One, two; x", machine, items)
     assert [("é! One, two; x")[a:b] for a, b in decontaminate.original_offsets("é! One, two; x", ranges)] == ["One, two"]
