@@ -32,7 +32,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, title (first # line, else the file's stem), text of .md and .txt files."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     return raw.select("path", F.coalesce(F.nullif(F.trim(F.regexp_extract("text", r"(?m)^# (.*)$", 1)), F.lit("")), stem).alias("title"), "text")
 

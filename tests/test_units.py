@@ -73,9 +73,9 @@ def test_text_functions(spark):
     assert one(spark, F.concat_ws("|", parent, current), t="5.2.1. Options") == "5.2|5.2.1"
     assert one(spark, current, t="Intro") == "Intro"
     assert one(spark, X.code_block(F.col("t")), t="x ```\na = 1\n``` y") == "a = 1"
-    assert one(spark, X.tags(F.col("t")), t="ACL with sc0_conn_rate and TLS") == ["acl", "rate_limit", "sample_fetch:sc0_conn_rate", "ssl"]
+    assert one(spark, X.tags(F.col("t")), t="ACL with sc0_conn_rate and TLS") == ["acl", "rate_limit", "sample_fetch:sc0_conn_rate", "ssl", "stick-table"]
     assert one(spark, X.section_hints(F.col("t")), t="see section 7") == ["7.0"]
-    assert one(spark, X.category_hint(F.col("t")), t="an example") == "stick-table"
+    assert one(spark, X.category_hint(F.col("t")), t="an expert") == "stick-table"
     assert one(spark, X.salvage_json(F.col("t"), "a int")["a"], t='so: {"a": 3} ok') == 3
     assert one(spark, X.salvage_json(F.col("t"), "a int"), t="none") is None
     assert one(spark, X.truncate_context(F.col("t"), 5, "-"), t="abc-def-gh") == "abc\n\n[...]"
@@ -138,7 +138,7 @@ def test_threshold_filter_equals_the_loop(spark):
 def test_fusion_ties(spark):
     a = spark.createDataFrame([(1, 5, 0.5), (1, 3, 0.5), (1, 9, 0.1)], "query_id long, id long, score double")
     assert [r["id"] for r in fusion.top(a, 2).orderBy("rank").collect()] == [3, 5]
-    picks = fusion.mmr(spark.createDataFrame([(1, 1, 0.1), (1, 2, 0.1), (1, 3, 0.6)], "query_id long, id long, distance double"), 2)
+    picks = fusion.mmr(spark.createDataFrame([(1, 1, 0.1), (1, 2, 0.1), (1, 3, 0.6)], "query_id long, id long, distance double"), 2, 0.3)
     assert [r["id"] for r in picks.orderBy("pick").collect()] == [1, 3]
 
 
