@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docengine.functions import sql
 from docengine.operators import evaluate as E
 from docengine.operators import fusion, hierarchy, lexical
 from docengine.operators import sets as S
@@ -199,3 +200,17 @@ def bm25_all(spark, sf):
     index = lexical.build(table(spark, sf, "documents"), "doc_id", lexical.document_tokens())
     terms = lexical.query_terms(table(spark, sf, "benchmark"), "item_id", lexical.document_tokens())
     return lexical.search(index, terms, positive=False).groupBy("query_id").agg(F.count("*").alias("hits"), F.min(F.round("score", 6)).alias("least"))
+
+
+@query("p1_sql_chunks", "SELECT doc_id, 0 AS chunk_index, text AS chunk FROM documents WHERE length(text) <= 800")
+def sql_chunks(spark, sf):
+    sql.register(spark)
+    table(spark, sf, "documents").filter("length(text) <= 800").createOrReplaceTempView("docengine_short")
+    return spark.sql("select doc_id, chunk_index, chunk from docengine_short, lateral semantic_chunks(text)")
+
+
+@query("p2_sql_markdown")
+def sql_markdown(spark, sf):
+    sql.register(spark)
+    table(spark, sf, "pages").createOrReplaceTempView("docengine_html")
+    return spark.sql("select page_id, md_text(html) as markdown from docengine_html")
