@@ -58,6 +58,14 @@ def automaton(patterns: list[tuple[str, tuple[int, ...]]]):
     return machine, [items for _, items in patterns]
 
 
+def _cached(shared, key: str):
+    """A block's automaton, built once per worker."""
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = automaton(shared.value)
+    return _CACHE[key]
+
+
 def scan(text: str | None, machine, items_of) -> tuple[int, list[tuple[int, int]], set[int]]:
     """(words, merged hit ranges of word numbers, items found) of one text."""
     found = words(text)
@@ -123,10 +131,7 @@ def _scan_block(shared, key: str):
     """Adds one block's hits to the last three columns: n_words, ranges, items."""
 
     def run(batches):
-        if key not in _CACHE:
-            _CACHE.clear()
-            _CACHE[key] = automaton(shared.value)
-        machine, items_of = _CACHE[key]
+        machine, items_of = _cached(shared, key)
         for batch in batches:
             k = batch.num_columns - 3
             n, ranges, items = [], [], []
