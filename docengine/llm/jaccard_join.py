@@ -503,11 +503,18 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the least doc_id; all columns kept.
 
-    Rows repeated with an equal doc_id are one document: the first by text is kept.
+    Of rows repeated with that doc_id the least by text and the other columns is kept; rows without a
+    doc_id are all kept.
     """
-    kept = classes(docs).filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    rows = _with_ids(docs, kept.filter("doc_id is not null"), "left_semi").unionByName(docs.filter("doc_id is null"))
-    return rows
+    first = classes(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    kept = materialise(first, "kept")
+    rows = _with_ids(docs, kept.filter("_rows = 1").select("doc_id"), "left_semi")
+    if kept.filter("_rows > 1").limit(1).count():
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        again = _with_ids(docs, kept.filter("_rows > 1").select("doc_id"), "left_semi")
+        one = again.groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("_r"))
+        rows = rows.unionByName(one.select(*(F.col("doc_id") if c == "doc_id" else F.col("_r")[c].alias(c) for c in docs.columns)))
+    return rows.unionByName(docs.filter("doc_id is null"))
 
 
 ORACLE = r"""

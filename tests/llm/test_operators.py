@@ -300,6 +300,8 @@ def test_jaccard_edges(spark, awkward, empty):
     assert {x for x in got if x[0] is not None} == {(d, n, 5 if d == 6 else d) for d, n in sizes.items()}
     assert [x[2] for x in got if x[0] is None] == [None]
     assert jaccard_join.classes(empty).count() == 0
+    twice = jaccard_join.keep_first(awkward.filter("doc_id in (6, 7)").unionByName(awkward.filter("doc_id = 7")))
+    assert twice.columns == awkward.columns and sorted(r["doc_id"] for r in twice.collect()) == [6, 7]
     kept = jaccard_join.keep_first(awkward)
     assert kept.columns == awkward.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9]
 
