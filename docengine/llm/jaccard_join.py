@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, lut, materialise, mix64, ragged, span_hashes, spread, text_slices, word_spans
+from .common import LOWER, lut, materialise, mix64, ragged, span_hashes, spread, text_slices, tidy, word_spans
 from .components import components
 
 WORDS = 5
 #: The similarity threshold as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Shingles a task sends on at once, and shingles of a block's slice.
-FLUSH_SHINGLES, BLOCK_SHINGLES = 2 << 20, 2 << 20
+FLUSH_SHINGLES, BLOCK_SHINGLES = 1 << 20, 2 << 20
 #: Shingles in this many documents are ordered by frequency; so many of the most frequent are kept for it.
 FREQUENT, FREQUENT_KEPT = 256, 1 << 17
 #: Id tables up to this many rows are broadcast (16 bytes each); larger ones are joined by shuffle.
@@ -463,8 +463,8 @@ def links(texts: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataF
     spark = texts.sparkSession
     parts = spread(spark, texts)
     shards = shards or 2 * parts
-    dealt = texts.select("doc_id", "text").mapInArrow(_deal_shingles(shards), _PACKED)
-    counted = materialise(dealt.repartition(parts, "shard").mapInArrow(_count_shared(parts), _SHARED), "shared")
+    dealt = texts.select("doc_id", "text").mapInArrow(tidy(_deal_shingles(shards)), _PACKED)
+    counted = materialise(dealt.repartition(parts, "shard").mapInArrow(tidy(_count_shared(parts)), _SHARED), "shared")
     by_document = counted.filter("bucket is not null").repartition(parts, "bucket").select("docs", "n", "shared")
     sizes = materialise(by_document.mapInArrow(_sum_documents, "doc_id long, n long, shared long"), "sizes")
     alive = sizes.filter(f"n > 0 and {DENOMINATOR} * shared >= {NUMERATOR} * n").select("doc_id")
@@ -472,18 +472,17 @@ def links(texts: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataF
     hot = counted.filter("token is not null").orderBy(F.desc("df"), "token").limit(FREQUENT_KEPT).select("token", "df").collect()
     hot = np.array(sorted((r[0], r[1]) for r in hot), np.int64).reshape(-1, 2)
     frequent = spark.sparkContext.broadcast((hot[:, 0].copy(), hot[:, 1].copy()))
-    dealt = _with_ids(texts, alive).select("doc_id", "text").mapInArrow(_deal_postings(frequent, shards, shards), "shard int, postings binary")
-    rough = components(dealt.repartition(parts, "shard").mapInArrow(_block_edges, "a long, b long"))
+    dealt = _with_ids(texts, alive).select("doc_id", "text").mapInArrow(tidy(_deal_postings(frequent, shards, shards)), "shard int, postings binary")
+    rough = components(dealt.repartition(parts, "shard").mapInArrow(tidy(_block_edges), "a long, b long"))
 
     blocks = materialise(rough.select(F.col("node").alias("doc_id"), F.col("component").alias("block")).join(sizes.select("doc_id", "n"), "doc_id"), "blocks")
     heavy = blocks.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("slices"))
     members = blocks.join(heavy, "block").select("doc_id", "block", "slices")
-    cut = heavy.filter("slices > 1").limit(1).count() > 0
-    rows = _with_ids(texts, members).select("doc_id", "block", "slices", "text").mapInArrow(_block_sets, "doc_id long, block long, slices int, tokens binary")
+    rows = _with_ids(texts, members).select("doc_id", "block", "slices", "text").mapInArrow(tidy(_block_sets), "doc_id long, block long, slices int, tokens binary")
     own = F.expr("cast(pmod(xxhash64(doc_id), slices) as int)")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
     keyed = rows.select("block", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc_id", "tokens")
-    found = keyed.repartition(parts, "block", "lo", "hi").sortWithinPartitions("block", "lo", "hi", "doc_id").mapInArrow(_search_blocks, "a long, b long")
+    found = keyed.repartition(parts, "block", "lo", "hi").sortWithinPartitions("block", "lo", "hi", "doc_id").mapInArrow(tidy(_search_blocks), "a long, b long")
     return sizes.select("doc_id", "n"), found
 
 

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out_expr, mix64
+from .common import held_out_expr, mix64, tidy
 
 PROFILE = 400
 SIZES = (1, 2, 3)
 #: Code points and documents of one vectorised step.
-SLICE_CHARS, SLICE_ROWS = 1 << 20, 2048
+SLICE_CHARS, SLICE_ROWS = 1 << 18, 2048
 #: keep_known() rejects what scores less.
 LEAST_SCORE = 0.05
 
@@ -115,7 +115,7 @@ def _sum_grams(batches):
 
 def train(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     """lang, code, place (from 0): the profiles learned from rows with a lang (columns text, lang)."""
-    sums = docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(_sum_grams, "lang string, code long, n long")
+    sums = docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(tidy(_sum_grams), "lang string, code long, n long")
     totals = sums.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1
     return totals.withColumn("place", place).filter(F.col("place") < size).select("lang", "code", "place")
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             langs, scores = shared.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:
@@ -190,7 +190,7 @@ def keep_known(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE)
             langs, scores = shared.value.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialise
+from .common import materialise, tidy
 
 CAPACITY, SEPARATOR_ID = 2048, 0
 SHARD_PIECES = 20_000
@@ -52,7 +52,7 @@ def _pieces(path: str, capacity: int, separator: int):
 def pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = SEPARATOR_ID, vocabulary: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: only texts over the capacity are cut."""
     run = _pieces(vocabulary or tokens.vocabulary_path(), capacity, separator)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, max_documents: int = MAX_DOCUMENTS, max_attention: float = MAX_ATTENTION, weights=WEIGHTS, rule: str = "residual_norm") -> tuple[np.ndarray, np.ndarray]:

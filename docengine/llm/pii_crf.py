@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import LOWER, lut, span_hashes, text_slices, word_spans
+from .common import LOWER, lut, span_hashes, text_slices, tidy, word_spans
 from .quality_knn import shape_hashes
 
 BASE = ("email", "ip", "card", "phone")
@@ -386,7 +386,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def _texts(batch: pa.RecordBatch, field: Field):
     """(row, text, base spans, all spans)."""
     at = batch.schema.get_field_index("text")
-    for lo, hi, data, offsets in text_slices(batch, "text"):
+    for lo, hi, data, offsets in text_slices(batch, "text", 1 << 19):
         found = field_spans(field, data, offsets)
         for i in range(lo, hi):
             text = batch.column(at)[i].as_py() or ""
@@ -407,7 +407,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -440,4 +440,4 @@ def mask(docs: DataFrame, field: Field | None = None) -> DataFrame:
                     batch = batch.set_column(k, batch.schema.field(k), sizes)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

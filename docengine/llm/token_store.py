@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import delete_path, scratch, spread
+from .common import delete_path, scratch, spread, tidy
 
 #: Mean, least and most ids between two cuts; ids that the rolling hash sees.
 CHUNK_MEAN, CHUNK_LEAST, CHUNK_MOST, WINDOW = 512, 96, 4096, 4
@@ -146,7 +146,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     n = spread(spark, docs)
     staged = scratch(spark, "token-staging")
     cut = docs.select("doc_id", "text").mapInArrow(
-        _cut_documents(vocabulary, end_id, width), "doc_id long, n_tokens long, names array<binary>, root binary, chunks array<struct<name: binary, ids: binary>>"
+        tidy(_cut_documents(vocabulary, end_id, width)), "doc_id long, n_tokens long, names array<binary>, root binary, chunks array<struct<name: binary, ids: binary>>"
     )
     cut.write.option("compression", "zstd").parquet(staged)
     rows = spark.read.schema(cut.schema).parquet(staged)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from .common import LOWER, span_hashes, text_slices, word_spans
 
 #: Words kept per worker before the memo starts anew (about 200 bytes each).
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 VOCABULARY = "word_bpe_49k.json"
 
 _BLANKS = np.ones(256, bool)
