@@ -30,7 +30,6 @@ KINDS = (*BASE, "name")
 LABELS = ("O", *KINDS)
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Runs are taken whole and never re-entered, which keeps long runs linear.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
