@@ -12,7 +12,7 @@ from docengine.operators import sets as S
 from docengine.plans import chat
 from docengine.plans import retrieve as R
 from docengine.queries.search import _BM25, _BOOST, _KNN, _RRF, _hybrid_inputs
-from docengine.registry import query, table
+from docengine.registry import ORACLES, query, table
 from docengine.sources import files
 from docengine.sources import html as X
 
@@ -209,6 +209,13 @@ def sql_chunks(spark, sf):
     return spark.sql("select doc_id, chunk_index, chunk from docengine_short, lateral semantic_chunks(text)")
 
 
+@query("p1_sql_chunks_all", ORACLES["c2_semantic_split"])
+def sql_chunks_all(spark, sf):
+    sql.register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("docengine_documents")
+    return spark.sql("select doc_id, chunk_index, chunk from docengine_documents, lateral semantic_chunks(text)")
+
+
 @query("p2_sql_markdown")
 def sql_markdown(spark, sf):
     sql.register(spark)

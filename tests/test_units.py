@@ -201,3 +201,13 @@ def test_chunks_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert C.split(empty, "text", C.semantic_split).count() == 0
     assert C.split(spark.createDataFrame([(1, None)], empty.schema), "text", C.recursive_split).count() == 0
+
+
+def test_sql_chunks_of_all_documents(spark, sf):
+    from docengine.registry import QUERIES
+
+    got = QUERIES["p1_sql_chunks_all"](spark, sf).collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert {r["doc_id"] for r in got} == set(docs)
+    assert sorted((r["doc_id"], r["chunk_index"], r["chunk"]) for r in got) == sorted((k, i, c) for k, t in docs.items() for i, c in enumerate(C.semantic_split(t)))
+    assert max(r["chunk_index"] for r in got) > 0
