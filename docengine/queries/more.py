@@ -90,6 +90,14 @@ def crawl(spark, sf):
     return hierarchy.crawl(links, "p0")
 
 
+@query("x22_crawl_all", "SELECT 'p' || doc_id::VARCHAR AS url, (length(bin(doc_id + 1)) - 1)::INT AS hops FROM (SELECT DISTINCT doc_id FROM documents) ORDER BY hops, url LIMIT 1000")
+def crawl_all(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    links = d.select(name(F.floor((F.col("doc_id") - 1) / 2)).alias("url"), name(F.col("doc_id")).alias("target"))
+    return hierarchy.crawl(links, "p0")
+
+
 @query("x23_page_document", r"SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*/?$', '') AS parent_url, CASE WHEN contains(url, '#') THEN split_part(url, '#', 2) END AS anchor FROM pages")
 def page_document(spark, sf):
     u = F.col("url")

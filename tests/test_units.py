@@ -211,3 +211,11 @@ def test_sql_chunks_of_all_documents(spark, sf):
     assert {r["doc_id"] for r in got} == set(docs)
     assert sorted((r["doc_id"], r["chunk_index"], r["chunk"]) for r in got) == sorted((k, i, c) for k, t in docs.items() for i, c in enumerate(C.semantic_split(t)))
     assert max(r["chunk_index"] for r in got) > 0
+
+
+def test_crawl_of_all_documents_stops_at_its_limit(spark, tmp_path):
+    from docengine.registry import QUERIES
+
+    spark.range(3000).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r["hops"], r["url"]) for r in QUERIES["x22_crawl_all"](spark, str(tmp_path)).collect()]
+    assert got == sorted(((i + 1).bit_length() - 1, f"p{i}") for i in range(3000))[:1000]
