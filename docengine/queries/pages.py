@@ -62,6 +62,14 @@ def outline(spark, sf):
     return X.outline(_pages(spark, sf)).filter("level = 1")
 
 
+_HEADS = "|".join(rf"<h{i}\b[^>]*>.*?</h{i}>" for i in range(1, 7))
+
+
+@query("x17_outline_all", rf"WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is){_HEADS}') AS t FROM pages) SELECT page_id, (i - 1)::INT AS pos, substr(t[i], 3, 1)::INT AS level, trim(regexp_replace(regexp_replace(t[i], '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS title FROM (SELECT page_id, t, unnest(range(1, len(t) + 1)) AS i FROM h)")
+def outline_all(spark, sf):
+    return X.outline(_pages(spark, sf))
+
+
 _LINKS = r"""list_filter(list_transform(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1), lambda u: trim(u)), lambda u: u <> '' AND NOT regexp_matches(u, '(?i)^(#|https?:|mailto:|ftp:|javascript:)'))"""
 
 

@@ -219,3 +219,17 @@ def test_crawl_of_all_documents_stops_at_its_limit(spark, tmp_path):
     spark.range(3000).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
     got = [(r["hops"], r["url"]) for r in QUERIES["x22_crawl_all"](spark, str(tmp_path)).collect()]
     assert got == sorted(((i + 1).bit_length() - 1, f"p{i}") for i in range(3000))[:1000]
+
+
+def test_outline_of_all_levels(spark, tmp_path):
+    from docengine.registry import ORACLES, QUERIES
+
+    from .oracle import TABLES, same
+
+    page = "<h2 id='a'>Two <b>b</b></h2><p>x</p><H1>One</H1><h6>Six\n six</h6><h3>Three</h3>"
+    pages = spark.createDataFrame([(1, "u", page), (2, "v", "<p>none</p>")], "page_id long, url string, html string")
+    for t in TABLES:
+        (pages if t == "pages" else spark.range(1)).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = QUERIES["x17_outline_all"](spark, str(tmp_path))
+    assert [(r["pos"], r["level"], r["title"]) for r in got.orderBy("pos").collect()] == [(0, 2, "Two b"), (1, 1, "One"), (2, 6, "Six six"), (3, 3, "Three")]
+    same(got, ORACLES["x17_outline_all"], str(tmp_path))
