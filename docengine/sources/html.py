@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -74,36 +75,96 @@ def text_of(node: Node, drop=DROPPED, glue: str = " ") -> str:
     return glue.join(parts)
 
 
-def markdown(node: Node | str, depth: int = 0) -> str:
-    """Paragraphs, headings, code, links, lists and emphasis; other elements pass through."""
-    if isinstance(node, str):
-        return re.sub(r"\s+", " ", node)
-    if node.tag in DROPPED or depth > 200:
-        return ""
-    if node.tag == "pre":
-        return f"\n```\n{_raw(node).strip(chr(10))}\n```\n"
-    inner = "".join(markdown(c, depth + 1) for c in node.children)
+def _stripped(parts: deque[str]) -> deque[str]:
+    while parts and not (first := parts[0].lstrip()):
+        parts.popleft()
+    if parts:
+        parts[0] = first
+    while parts and not (last := parts[-1].rstrip()):
+        parts.pop()
+    if parts:
+        parts[-1] = last
+    return parts
+
+
+def _wrapped(parts: deque[str], before: str, after: str) -> deque[str]:
+    parts = _stripped(parts)
+    parts.appendleft(before)
+    parts.append(after)
+    return parts
+
+
+def _joined(a: deque[str], b: deque[str]) -> deque[str]:
+    """The shorter one is moved, so that deep nesting copies no text again and again."""
+    if len(a) < len(b):
+        b.extendleft(reversed(a))
+        return b
+    a.extend(b)
+    return a
+
+
+def _marked(node: Node, inner: deque[str]) -> deque[str]:
     t = node.tag
     if t in HEADINGS:
-        return f"\n{'#' * int(t[1])} {inner.strip()}\n"
+        return _wrapped(inner, f"\n{'#' * int(t[1])} ", "\n")
     if t == "p":
-        return f"\n{inner.strip()}\n"
+        return _wrapped(inner, "\n", "\n")
     if t == "code":
-        return f"`{inner.strip()}`"
+        return _wrapped(inner, "`", "`")
     if t in ("strong", "b"):
-        return f"**{inner.strip()}**"
+        return _wrapped(inner, "**", "**")
     if t in ("em", "i"):
-        return f"*{inner.strip()}*"
+        return _wrapped(inner, "*", "*")
     if t == "a":
-        return f"[{inner.strip()}]({node.attrs.get('href') or ''})"
+        return _wrapped(inner, "[", f"]({node.attrs.get('href') or ''})")
     if t in ("ul", "ol"):
-        items = [c for c in node.children if isinstance(c, Node) and c.tag == "li"]
-        return "\n" + "".join(f"{'- ' if t == 'ul' else f'{i}. '}{markdown(c, depth + 1).strip()}\n" for i, c in enumerate(items, 1))
-    return "\n" if t == "br" else inner
+        inner.appendleft("\n")
+        return inner
+    return deque(["\n"]) if t == "br" else inner
+
+
+def markdown(node: Node | str) -> str:
+    """Paragraphs, headings, code, links, lists and emphasis; other elements pass through (X1). Iterative, so depth has no limit."""
+    root = Node("#root")
+    root.children.append(node)
+    # Open elements: node, children to come, parts so far, list items so far.
+    stack = [[root, iter(root.children), deque(), 0]]
+    while True:
+        frame = stack[-1]
+        child = next(frame[1], None)
+        if isinstance(child, str):
+            parts = deque([re.sub(r"\s+", " ", child)])
+        elif child is None:
+            stack.pop()
+            parts = _marked(frame[0], frame[2])
+            if not stack:
+                return "".join(parts)
+            frame = stack[-1]
+            if frame[0].tag in ("ul", "ol"):
+                frame[3] += 1
+                parts = _wrapped(parts, "- " if frame[0].tag == "ul" else f"{frame[3]}. ", "\n")
+        elif child.tag in DROPPED:
+            continue
+        elif child.tag == "pre":
+            parts = deque([f"\n```\n{_raw(child).strip(chr(10))}\n```\n"])
+        else:
+            inside = child.children
+            if child.tag in ("ul", "ol"):
+                inside = [c for c in inside if isinstance(c, Node) and c.tag == "li"]
+            stack.append([child, iter(inside), deque(), 0])
+            continue
+        frame[2] = _joined(frame[2], parts)
 
 
 def _raw(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else _raw(c) for c in node.children)
+    parts, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            parts.append(n)
+        else:
+            stack.extend(reversed(n.children))
+    return "".join(parts)
 
 
 def anchors(root: Node) -> list[dict]:

@@ -233,3 +233,11 @@ def test_outline_of_all_levels(spark, tmp_path):
     got = QUERIES["x17_outline_all"](spark, str(tmp_path))
     assert [(r["pos"], r["level"], r["title"]) for r in got.orderBy("pos").collect()] == [(0, 2, "Two b"), (1, 1, "One"), (2, 6, "Six six"), (3, 3, "Three")]
     same(got, ORACLES["x17_outline_all"], str(tmp_path))
+
+
+@pytest.mark.parametrize("tag", ["p", "b", "li", "div", "ul><li", "pre"])
+def test_markdown_of_unclosed_tags_keeps_all_text(tag):
+    page = "<h1>Top</h1>" + "".join(f"<{tag}>word{i} " for i in range(1000)) + "<h2>End</h2>last"
+    md = html.markdown(html.parse(page))
+    assert [w for w in md.replace("*", " ").split() if w.startswith("word")] == [f"word{i}" for i in range(1000)]
+    assert "last" in md and "last" in html.split_at(page, ("h1", "h2"))[-1]["content"]
