@@ -1,10 +1,17 @@
-"""Licence scan: lines against licence templates by Dice's coefficient of word bigrams (operator 8).
+"""Licence scan: lines and passages against licence templates by Dice's coefficient of word bigrams (operator 8).
 
 SQL functions only.  A text's lines, and the whole text if it has several, are normalised (A-Z folded,
 runs of anything but a-z and 0-9 to one blank).  Dice at least LEAST forces the two bigram sets' sizes
 within a factor of each other, which leaves few templates to compare, and no line of other length is
 tokenised at all.  Everything is an expression of the row: no shuffle, no explode.
 
+Notices inside a longer line or wrapped over lines, and the texts in BODIES, are found as passages: windows
+of the whole text's words that begin and end with a bigram of the template and have at most (2 - LEAST) / LEAST
+times its bigrams.  A window at LEAST shares at least LEAST / (2 - LEAST) of the template's bigrams, so a text
+without that many, or without any of the words that these must touch, is not searched; nothing else is left
+out.  A passage counts once, from its first matching start on, and a line (or text) that matches a template as
+a unit is no passage of it again.
+
 Defined results: null and empty texts match nothing; a unit of one word has no bigrams and matches nothing; equal best
 scores go to the first licence in alphabetical order; repeated rows give repeated rows; an empty table
 gives no rows; other columns are ignored.
@@ -33,6 +40,51 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+#: Longer licence texts, found as passages only (they span lines).
+BODIES = {
+    "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
+software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution. {as_is}""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission. {as_is}""",
+    "gpl-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it
+will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
+Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see
+<https://www.gnu.org/licenses/>.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO
+THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT,
+OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
+TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE.""",
+}
+_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BODIES = {k: v.replace("{as_is}", _AS_IS) for k, v in BODIES.items()}
+
+#: Words that say little about a licence; a choice among all words, it changes no result.
+_COMMON = frozenset("a an and any are as at be but by can for from found have if in including is it its may more not of on or other see such that the this to under use used way whom with without work you".split())
+
 
 def words(text: str) -> list[str]:
     return [w for w in re.split("[^a-z0-9]+", re.sub("[A-Z]", lambda m: m.group().lower(), text)) if w]
@@ -49,6 +101,58 @@ def _bounds(least: float) -> tuple[int, int]:
     return int(-(-min(sizes) * least // (2 - least))), int(max(sizes) * (2 - least) / least)
 
 
+def _touching(text: str, need: int) -> list[str]:
+    """Words of which any ``need`` bigrams of the template have at least one."""
+    grams, out = set(bigrams(text)), []
+    total = len(grams)
+    while total - len(grams) < total - need + 1:
+        count = {}
+        for g in sorted(grams):
+            for w in set(g.split()):
+                count[w] = count.get(w, 0) + 1
+        best = min(count, key=lambda w: (w in _COMMON, -count[w], w))
+        out.append(best)
+        grams = {g for g in grams if best not in g.split()}
+    return out
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _passages(least: float) -> str:
+    """Array of (dice, name), one per passage, of a text with normal words ``w``, ``lines`` (words of each line)."""
+    rows, every = [], set()
+    for unit, texts in ((True, TEMPLATES), (False, BODIES)):
+        for k, t in texts.items():
+            grams = bigrams(t)
+            need, span = -int(-len(grams) * least / (2 - least) // 1), int(len(grams) * (2 - least) / least)
+            touch = _touching(t, need)
+            every.update(touch)
+            quoted = lambda xs: f"array({', '.join(map(repr, xs))})"
+            rows.append(f"struct('{k}' as name, {quoted(grams)} as grams, {quoted(touch)} as touch, {need} as need, {span} as span, {str(unit).lower()} as unit)")
+    gram = "concat(x[i - 1], ' ', x[i])"
+    dice = lambda g: f"2.0D * size(array_intersect({g}, t.grams)) / (size(array_distinct({g})) + size(t.grams))"
+    of = lambda x: f"transform(sequence(1, size({x}) - 1), i -> concat({x}[i - 1], ' ', {x}[i]))"
+    alike = lambda x: f"(t.unit and size({x}) > 1 and {_let(of(x), 'lg', dice('lg'))} >= {least})"
+    # Windows from the a-th bigram of the template on: the best, and where it ends.
+    ends = "filter(sequence(a + t.need - 2, size(p) - 1), e -> p[e] - p[a - 1] < t.span)"
+    window = _let("slice(x, p[a - 1], p[e] - p[a - 1] + 2)", "v", _let(of("v"), "vg", dice("vg")))
+    starts = f"""transform(filter(sequence(1, size(p) - t.need + 1), a -> p[a + t.need - 2] - p[a - 1] < t.span),
+        a -> struct(p[a - 1] as first, array_min(transform({ends}, e -> struct(-({window}) as d, p[e] as last))) as best))"""
+    greedy = f"""aggregate(filter({starts}, s -> -s.best.d >= {least}), struct(0 as last, cast(array() as array<struct<dice: double, name: string>>) as found),
+        (z, s) -> if(s.first > z.last, struct(s.best.last as last, concat(z.found, array(struct(-s.best.d as dice, t.name as name))) as found), z), z -> z.found)"""
+    none = "cast(array() as array<struct<dice: double, name: string>>)"
+    placed = _let(f"filter(sequence(1, size(x) - 1), i -> array_contains(t.grams, {gram}))", "p", f"if(size(p) < t.need, {none}, {greedy})")
+    # A line found as a unit becomes a gap that no window spans.
+    rest = f"flatten(transform(lines, l -> if({alike('l')}, array_repeat('|', t.span + 2), l)))"
+    one = f"if({alike('w')}, {none}, {_let(rest, 'x', f'if(size(x) > 1, {placed}, {none})')})"
+    near = f"filter(array({', '.join(rows)}), t -> arrays_overlap(w, t.touch))"
+    near = _let(f"array_distinct({of('w')})", "b", f"filter({near}, t -> size(array_intersect(b, t.grams)) >= t.need)")
+    return f"if(size(w) > 2 and arrays_overlap(w, array({', '.join(map(repr, sorted(every)))})), flatten(transform({near}, t -> {one})), {none})"
+
+
 def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, n_matches, licenses (distinct, comma-joined), best_license, best_dice of every document."""
     low, high = _bounds(least)
@@ -56,23 +160,28 @@ def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     lines = r"split(coalesce(text, ''), '\n', -1)"
     normal = "trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' '))"
     # A bigram needs two letters or digits and their gaps: shorter units cannot reach the least number of bigrams.
-    units = docs.select("doc_id", F.expr(f"filter(if(size({lines}) > 1, concat({lines}, array(text)), {lines}), u -> length(u) >= {2 * low + 1})").alias("units"))
-    worded = units.select("doc_id", F.expr(f"transform(units, u -> split({normal}, ' '))").alias("units"))
+    passages = _let(f"split({normal.replace('translate(u,', 'translate(text,')}, ' ')", "w", _let(f"filter(transform({lines}, u -> split({normal}, ' ')), l -> l[0] != '')", "lines", _passages(least)))
+    units = docs.select("doc_id", F.expr(f"if(text is null, null, {passages})").alias("passages"), F.expr(f"filter(if(size({lines}) > 1, concat({lines}, array(text)), {lines}), u -> length(u) >= {2 * low + 1})").alias("units"))
+    worded = units.select("doc_id", "passages", F.expr(f"transform(units, u -> split({normal}, ' '))").alias("units"))
     # Words may repeat, so only the distinct bigrams are bounded from above.
     pairs = worded.select(
         "doc_id",
+        "passages",
         F.expr(
             f"filter(transform(filter(units, w -> size(w) > {low}), w -> array_distinct(transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i])))), g -> size(g) between {low} and {high})"
         ).alias("units"),
     )
     matched = pairs.select(
         "doc_id",
+        "passages",
         F.expr(
             f"""flatten(transform(units, g -> filter(transform(array({templates}), t -> struct(
                 if(size(g) * {2 - least} >= {least} * size(t.grams) and size(t.grams) * {2 - least} >= {least} * size(g),
                    2.0D * size(array_intersect(g, t.grams)) / (size(g) + size(t.grams)), 0D) as dice, t.name as name)), m -> m.dice >= {least})))"""
         ).alias("m"),
     )
+    none = "cast(array() as array<struct<dice: double, name: string>>)"
+    matched = matched.select("doc_id", F.expr(f"concat(m, coalesce(passages, {none}))").alias("m"))
     best = "array_min(transform(m, x -> struct(-x.dice as d, x.name as n)))"
     return matched.select(
         "doc_id",

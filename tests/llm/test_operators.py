@@ -497,6 +497,23 @@ def test_language_edges(spark, awkward, empty):
 # ---- 8
 
 
+def test_license_passages(spark):
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU\nGeneral Public License, version 3."
+    texts = [
+        f"Some text about rivers. {mit} More text that goes on and on about boats and fish.",
+        f"First words here\nand then. {gpl} After it\nthe text goes on",
+        f"a b c. {mit} d e f g h i j k l m n o p. {mit} q r s t u v w x y z",
+        "Title\n" + license_dice.BODIES["mit"].replace("Permission", "Copyright 2020 A. B.\n\nPermission") + "\nint main",
+        license_dice.BODIES["bsd-3-clause"].replace(" ", "\n "),
+        "x " * 50 + license_dice.BODIES["apache-2.0"],
+        "The MIT crowd was released last year; under the bridge a license lay. All rights were sold.",
+    ]
+    got = {r["doc_id"]: r for r in license_dice.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["licenses"] for i in range(7)] == ["mit", "gpl-3.0", "mit", "mit", "bsd-2-clause,bsd-3-clause", "apache-2.0", ""]
+    assert [got[i]["n_matches"] for i in range(4)] == [1, 1, 2, 1]
+    assert [got[i]["best_dice"] for i in range(6)] == [1.0] * 6 and got[6]["best_dice"] is None
+
+
 def test_license_edges(spark, awkward, empty):
     got = {r["doc_id"]: r for r in license_dice.scan(awkward).collect()}
     assert got[7]["licenses"] == "mit" and got[7]["best_dice"] == 1.0
