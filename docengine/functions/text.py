@@ -89,10 +89,11 @@ def section_levels(title: Column) -> tuple[Column, Column]:
 
 
 def tags(c: Column, dictionary: dict[str, list[str]] | None = None) -> Column:
-    """Sorted categories with a contained keyword, and up to five sample fetches."""
+    """Sorted categories with a contained keyword, contained http-request directives and up to five sample fetches."""
     low = F.lower(c)
     found = [F.when(_any_contained(low, words), F.lit(name)) for name, words in (dictionary or D.TAG_KEYWORDS).items()]
     fetches = F.transform(F.slice(F.regexp_extract_all(low, F.lit(r"\b(sc\d+_[a-z_]+|table_[a-z_]+)\b"), F.lit(1)), 1, 5), lambda x: F.concat(F.lit("sample_fetch:"), x))
+    found += [F.when(low.contains(action), F.lit(f"directive:{action.replace(' ', '_')}")) for action in D.HTTP_REQUEST_ACTIONS]
     return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*found)), fetches)))
 
 
@@ -124,9 +125,10 @@ def blank_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+"), lambda t: t != "")
 
 
-def expand(token_list: Column, text: Column, dictionary: dict[str, list[str]]) -> Column:
-    """Tokens with the expansions of every contained phrase."""
-    low = F.lower(text)
+def expand(token_list: Column, text: Column, dictionary: dict[str, list[str]] | None = None) -> Column:
+    """Tokens with the expansions of every contained phrase, by default those of QUERY_EXPANSIONS and of "http" (F17)."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    dictionary = {**D.QUERY_EXPANSIONS, "http": D.HTTP_EXPANSIONS} if dictionary is None else dictionary
     more = [F.when(low.contains(k), F.array(*[F.lit(x) for x in v])).otherwise(F.array().cast("array<string>")) for k, v in dictionary.items()]
     return F.array_sort(F.array_distinct(F.concat(token_list, *more)))
 
@@ -165,8 +167,25 @@ def salvage_json(c: Column, schema: str) -> Column:
 
 
 def code_block(c: Column) -> Column:
-    """The first fenced block: with a language, without one, else null."""
-    return F.coalesce(*[F.nullif(strip(F.regexp_extract(c, p, 1)), F.lit("")) for p in (r"(?s)```[a-z]+\n(.*?)```", r"(?s)```\n?(.*?)```")])
+    """The first fenced block: with a language, without one, else the text after "Configuration corrigée:", else the configuration lines, else null."""
+    out = None
+    for p in (r"(?s)```[a-z]+\n(.*?)```", r"(?s)```\n?(.*?)```", r"(?sU)Configuration corrigée\s*:\s*\n(.*?)(?:\n\n|\n[A-Z])"):
+        block = strip(F.regexp_extract(c, p, 1))
+        out = F.when(c.rlike(p), block) if out is None else out.when(c.rlike(p), block)
+    return F.nullif(out.otherwise(_config_lines(c)), F.lit(""))
+
+
+def _config_lines(c: Column) -> Column:
+    """Lines from the first section word on, without comments, up to a line of prose (capital letter, over three words), which is kept."""
+    start = F.struct(F.lit(False).alias("on"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("kept"))
+
+    def add(acc, line):
+        on = ~acc["over"] & (acc["on"] | line.isin("global", "defaults", "frontend", "backend", "listen"))
+        prose = line.rlike(r"^\p{Lu}") & (F.size(blank_tokens(line)) > 3)
+        kept = F.when(on & (line != "") & ~line.startswith("#"), F.concat(acc["kept"], F.array(line))).otherwise(acc["kept"])
+        return F.struct(on.alias("on"), (acc["over"] | (on & prose)).alias("over"), kept.alias("kept"))
+
+    return F.array_join(F.aggregate(F.transform(F.split(c, "\n"), strip), start, add)["kept"], "\n")
 
 
 def claimed_errors(df: DataFrame, text: str = "answer") -> DataFrame:

@@ -107,6 +107,14 @@ def expand(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(X.expand(X.tokens(F.col("text")), F.col("text"), _EXPANSIONS), " ").alias("terms"))
 
 
+_EXP_ALL = " ".join(f"|| CASE WHEN contains(lower(text), '{k}') THEN {list(v)!r} ELSE [] END" for k, v in {**D.QUERY_EXPANSIONS, "http": D.HTTP_EXPANSIONS}.items())
+
+
+@query("f17_expand_all", f"SELECT item_id, array_to_string(list_sort(list_distinct({_TOK} {_EXP_ALL})), ' ') AS terms FROM benchmark")
+def expand_all(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(X.expand(X.tokens(F.col("text")), F.col("text")), " ").alias("terms"))
+
+
 _SEC = " || ".join(f"CASE WHEN contains(lower(text), '{k}') THEN {v!r} ELSE []::VARCHAR[] END" for k, v in D.SECTION_HINTS.items())
 
 
@@ -145,6 +153,11 @@ def code_block(spark, sf):
     return d.select("doc_id", X.code_block(F.concat(F.lit("see:\n```cfg\n"), "text", F.lit("\n```\nend"))).alias("code"))
 
 
+@query("f23_code_block_all", r"SELECT doc_id, nullif(trim(CASE WHEN contains(text, '```') THEN left(text, strpos(text, '```') - 1) ELSE text END, E' \n\t\r'), '') AS code FROM documents")
+def code_block_all(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.code_block(F.concat(F.lit("see:\n```cfg\n"), "text", F.lit("\n```\nend"))).alias("code"))
+
+
 @query("f24_claimed_errors", "SELECT doc_id, 0::INT AS line_no, 'syntax' AS error_type FROM documents")
 def claimed_errors(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.lit("Error: bad syntax here\nall fine").alias("answer"))

@@ -241,3 +241,22 @@ def test_markdown_of_unclosed_tags_keeps_all_text(tag):
     md = html.markdown(html.parse(page))
     assert [w for w in md.replace("*", " ").split() if w.startswith("word")] == [f"word{i}" for i in range(1000)]
     assert "last" in md and "last" in html.split_at(page, ("h1", "h2"))[-1]["content"]
+
+
+def test_full_dictionaries(spark):
+    c = F.col("t")
+    assert one(spark, X.tokens(c), t="Le serveur et les ports are from the list and more") == ["serveur", "ports", "list", "and", "more"]
+    assert one(spark, X.tags(c), t="uses http_req_cnt; http-request set-header X") == ["directive:http-request_set-header", "stick-table", "timeout"]
+    for text, hint in (("Désactiver x", "backend"), ("leastconn", "loadbalancing"), ("délai", "timeout"), ("surveillance", "stats"), ("uppercase", "advanced"), ("ciphers", "ssl"), ("zzz", None)):
+        assert one(spark, X.category_hint(c), t=text) == hint
+    assert one(spark, X.expand(X.tokens(c), c), t="TLS over http") == ["HTTP", "cafile", "certificate", "crt", "http", "http-request", "http-response", "httpchk", "over", "ssl", "tls", "verify"]
+    assert one(spark, X.code_block(c), t="Voici. Configuration corrigée :\nbind *:80\nmode tcp\n\nFin") == "bind *:80\nmode tcp"
+    assert one(spark, X.code_block(c), t="So:\nglobal\n  # note\n  daemon\n\ndefaults\n mode http\nThis is all the text\nnever") == "global\ndaemon\ndefaults\nmode http\nThis is all the text"
+    assert one(spark, X.code_block(c), t="no code") is None and one(spark, X.code_block(c), t="```cfg\n\n```") is None
+
+
+def test_code_block_of_texts_with_backticks(spark, tmp_path):
+    from docengine.registry import QUERIES
+
+    spark.createDataFrame([(1, "use `a` here"), (2, "x\n```y"), (3, "plain")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["code"] for r in QUERIES["f23_code_block_all"](spark, str(tmp_path)).collect()} == {1: "use `a` here", 2: "x", 3: "plain"}
