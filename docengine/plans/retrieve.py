@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import text as X
 from docengine.operators import fusion, lexical, vectors
 
 
-def hybrid(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, query_vectors: DataFrame, fetch: int = 50, k: int = 30) -> DataFrame:
+def expanded_tokens(text: Column) -> Column:
+    """Terms of an expanded query: its tokens twice, and the distinct tokens and expansions in lower case."""
+    once = F.filter(F.transform(X.expand(X.tokens(text), text), F.lower), lambda t: F.length(t) > 1)
+    return F.concat(X.tokens(text), X.tokens(text), once)
+
+
+def hybrid(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, query_vectors: DataFrame, fetch: int = 50, k: int = 30, expand: bool = False) -> DataFrame:
     """query_id, id, rrf_score, rank of the fused branches.
 
+    ``expand``: a query's tokens count twice and once more with its expansions.
+
     chunks (id, text), embeddings (id, embedding), queries (query_id, text), query_vectors (query_id, embedding).
     """
     index = lexical.build(chunks, "id", X.tokens(F.col("text")))
-    terms = lexical.query_terms(queries, "query_id", X.tokens(F.col("text")))
+    terms = lexical.query_terms(queries, "query_id", expanded_tokens(F.col("text")) if expand else X.tokens(F.col("text")))
     words = fusion.top(lexical.search(index, terms).withColumn("score", F.round("score", 6)), fetch)
     near = vectors.nearest(embeddings, query_vectors, fetch)
     fused = fusion.rrf(words, near).withColumn("rrf_score", F.round("rrf_score", 9))
     return fusion.top(fused, k, "rrf_score")
 
 
-def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, query_vectors: DataFrame, fetch: int = 50, fused: int = 30, k: int = 10, threshold: float = 0.0) -> DataFrame:
-    """query_id, id, score, rank, best_score, low_confidence: the whole retrieval plan."""
-    found = hybrid(chunks, embeddings, queries, query_vectors, fetch, fused)
-    q = queries.select("query_id", X.tokens(F.col("text")).alias("base"), X.category_hint(F.col("text")).alias("hint"))
-    rows = found.join(chunks.select("id", F.col("text").alias("content"), F.col("title"), F.col("category")), "id").join(q, "query_id")
-    rows = rows.withColumn("expanded", F.array_distinct("base")).withColumn("keywords", F.array().cast("array<string>")).withColumn("synonyms", F.array().cast("array<string>"))
+def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, query_vectors: DataFrame, fetch: int = 50, fused: int = 30, k: int = 10, threshold: float = 0.0, expand: bool = False) -> DataFrame:
+    """query_id, id, score, rank, best_score, low_confidence: the whole retrieval plan.
+
+    Arrays ``keywords`` and ``synonyms`` of the chunks count where there are such columns.
+    """
+    found = hybrid(chunks, embeddings, queries, query_vectors, fetch, fused, expand)
+    q = queries.select("query_id", X.tokens(F.col("text")).alias("base"), (X.expand(X.tokens(F.col("text")), F.col("text")) if expand else F.array_distinct(X.tokens(F.col("text")))).alias("expanded"), X.category_hint(F.col("text")).alias("hint"))
+    words = [(F.col(c) if c in chunks.columns else F.array().cast("array<string>")).alias(c) for c in ("keywords", "synonyms")]
+    rows = found.join(chunks.select("id", F.col("text").alias("content"), F.col("title"), F.col("category"), *words), "id").join(q, "query_id")
     scored = fusion.boost(rows).withColumn("score", F.round("boosted", 9))
     out = fusion.top(scored, k).withColumn("best_score", F.max("score").over(Window.partitionBy("query_id")))
     return out.select("query_id", "id", "score", "rank", "best_score", (F.col("best_score") < threshold).alias("low_confidence"), "content", "title")

@@ -6,6 +6,7 @@ from docengine.functions import dictionaries as D
 from docengine.functions import text as X
 from docengine.operators import fusion, lexical, providers, vectors
 from docengine.plans import retrieve as R
+from docengine.queries.text import _EXP_ALL
 from docengine.registry import ORACLES, query, table
 
 _STOP = ", ".join(f"'{w}'" for w in D.STOPWORDS)
@@ -150,6 +151,33 @@ def retry_queries(spark, sf):
     return R.retry_simplified(q, q.filter("false"))
 
 
+# The same with query expansion: tokens twice, and once more with the expansions.
+_BM25_X = _BM25.replace(f"unnest({_tok('text')}) AS term FROM benchmark", f"unnest({_tok('text')} || {_tok('text')} || list_filter(list_transform(list_distinct({_tok('text')} {_EXP_ALL}), lambda x: lower(x)), lambda x: length(x) > 1)) AS term FROM benchmark")
+_BOOST_X = _BOOST.replace(f"{_tok('text')} AS base,", f"{_tok('text')} AS base, list_distinct({_tok('text')} {_EXP_ALL}) AS ex,").replace("list_distinct(base) AS ex,", "ex,")
+_RANK = "CAST(rank AS INTEGER) AS rank"
+
+
+@query("i10_bm25_search_expanded", f"WITH {_BM25_X} SELECT query_id, id, score, {_RANK} FROM bmr WHERE rank <= 10")
+def bm25_search_expanded(spark, sf):
+    terms = lexical.query_terms(table(spark, sf, "benchmark"), "item_id", R.expanded_tokens(F.col("text")))
+    return fusion.top(lexical.search(_index(spark, sf), terms).withColumn("score", F.round("score", 6)), 10)
+
+
+@query("i13_hybrid_expanded", f"WITH {_BM25_X}, {_KNN}, {_RRF} SELECT query_id, id, rrf_score, {_RANK} FROM hy")
+def hybrid_expanded(spark, sf):
+    return R.hybrid(*_hybrid_inputs(spark, sf), expand=True)
+
+
+@query("i24_retrieve_expanded", f"WITH {_BM25_X}, {_KNN}, {_RRF}, {_BOOST_X} SELECT query_id, id, score, {_RANK}, max(score) OVER (PARTITION BY query_id) AS best_score, false AS low_confidence FROM rt")
+def retrieve_expanded(spark, sf):
+    return R.retrieve(*_hybrid_inputs(spark, sf), expand=True).drop("content", "title")
+
+
+@query("i26_context_expanded", f"WITH {_BM25_X}, {_KNN}, {_RRF}, {_BOOST_X} SELECT query_id, string_agg(d.text, E'\\n\\n---\\n\\n' ORDER BY rank) AS context FROM rt JOIN documents d ON d.doc_id = rt.id GROUP BY query_id")
+def context_expanded(spark, sf):
+    return R.context(R.retrieve(*_hybrid_inputs(spark, sf), expand=True)).select("query_id", "context")
+
+
 def _positions(spark, sf):
     return _knn(spark, sf, 30).select("query_id", F.col("rank").alias("pos"), "id", F.round("similarity", 6).alias("score"))
 

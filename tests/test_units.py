@@ -260,3 +260,19 @@ def test_code_block_of_texts_with_backticks(spark, tmp_path):
 
     spark.createDataFrame([(1, "use `a` here"), (2, "x\n```y"), (3, "plain")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["doc_id"]: r["code"] for r in QUERIES["f23_code_block_all"](spark, str(tmp_path)).collect()} == {1: "use `a` here", 2: "x", 3: "plain"}
+
+
+def test_retrieval_with_expansion(spark):
+    from docengine.plans import retrieve as R
+
+    chunks = spark.createDataFrame([(1, "cafile and crt lines", "a", "x", ["pem"], ["TLS"])] + [(i, f"other words {i}", "b", "x", [], []) for i in range(2, 9)], "id long, text string, title string, category string, keywords array<string>, synonyms array<string>")
+    vectors_ = spark.createDataFrame([(8, [1.0, 0.0])], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, "tls")], "query_id long, text string")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    ids = lambda df: {r["id"] for r in df.collect()}
+    assert ids(R.hybrid(chunks, vectors_, queries, asked)) == {8}
+    assert ids(R.hybrid(chunks, vectors_, queries, asked, expand=True)) == {1, 8}
+    score = lambda c: next(r["score"] for r in R.retrieve(c, vectors_, queries, asked, expand=True).collect() if r["id"] == 1)
+    plain = score(chunks.drop("keywords", "synonyms"))
+    assert score(chunks) == pytest.approx(plain + 0.16 / 61, abs=1e-8)
+    assert plain == pytest.approx((1 + 0.5 * 2 / 6) / 61, abs=1e-8)
