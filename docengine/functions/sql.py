@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import StringType
 
 from docengine.operators.chunking import semantic_split
 from docengine.sources.html import markdown, parse
@@ -17,7 +18,7 @@ class SemanticChunks:
         yield from enumerate(semantic_split(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a DDL string would need a session at import
 def md_text(html: pd.Series) -> pd.Series:
     return html.map(lambda h: markdown(parse(h)).strip() if h is not None else None)
 

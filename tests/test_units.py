@@ -1,6 +1,9 @@
 """Shapes the driver's tables lack: fences, ids, cycles, quirks, ties."""
 
+import pathlib
 import random
+import subprocess
+import sys
 
 import pytest
 from hypothesis import given, settings
@@ -276,3 +279,9 @@ def test_retrieval_with_expansion(spark):
     plain = score(chunks.drop("keywords", "synonyms"))
     assert score(chunks) == pytest.approx(plain + 0.16 / 61, abs=1e-8)
     assert plain == pytest.approx((1 + 0.5 * 2 / 6) / 61, abs=1e-8)
+
+
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; from pyspark.sql import SparkSession as S; assert len(e.queries()) >= len(e.oracle_sql()) > 100; assert S.getActiveSession() is None"
+    root = pathlib.Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
