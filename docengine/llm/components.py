@@ -1,7 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step is a map-side combined minimum and a join, written to the shared folder; the number of steps
-grows with the logarithm of the longest path, and no node's neighbours are gathered anywhere.
+grows with the logarithm of the longest path, and no node's neighbours are gathered anywhere.  The minima
+are written out before they are joined: both sides of the join are then shuffles, of which adaptive
+execution splits the one a hub makes large.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from .common import materialise
 
 def _star(edges: DataFrame, both: DataFrame, upward: bool) -> DataFrame:
     """Points the larger (upward) or the smaller-or-equal neighbours of each node at its least neighbour."""
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     rows = both.join(least, "a")
     if upward:
         out = rows.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

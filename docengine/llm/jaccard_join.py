@@ -5,21 +5,25 @@ documents link when their sets' Jaccard similarity is at least 80 %.  Steps, eac
 
 1. Equal texts collapse to their least doc_id.
 2. Shared shingles: shingles are dealt by hash; a document of whose n shingles fewer than 0.8 n occur in
-   another document has no link and leaves.
+   another document has no link and leaves.  Shingles of several documents of one map task are counted
+   there and sent once, so the most common shingle is a few entries of its shard.
 3. Blocks: a set is cut by hash range into sublists of about 16 to 64 shingles.  Of two linked documents
    some sublist pair is itself 0.8 similar, so their prefixes (rarest first) share a shingle; a parity
-   signature bounds their difference from below.  Pairs that pass are joined to blocks.
+   signature bounds their difference from below.  Pairs that pass are joined to blocks.  Equal sublists of
+   one map task are joined there and sent once.
 4. Search: inside a block every set is a query against the block's inverted lists: the short lists are
    merged by a heap, the long ones probed by binary search (DivideSkip), and documents reaching the
-   required overlap are linked.  A block over BLOCK_SHINGLES is cut into slices, a task per pair.
+   required overlap are linked.  A block over BLOCK_SHINGLES is cut into slices: each is searched alone,
+   then one document of each component found, and last the documents outside the block's largest
+   component against all slices.  A group of near copies is thus read three times, whatever its size.
 
 Searches leave out documents already known to be in the query's component, so no group of copies is
 expanded into pairs.
 
 Defined results: null and empty texts, and texts without words, have no shingles and their own doc_id as
 component; repeated rows are copies of each other; rows of one doc_id with different texts count as one
-document with all their links; a null doc_id links with nothing; an empty table gives no rows; other
-columns are ignored.
+document with all their links, each row with the size of its own text's set; a null doc_id links with
+nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,29 +97,44 @@ def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-_PACKED = "shard int, docs binary, counts binary, tokens binary"
-_PACKED_NAMES = ["shard", "docs", "counts", "tokens"]
+_PACKED = "shard int, docs binary, counts binary, tokens binary, often binary, times binary"
+_PACKED_NAMES = ["shard", "docs", "counts", "tokens", "often", "times"]
 
 
 def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=_PACKED_NAMES)
 
 
 def _deal_shingles(shards: int):
-    """Rows of (shard, documents, their numbers of shingles there, low halves of the hashes); set sizes go with shard -1 - s."""
+    """Rows of (shard, documents, their numbers of shingles there, low halves of the hashes, those of several documents, how many).
+
+    Shingles of several documents at hand are counted here.  Set sizes, and how many shingles are known to
+    be shared, go with shard -1 - s.
+    """
 
     def flush(ids, sets):
         tokens, off = ragged(sets)
         sizes = np.diff(off)
         ids = np.array(ids, np.int64)
-        rows = [(-1 - int(ids[0]) % shards, ids.tobytes(), sizes.astype(np.uint32).tobytes(), b"")]
-        if len(tokens):
-            doc = np.repeat(np.arange(len(ids)), sizes)
-            low = tokens.astype(np.uint32)
-            for s, at in _groups(_shard_of(tokens, shards), shards):
-                own, counts = np.unique(doc[at], return_counts=True)
-                rows.append((s, ids[own].tobytes(), counts.astype(np.uint32).tobytes(), low[at].tobytes()))
+        doc = np.repeat(np.arange(len(ids)), sizes)
+        order = np.argsort(tokens)
+        tokens, doc = tokens[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(tokens)))
+        several = np.repeat(times > 1, times)
+        shared = np.bincount(doc[several], minlength=len(ids))
+        rows = [(-1 - int(ids[0]) % shards, ids.tobytes(), sizes.astype(np.uint32).tobytes(), shared.astype(np.uint32).tobytes(), b"", b"")]
+        single, single_doc = tokens[~several], doc[~several]
+        by_doc = np.argsort(single_doc, kind="stable")
+        single, single_doc = single[by_doc], single_doc[by_doc]
+        often, often_times = tokens[first[times > 1]], times[times > 1].astype(np.uint32)
+        alone, common = dict(_groups(_shard_of(single, shards), shards)), dict(_groups(_shard_of(often, shards), shards))
+        none = np.zeros(0, np.int64)
+        for s in alone.keys() | common.keys():
+            at, more = alone.get(s, none), common.get(s, none)
+            own, counts = np.unique(single_doc[at], return_counts=True)
+            rows.append((s, ids[own].tobytes(), counts.astype(np.uint32).tobytes(), single[at].astype(np.uint32).tobytes(), often[more].astype(np.uint32).tobytes(), often_times[more].tobytes()))
         return _packed_batch(rows)
 
     def run(batches):
@@ -147,36 +166,53 @@ def _count_shared(buckets: int):
     return lambda batches: _shared_rows(batches, buckets)
 
 
-def _shared_rows(batches, buckets: int):
-    held: dict[int, list] = {}
+def _by_shard(batches):
+    """(shard, its columns) of rows ordered by shard: one shard is held at a time."""
+    now, held = None, []
     for batch in batches:
-        for s, docs, counts, low in zip(*batch.columns, strict=True):
-            held.setdefault(s.as_py(), []).append((np.frombuffer(docs.as_py(), np.int64), np.frombuffer(counts.as_py(), np.uint32), np.frombuffer(low.as_py(), np.uint32)))
-    ids, sizes, with_shared, shared, hot, hot_df = [], [], [], [], [], []
-    for s in sorted(held):
-        parts = held.pop(s)
-        docs, counts, low = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        for s, *columns in zip(*batch.columns, strict=True):
+            if s.as_py() != now:
+                if held:
+                    yield now, held
+                now, held = s.as_py(), []
+            held.append([c.as_py() for c in columns])
+    if held:
+        yield now, held
+
+
+def _shared_rows(batches, buckets: int):
+    ids, sizes, known, with_shared, shared, hot, hot_df = [], [], [], [], [], [], []
+    for s, parts in _by_shard(batches):
+        join = lambda i, kind: np.frombuffer(b"".join(p[i] for p in parts), kind)  # noqa: B023, E731
+        docs, counts, low = join(0, np.int64), join(1, np.uint32), join(2, np.uint32)
         if s < 0:
             ids.append(docs)
             sizes.append(counts.astype(np.int64))
+            known.append(low.astype(np.int64))
+            continue
+        # Single shingles first, each of one document; then those counted before.
+        every = np.concatenate([low, join(3, np.uint32)])
+        times = np.concatenate([np.ones(len(low), np.int64), join(4, np.uint32).astype(np.int64)])
+        if not len(every):
             continue
-        order = np.argsort(low)
-        low = low[order]
-        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        df = np.diff(np.append(first, len(low)))
-        entry = np.repeat(np.arange(len(docs)), counts)[order]
-        n = np.bincount(entry[np.repeat(df > 1, df)], minlength=len(docs))
+        order = np.argsort(every)
+        ordered = every[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        df = np.add.reduceat(times[order], first)
+        also = np.empty(len(every), bool)
+        also[order] = np.repeat(df > 1, np.diff(np.append(first, len(every))))
+        n = np.bincount(np.repeat(np.arange(len(docs)), counts)[also[: len(low)]], minlength=len(docs))
         with_shared.append(docs[n > 0])
         shared.append(n[n > 0])
         often = df >= FREQUENT
-        hot.append((np.int64(s) << 32) | low[first[often]].astype(np.int64))
+        hot.append((np.int64(s) << 32) | ordered[first[often]].astype(np.int64))
         hot_df.append(df[often])
     empty = np.zeros(0, np.int64)
     b, where = np.unique(np.concatenate([*with_shared, empty]), return_inverse=True)
     b_shared = np.bincount(where, np.concatenate([*shared, empty]), len(b)).astype(np.int64)
     docs = np.concatenate([*ids, b])
     n = np.concatenate([*sizes, np.full(len(b), -1, np.int64)])
-    count = np.concatenate([np.zeros(len(docs) - len(b), np.int64), b_shared])
+    count = np.concatenate([*known, b_shared])
     rows = [(k, docs[at].tobytes(), n[at].tobytes(), count[at].tobytes()) for k, at in _groups(_shard_of(mix64(docs.astype(np.uint64)), buckets), buckets)]
     if rows:
         columns = list(zip(*rows, strict=True))
@@ -189,13 +225,14 @@ def _shared_rows(batches, buckets: int):
 
 
 def _sum_documents(batches):
-    """doc_id, n, shared over all rows of a task; a document's rows all reach one task."""
+    """doc_id, n, shared over all rows of a task; a document's rows all reach one task. Of several texts the least set counts."""
     parts = [[np.frombuffer(x.as_py(), np.int64) for x in row] for batch in batches for row in zip(*batch.columns, strict=True)]
     if parts:
         docs, n, shared = (np.concatenate(x) for x in zip(*parts, strict=True))
         ids, where = np.unique(docs, return_inverse=True)
-        size = np.full(len(ids), -1, np.int64)
-        np.maximum.at(size, where, n)
+        size = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(size, where[n > 0], n[n > 0])
+        size[size == np.iinfo(np.int64).max] = 0
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(np.bincount(where, shared, len(ids)).astype(np.int64))], names=["doc_id", "n", "shared"])
 
 
@@ -213,6 +250,8 @@ _POSTING = np.dtype([("key", "<u8"), ("doc", "<i8"), ("m", "<u4"), ("a", "<u8"),
 def postings(doc_id: int, tokens: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     """Prefix postings of each sublist. weight: 0, or how frequent a shingle is."""
     n, level = len(tokens), level_of(len(tokens))
+    if not n:
+        return []
     levels = [level] if DENOMINATOR * n < NUMERATOR * 16 * 4 ** (level + 1) else [level, level + 1]
     bit = (tokens >> np.uint64(8)) & np.uint64(127)
     one = np.uint64(1) << (bit & np.uint64(63))
@@ -235,12 +274,26 @@ def postings(doc_id: int, tokens: np.ndarray, weight: np.ndarray) -> list[np.nda
     return out
 
 
+def _equal_joined(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Postings with equal key, size and signature once, by their least document, and the pairs (document, that one)."""
+    p = p[np.lexsort((p["doc"], p["b"], p["a"], p["m"], p["key"]))]
+    new = np.ones(len(p), bool)
+    new[1:] = (p["key"][1:] != p["key"][:-1]) | (p["m"][1:] != p["m"][:-1]) | (p["a"][1:] != p["a"][:-1]) | (p["b"][1:] != p["b"][:-1])
+    least = p["doc"][new][np.cumsum(new) - 1]
+    pairs = np.stack([p["doc"], least], axis=1)[~new]
+    return p[new], np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
 def _deal_postings(frequent, hot_shards: int, shards: int):
+    """Rows of (shard, postings), and of pairs already known: (-1 - s, documents two by two)."""
+
     def flush(parts):
-        every = np.concatenate(parts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*((s, every[at].tobytes()) for s, at in _groups(_shard_of(every["key"], shards), shards)), strict=True), (pa.int32(), pa.binary()), strict=True)], names=["shard", "postings"]
-        )
+        every, pairs = _equal_joined(np.concatenate(parts))
+        rows = [(s, every[at].tobytes()) for s, at in _groups(_shard_of(every["key"], shards), shards)]
+        pairs = _spanning(pairs)
+        if len(pairs):
+            rows.append((-1 - int(pairs[0, 0]) % shards, pairs.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "postings"])
 
     def run(batches):
         keys, df = frequent.value
@@ -255,7 +308,7 @@ def _deal_postings(frequent, hot_shards: int, shards: int):
                         weight = np.where(keys[at] == full, df[at], 0)
                     parts += postings(doc_id, tokens, weight)
                     held += len(tokens)
-                if held >= FLUSH_SHINGLES:
+                if parts and held >= FLUSH_SHINGLES:
                     yield flush(parts)
                     parts, held = [], 0
         if parts:
@@ -293,14 +346,34 @@ def _near(p: np.ndarray, u: int, others: np.ndarray) -> np.ndarray:
 
 
 def _block_edges(batches):
-    """A spanning forest of the pairs that some inverted list lets through."""
-    raw = [x.as_py() for batch in batches for x in batch.column(1)]
-    if not raw:
-        return
-    p = np.frombuffer(b"".join(raw), _POSTING)
-    del raw
-    p = p[np.argsort(p["key"], kind="stable")]
-    ids, doc = np.unique(p["doc"], return_inverse=True)
+    """A spanning forest of the pairs that some inverted list lets through, shard by shard."""
+    for s, parts in _by_shard(batches):
+        raw = b"".join(p[0] for p in parts)
+        del parts
+        if s < 0:
+            yield _edge_batch(_spanning(np.frombuffer(raw, np.int64).reshape(-1, 2)))
+        else:
+            p, pairs = _equal_joined(np.frombuffer(raw, _POSTING))
+            del raw
+            yield _edge_batch(_shard_edges(p, pairs))
+
+
+def _edge_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
+
+def _spanning(pairs: np.ndarray) -> np.ndarray:
+    """A spanning forest of pairs of ids."""
+    ids, at = np.unique(pairs, return_inverse=True)
+    forest = Forest(len(ids))
+    kept = [k for k, (x, y) in enumerate(at.reshape(-1, 2).tolist()) if forest.join(x, y)]
+    return pairs[kept]
+
+
+def _shard_edges(p: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """A spanning forest of known pairs and those that the lists of postings (ordered by key) let through."""
+    ids, at = np.unique(np.concatenate([p["doc"], known.ravel()]), return_inverse=True)
+    doc, known = at[: len(p)], at[len(p) :].reshape(-1, 2)
     first = np.flatnonzero(np.concatenate([[True], p["key"][1:] != p["key"][:-1]]))
     size = np.diff(np.append(first, len(p)))
     forest, edges = Forest(len(ids)), []
@@ -309,6 +382,8 @@ def _block_edges(batches):
         if forest.join(x, y):
             edges.append((x, y))
 
+    for a, b in known.tolist():
+        link(a, b)
     pair = first[size == 2]
     if len(pair):
         m, n = p["m"][pair].astype(np.int64), p["m"][pair + 1].astype(np.int64)
@@ -334,9 +409,8 @@ def _block_edges(batches):
                     for v in found.tolist():
                         link(int(doc[u]), int(doc[v]))
                     queue += found.tolist()
-    if edges:
-        e = np.array(edges)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[e[:, 0]]), pa.array(ids[e[:, 1]])], names=["a", "b"])
+    e = np.array(edges, np.int64).reshape(-1, 2)
+    return ids[e]
 
 
 def merge_counts(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -369,8 +443,8 @@ def divide_skip(lists: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np
     return ids, counts
 
 
-def search(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links (positions) that connect every component of the sets' similarity graph."""
+def search(sets: list[np.ndarray], labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (positions) that connect every component of the sets' similarity graph; equal labels are connected already."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sets = [sets[i] for i in order]
     n = np.array([len(s) for s in sets])
@@ -384,13 +458,27 @@ def search(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     number[by_token] = np.repeat(np.arange(len(first)), stop - first)
     # Lists ascend by position, and so by size.
     root, links, recent = np.arange(len(sets)), [], []
+    members = {i: [i] for i in range(len(sets))}
+
+    def merge(x: int, y: int) -> bool:
+        x, y = int(root[x]), int(root[y])
+        if x == y:
+            return False
+        if len(members[x]) < len(members[y]):
+            x, y = y, x
+        gone = members.pop(y)  # the smaller side is renamed: each set at most log2 times
+        root[gone] = x
+        members[x] += gone
+        return True
 
     def link(x: int, y: int) -> None:
-        if root[x] != root[y]:
+        if merge(x, y):
             links.append((order[x], order[y]))
-            old, new = max(root[x], root[y]), min(root[x], root[y])
-            root[root == old] = new
 
+    if labels is not None:
+        seen: dict[int, int] = {}
+        for i, k in enumerate(order):
+            merge(seen.setdefault(labels[k], i), i)
     for q in range(len(sets)):
         lo = int(np.searchsorted(n, needed(int(n[q]))))
         if lo >= q:
@@ -398,7 +486,7 @@ def search(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             continue
         # A link to a recent set first: then only sets outside that component are searched for.
         for x in recent[-2:]:
-            if x >= lo and similar(len(np.intersect1d(sets[q], sets[x], assume_unique=True)), n[q], n[x]):
+            if x >= lo and root[x] != root[q] and similar(len(np.intersect1d(sets[q], sets[x], assume_unique=True)), n[q], n[x]):
                 link(q, x)
                 break
         free = root[lo:q] != root[q]
@@ -417,39 +505,93 @@ def search(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             ids, counts = divide_skip(lists, needed(int(n[q])))
             for x in ids[similar(counts, n[q], n[ids])].tolist():
                 link(q, x)
-        if root[q] == q or not recent or root[recent[-1]] != root[q] or q % 16 == 0:
+        if len(members[int(root[q])]) == 1 or not recent or root[recent[-1]] != root[q] or q % 16 == 0:
             recent.append(q)
     return links
 
 
-def _search_blocks(batches):
-    """Links of each run of rows (block, lo, hi, doc_id, set); runs are groups, in order."""
+def _search_runs(batches):
+    """Links of each run of rows (block, lo, hi, doc_id, label, set); runs are groups, in order."""
 
-    def finish(docs, sets):
-        found = search(sets)
-        a, b = [docs[x] for x, _ in found], [docs[y] for _, y in found]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def finish(docs):
+        ids, labels, sets = zip(*docs, strict=True)
+        return _edge_batch(np.array([(ids[x], ids[y]) for x, y in search(list(sets), list(labels))], np.int64).reshape(-1, 2))
 
-    now, docs, sets = None, [], []
+    now, docs = None, []
     for batch in batches:
-        for block, lo, hi, doc_id, packed in zip(*batch.columns, strict=True):
+        for block, lo, hi, doc_id, label, packed in zip(*batch.columns, strict=True):
             key = (block.as_py(), lo.as_py(), hi.as_py())
             if key != now:
                 if len(docs) > 1:
-                    yield finish(docs, sets)
-                now, docs, sets = key, [], []
-            docs.append(doc_id.as_py())
-            sets.append(np.frombuffer(packed.as_py(), np.uint64))
+                    yield finish(docs)
+                now, docs = key, []
+            docs.append((doc_id.as_py(), label.as_py(), np.frombuffer(packed.as_py(), np.uint64)))
     if len(docs) > 1:
-        yield finish(docs, sets)
+        yield finish(docs)
+
 
+_GROUPED = "doc_id long, block long, label long, at array<struct<lo: int, hi: int>>, tokens binary"
 
-def _block_sets(batches):
+
+def _group_sets(batches):
     for batch in batches:
-        keep = [batch.column(i) for i in range(3)]
+        keep = [batch.column(i) for i in range(4)]
         for lo, hi, data, offsets in text_slices(batch, "text"):
             sets = [s.tobytes() for s in shingle_sets(data, offsets)]
-            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in keep), pa.array(sets, pa.binary())], names=["doc_id", "block", "slices", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in keep), pa.array(sets, pa.binary())], names=["doc_id", "block", "label", "at", "tokens"])
+
+
+def _search_groups(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links inside groups (doc_id, block, label, at: the places (lo, hi) in the block that a document goes to)."""
+    sets = _with_ids(texts, groups).select("doc_id", "block", "label", "at", "text").mapInArrow(tidy(_group_sets), _GROUPED).filter("octet_length(tokens) > 0")
+    rows = sets.select("block", F.explode("at").alias("k"), "doc_id", "label", "tokens").select("block", "k.lo", "k.hi", "doc_id", "label", "tokens")
+    parts = spread(texts.sparkSession, texts)
+    return rows.repartition(parts, "block", "lo", "hi").sortWithinPartitions("block", "lo", "hi", "doc_id").mapInArrow(tidy(_search_runs), "a long, b long")
+
+
+_OWN = "cast(pmod(xxhash64(doc_id), slices) as int)"
+
+
+def _block_links(texts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Edges that connect what is similar in the blocks (doc_id, block, n).
+
+    A block of one slice is one search.  In larger ones a document's label is the component known so far:
+    slices alone (first), then one document of each component (second), then, of the documents outside the
+    block's largest component, each against all (third): any two documents of different components of
+    which one is outside the largest one meet in a group.
+    """
+    filled = F.expr(f"cast(ceil(sum(n) / {BLOCK_SHINGLES}) as int) as slices")
+    alone = F.expr(f"array(named_struct('lo', {_OWN}, 'hi', {_OWN})) as at")
+    members = materialise(blocks.join(blocks.groupBy("block").agg(filled), "block"), "members")
+    first = _search_groups(texts, members.select("doc_id", "block", F.col("doc_id").alias("label"), alone))
+    large = members.filter("slices > 1")
+    if not large.limit(1).count():
+        return first
+    edges = materialise(first, "links")
+
+    now = _labelled(large, edges)
+    leader = now.groupBy("block", "label").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("d")).select("block", "label", "d.*")
+    leaders = materialise(leader.join(leader.groupBy("block").agg(filled), "block"), "leaders")
+    edges = materialise(edges.unionByName(_search_groups(texts, leaders.select("doc_id", "block", "label", alone))), "links")
+
+    now = materialise(_labelled(large, edges), "labels")
+    sizes = now.groupBy("block", "label").agg(F.sum("n").alias("n"))
+    most = sizes.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.expr(f"cast(ceil((sum(n) - max(n)) / {BLOCK_SHINGLES}) as int)").alias("outer"))
+    left = materialise(now.join(most.filter("outer > 0"), "block"), "left")
+    if not left.limit(1).count():
+        return edges
+    own_outer = "cast(pmod(xxhash64(doc_id, 1), outer) as int)"
+    column = f"transform(sequence(0, outer - 1), u -> named_struct('lo', {_OWN}, 'hi', u))"
+    row = f"if(label = largest, array(), transform(sequence(0, slices - 1), s -> named_struct('lo', s, 'hi', {own_outer})))"
+    third = left.select("doc_id", "block", "label", F.expr(f"array_distinct(concat({column}, {row})) as at"))
+    return edges.unionByName(_search_groups(texts, third))
+
+
+def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members with ``label``, their component by the edges so far."""
+    own = edges.join(members.select(F.col("doc_id").alias("a")), "a", "left_semi")
+    found = materialise(components(own).select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "components")
+    return members.join(found, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
 
 def _with_ids(docs: DataFrame, ids: DataFrame, how: str = "inner") -> DataFrame:
@@ -464,7 +606,7 @@ def links(texts: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataF
     parts = spread(spark, texts)
     shards = shards or 2 * parts
     dealt = texts.select("doc_id", "text").mapInArrow(tidy(_deal_shingles(shards)), _PACKED)
-    counted = materialise(dealt.repartition(parts, "shard").mapInArrow(tidy(_count_shared(parts)), _SHARED), "shared")
+    counted = materialise(dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(tidy(_count_shared(parts)), _SHARED), "shared")
     by_document = counted.filter("bucket is not null").repartition(parts, "bucket").select("docs", "n", "shared")
     sizes = materialise(by_document.mapInArrow(_sum_documents, "doc_id long, n long, shared long"), "sizes")
     alive = sizes.filter(f"n > 0 and {DENOMINATOR} * shared >= {NUMERATOR} * n").select("doc_id")
@@ -473,30 +615,45 @@ def links(texts: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataF
     hot = np.array(sorted((r[0], r[1]) for r in hot), np.int64).reshape(-1, 2)
     frequent = spark.sparkContext.broadcast((hot[:, 0].copy(), hot[:, 1].copy()))
     dealt = _with_ids(texts, alive).select("doc_id", "text").mapInArrow(tidy(_deal_postings(frequent, shards, shards)), "shard int, postings binary")
-    rough = components(dealt.repartition(parts, "shard").mapInArrow(tidy(_block_edges), "a long, b long"))
+    rough = components(dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(tidy(_block_edges), "a long, b long"))
 
     blocks = materialise(rough.select(F.col("node").alias("doc_id"), F.col("component").alias("block")).join(sizes.select("doc_id", "n"), "doc_id"), "blocks")
-    heavy = blocks.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("slices"))
-    members = blocks.join(heavy, "block").select("doc_id", "block", "slices")
-    rows = _with_ids(texts, members).select("doc_id", "block", "slices", "text").mapInArrow(tidy(_block_sets), "doc_id long, block long, slices int, tokens binary")
-    own = F.expr("cast(pmod(xxhash64(doc_id), slices) as int)")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
-    keyed = rows.select("block", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc_id", "tokens")
-    found = keyed.repartition(parts, "block", "lo", "hi").sortWithinPartitions("block", "lo", "hi", "doc_id").mapInArrow(tidy(_search_blocks), "a long, b long")
-    return sizes.select("doc_id", "n"), found
+    return sizes.select("doc_id", "n"), _block_links(texts, blocks)
+
+
+def _sizes_by_digest(batches):
+    for batch in batches:
+        for lo, hi, data, offsets in text_slices(batch, "text"):
+            n = [len(s) for s in shingle_sets(data, offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64())], names=["digest", "own_n"])
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of documents (doc_id, text)."""
-    base = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-    least = base.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")
+    base = docs.select("doc_id", digest)
+    # Written out, so that the join has a shuffle on either side: adaptive execution then splits a hot digest.
+    least = materialise(base.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "least")
     members = materialise(base.join(least, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "digest"), "members")
-    copies = members.filter("doc_id != rep").select("doc_id").distinct()
-    distinct = _with_ids(docs.select("doc_id", "text").filter("doc_id is not null"), copies, "left_anti")
+    ids = members.filter("doc_id is not null").groupBy("doc_id").agg(F.expr("bool_and(doc_id != rep)").alias("copy"), F.expr("min(digest) != max(digest)").alias("several"))
+    ids = materialise(ids.filter("copy or several"), "copies")
+    distinct = _with_ids(docs.select("doc_id", "text").filter("doc_id is not null"), ids.filter("copy").select("doc_id"), "left_anti")
     sizes, found = links(distinct)
-    joined = components(found).select(F.col("node").alias("rep"), "component")
-    out = members.join(sizes.select(F.col("doc_id").alias("rep"), "n"), "rep", "left").join(joined, "rep", "left")
-    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.coalesce("n", F.lit(0)) == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
+    members = members.join(sizes.select(F.col("doc_id").alias("rep"), "n"), "rep", "left")
+    several = ids.filter("several").select("doc_id")
+    if several.limit(1).count():
+        # doc_ids with several texts: each row's own set size, and an edge to the least document of each of its texts.
+        own = _with_ids(docs.select("doc_id", "text", digest), several, "left_semi").select("digest", "text").mapInArrow(tidy(_sizes_by_digest), "digest string, own_n long").distinct()
+        members = materialise(members.join(own, "digest", "left").withColumn("n", F.coalesce("own_n", "n")), "sized")
+        found = found.unionByName(_with_ids(members, several, "left_semi").filter("n > 0 and doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+        members = _with_ids(members, several.withColumn("_several", F.lit(True)), "left")
+    else:
+        members = members.withColumn("_several", F.lit(None).cast("boolean"))
+    # A row looks up the component of its text's least document; one of several texts, that of its own doc_id.
+    members = members.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("node", F.when(F.col("_several") | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("rep")))
+    joined = components(found).select(F.col("node"), "component")
+    out = members.join(joined, "node", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

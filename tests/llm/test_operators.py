@@ -294,6 +294,63 @@ def test_divide_skip():
         assert dict(zip(ids.tolist(), counts.tolist(), strict=True)) == {x: n for x, n in want.items() if n >= t}
 
 
+def plain_classes_of_rows(rows):
+    """Rows of one doc_id are one document with the links of each of its rows; an own size per row."""
+    sets = [(d, next(iter(plain_sets([(d, t)]).values()))) for d, t in rows]
+    up = {d: d for d, _ in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if x & y and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = find(a), find(b)
+                up[max(p, q)] = min(p, q)
+    return sorted((d, len(s), find(d)) for d, s in sets)
+
+
+@pytest.mark.parametrize("seed", [0, 3, 4])
+def test_jaccard_repeated_ids(spark, seed):
+    rows = [(1, "a b c"), (2, "a b c"), (2, "x y z w v u"), (3, "x y z w v u"), (4, "X y z w v  u"), (5, ""), (5, "q r"), (6, None), (6, "Q  R"), (7, " ")]
+    if seed:
+        r = random.Random(seed)
+        rows = [(r.choice([d, d, d, d // 3, 200 + d // 20]), r.choice([t, t, t, "", "same text"])) for d, t in near_copies(seed, 120)]
+    got = sorted(tuple(x) for x in jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == plain_classes_of_rows(rows)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_jaccard_blocks_in_slices(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 150)
+    monkeypatch.setattr(jaccard_join, "FLUSH_SHINGLES", 2000)
+    # One block of all: chained over boilerplate, with several components.
+    monkeypatch.setattr(jaccard_join, "_near", lambda p, u, others: np.ones(len(others), bool))
+    rows = near_copies(seed, 160)
+    got = {tuple(x) for x in jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == plain_classes(rows)
+
+
+def test_jaccard_search_with_labels():
+    r = random.Random(2)
+    for _ in range(60):
+        sets = [np.array(sorted(r.sample(range(14), r.randint(6, 12))), np.uint64) for _ in range(r.randint(2, 25))]
+        labels = [r.choice([i, i, 0]) for i in range(len(sets))]
+        links = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(set(a.tolist()) & set(b.tolist())) * 5 >= 4 * len(set(a.tolist()) | set(b.tolist()))}
+        same = {(i, j) for i in range(len(sets)) for j in range(i) if labels[i] == labels[j]}
+
+        def parts(edges, n=len(sets)):
+            forest = jaccard_join.Forest(n)
+            for a, b in edges:
+                forest.join(a, b)
+            return [forest.find(i) for i in range(n)]
+
+        assert parts({*jaccard_join.search(sets, labels), *same}) == parts(links | same)
+        assert parts(jaccard_join.search(sets)) == parts(links)
+
+
 def test_jaccard_edges(spark, awkward, empty):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(awkward).collect()}
     sizes = {d: len(s) for d, s in plain_sets([(r[0], r[1]) for r in AWKWARD if r[0] is not None]).items()}
