@@ -20,11 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see: ``spark.checkpoint.dir``, or one of our own if that is unset."""
+    """The folder all machines see: ``spark.checkpoint.dir``. Only a local session without it gets one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not found and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return (found or f"file://{tempfile.gettempdir()}/checkpoints/docengine").rstrip("/")
 
 
+def file_system(uri: str):
+    """(file system, path) of a shared folder, for files that are not tables; works on executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/docengine-{name}-{uuid.uuid4().hex}"

@@ -1,5 +1,6 @@
 """Each operator against brute force, exact round trips or held-out accuracy, and on awkward tables."""
 
+import gzip
 import hashlib
 import json
 import random
@@ -156,22 +157,51 @@ def test_pii_finds_written_out_addresses(spark):
 # ---- 2
 
 
-def test_warc_edges(spark):
-    big = "<p>é</p>" * 300
-    rows = [(1, "u\r\nx", big), (2, "u", big), (3, None, None), (4, "u", ""), (5, "u", "small"), (6, "u", "small"), (None, "u", big), (2, "u", big)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
-    whole = warc.write_archives(warc.plan_records(pages), limit=6000)
-    members = warc.normalise(whole).collect()
-    for m in members:
-        assert sum(x["length"] for x in m["index"]) == len(m["content"])
-        assert len(list(warc.records(warc.inflate(bytes(m["content"]), 7)))) == len(m["index"])
-    read = warc.read_archives(warc.normalise(whole)).collect()
-    assert len(read) == len(rows)
-    kinds = {(r["page_id"], r["record_type"], r["refers_to"]) for r in read}
-    assert kinds == {(1, "revisit", 2), (2, "response", None), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (None, "revisit", 2)}
-    assert {r["block"].decode() for r in read if r["page_id"] == 2} == {big}
+@pytest.mark.parametrize("broadcast", [100, 0])
+def test_warc_edges(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    big, huge = "<p>é</p>" * 300, "<b>x</b>\r\n\r\n" * 300_000
+    rows = [(1, "u\r\nx", big), (2, "u", big), (3, None, None), (4, "", ""), (5, "u", "small"), (6, "u", "small"), (None, "u", big), (2, "u", big), (7, "é", huge)]
+    rows += [(None, "n", "z" * 1000)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x")).withColumn("target", F.lit("x"))
+    one, two = f"file://{tmp_path}/one", f"file://{tmp_path}/two"
+    whole = warc.write_archives(warc.plan_records(pages), one, limit=6000)
+    names = warc.normalise(whole, one, two)
+    assert sum(r["records"] for r in whole.collect()) == len(rows) == sum(r["records"] for r in names.collect())
+    for r in names.collect():
+        data = (tmp_path / "two" / r["name"]).read_bytes()
+        index = [json.loads(x) for x in (tmp_path / "two" / (r["name"] + ".idx")).read_text().splitlines()]
+        assert [x["offset"] for x in index] == [sum(y["length"] for y in index[:i]) for i in range(len(index))] and sum(x["length"] for x in index) == len(data)
+        # Any reader of gzip sees the records one after another.
+        plain = gzip.decompress(data)
+        assert plain.count(b"WARC/1.1\r\nWARC-Type") == len(index) and plain.endswith(b"\r\n\r\n")
+        assert b"".join(gzip.decompress(data[x["offset"] : x["offset"] + x["length"]]) for x in index) == plain
+        assert len(list(warc.records(warc.inflate(pa.BufferReader(data), 7 if len(data) < 5000 else 4096)))) == len(index)
+    read = warc.read_archives(names, two).collect()
+    assert len({r["record_id"] for r in read}) == len(read) == len(rows)
+    kinds = sorted({(r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in read if r["payload_bytes"] != 1000}, key=str)
+    assert kinds == [(0, "revisit", 2), (1, "revisit", 2), (2, "response", None), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None)]
+    assert [r["record_type"] for r in read if r["payload_bytes"] == 1000] == ["response"] * 2
+    assert {r["payload"].decode() for r in read if r["page_id"] == 2} == {big} and [r["payload"].decode() for r in read if r["page_id"] == 7] == [huge]
+    assert all(r["payload"] is None and r["url"] is None or r["page_id"] not in (3, 4) or r["payload"] == b"" for r in read)
     assert all(r["payload_digest"] == hashlib.sha1(big.encode()).hexdigest() and r["payload_bytes"] == len(big.encode()) for r in read if r["page_id"] in (1, 2))
     assert warc.round_trip(pages.filter("false")).count() == 0
+    assert warc.round_trip(pages).count() == len(rows)
+
+
+def test_warc_damage(spark, tmp_path):
+    one, two = f"file://{tmp_path}/one", f"file://{tmp_path}/two"
+    pages = spark.createDataFrame([(1, "u", "abc" * 400), (2, "v", "abc" * 400)], "page_id long, url string, html string").coalesce(1)
+    names = warc.normalise(warc.write_archives(warc.plan_records(pages), one), one, two)
+    read = warc.read_archives(names, two)
+    warc.check_revisits(read)
+    with pytest.raises(ValueError, match="no response"):
+        warc.check_revisits(read.withColumn("payload_digest", F.when(F.col("record_type") == "revisit", "00").otherwise(F.col("payload_digest"))))
+    for r in names.collect():
+        f = tmp_path / "two" / r["name"]
+        f.write_bytes(gzip.compress(gzip.decompress(f.read_bytes()).replace(b"abcabc", b"abcabd", 1)))
+    with pytest.raises(Exception, match="damaged|does not match|cut short|Error"):
+        read.collect()
 
 
 # ---- 3
