@@ -2,8 +2,8 @@
 
 A rolling hash over each document's ids cuts the stream into chunks; a chunk is named by the hash of
 its bytes and stored once; a recipe per document lists its chunk names in order, with a Merkle root
-over them.  Three Parquet tables under one path: ``chunks``, ``recipes`` (ascending doc_id, with the
-position of every row) and ``vocabulary`` facts in the file metadata of neither: id width is a column.
+over them.  Two Parquet tables under one path: ``chunks`` (name, ids, bytes per id) and ``recipes`` (in
+ascending order of doc_id, with the place of every row).  Ids too large for the width are refused.
 
 Defined results: null and empty texts are one end id; repeated rows keep a recipe each; equal doc_ids
 are ordered by their ids' root; null doc_ids sort first; an empty table gives an empty store; columns
@@ -117,6 +117,8 @@ def _cut_documents(path: str, end_id: int, width: int):
             seen: set[bytes] = set()
             for _, ids in tokens.encoded(batch, path):
                 ids = np.append(ids, np.uint32(end_id))
+                if width == 2 and ids.max() > 0xFFFF:
+                    raise ValueError(f"id {ids.max()} does not fit two bytes: write the store with width=4")
                 packed, names, fresh, last = ids.astype(dtype), [], [], 0
                 for end in cut_points(ids):
                     data = packed[last:end].tobytes()
@@ -190,7 +192,9 @@ def _verify(batches):
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 per document, all from the stored files, each recipe verified.
 
-    A document's checksum is combined from those of its chunks, so chunk bytes are read once and never shuffled.
+    A document's checksum is combined from those of its chunks, so chunk bytes are read once and never
+    shuffled.  A chunk that many documents share makes one side of the join large; both sides are shuffles,
+    so adaptive execution splits it.
     """
     chunks = spark.read.schema("name binary, ids binary, width int").parquet(f"{path}/chunks")
     recipes = spark.read.schema("doc_id long, n_tokens long, names array<binary>, root binary, place long").parquet(f"{path}/recipes")

@@ -4,7 +4,12 @@ The vocabulary drops white space, folds case and never merges across blanks, nor
 digit and a mark.  So a text's ids are those of its blank-separated words in order, with A-Z folded and a
 closing full stop or comma taken as a word of its own.  Words are found and hashed for a whole slice of
 texts at once; each distinct word goes through the tokenizers library once per worker and memo
-generation, and the slice's ids are gathered from the memo.
+generation, and the slice's ids are gathered from the memo.  Words are looked up by 64 bits of hash and
+held against another 64; a slice in which two words agree in the first alone goes through the library text
+by text.
+
+Defined results: null and empty texts, and those of white space alone, have no ids; equal texts have equal
+ids; a text longer than a slice is handled whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import LOWER, span_hashes, text_slices, word_spans
+from .common import LOWER, second_hashes, span_hashes, text_slices, word_spans
 
 #: Words kept per worker before the memo starts anew (about 200 bytes each).
 MEMO_WORDS = 400_000
@@ -48,9 +53,10 @@ class Encoder:
     def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.pool, self.starts, self.lens = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.seconds = np.zeros(1 << 14, np.uint64)
         self.used = 0
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _learn(self, hashes: list[int], seconds: np.ndarray, words: list[str]) -> None:
         for lo in range(0, len(words), 4096):
             found = [e.ids for e in self.tokenizer.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)]
             lens = np.fromiter(map(len, found), np.int64, len(found))
@@ -58,10 +64,11 @@ class Encoder:
             while self.used + total > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
             while k + len(found) > len(self.starts):
-                self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
+                self.starts, self.lens, self.seconds = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.seconds))
             self.pool[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
             self.starts[k : k + len(found)] = self.used + np.cumsum(lens) - lens
             self.lens[k : k + len(found)] = lens
+            self.seconds[k : k + len(found)] = seconds[lo : lo + 4096]
             self.known.update(zip(hashes[lo : lo + 4096], range(k, k + len(found)), strict=True))
             self.used += total
 
@@ -85,21 +92,34 @@ class Encoder:
         hashes, at, which = np.unique(span_hashes(folded, s, e), return_index=True, return_inverse=True)
         if len(self.known) + len(hashes) > MEMO_WORDS:
             self.forget()
+        second = second_hashes(folded, s, e)
+        if (second != second[at[which]]).any():
+            return self._one_by_one(data, offsets)
         keys = hashes.tolist()
         numbers = list(map(self.known.get, keys))
         missing = [i for i, n in enumerate(numbers) if n is None]
         if missing:
             raw = folded.tobytes()
-            self._learn([keys[i] for i in missing], [raw[s[at[i]] : e[at[i]]].decode() for i in missing])
+            self._learn([keys[i] for i in missing], second[at[missing]], [raw[s[at[i]] : e[at[i]]].decode() for i in missing])
             for i in missing:
                 numbers[i] = self.known[keys[i]]
-        numbers = np.array(numbers)[which]
+        numbers = np.array(numbers)
+        if (self.seconds[numbers] != second[at]).any():
+            return self._one_by_one(data, offsets)
+        numbers = numbers[which]
         lens = self.lens[numbers]
         bounds = np.concatenate([[0], np.cumsum(lens)])
         ids = self.pool[np.repeat(self.starts[numbers] - bounds[:-1], lens) + np.arange(bounds[-1])]
         return ids, bounds[first]
 
 
+    def _one_by_one(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the library alone."""
+        raw, off = data.tobytes(), offsets.tolist()
+        found = [self.tokenizer.encode(raw[lo:hi].decode(), add_special_tokens=False).ids for lo, hi in zip(off, off[1:], strict=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.concatenate([[0], np.cumsum([len(ids) for ids in found])]).astype(np.int64)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -431,6 +431,17 @@ def test_encoder_equals_the_library():
         assert ids.tolist() == lib.encode(rows[i] or "", add_special_tokens=False).ids, rows[i]
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_encoder_notices_equal_hashes(monkeypatch, bits):
+    real = tokens.span_hashes
+    monkeypatch.setattr(tokens, "span_hashes", lambda *a: real(*a) & np.uint64((1 << bits) - 1))
+    own, lib = tokens.Encoder(tokens.vocabulary_path()), library()
+    for t in ("one", "two", "one two three four. five, one", "one one"):
+        data = np.frombuffer(t.encode(), np.uint8)
+        ids, bounds = own.encode(data, np.array([0, 0, len(data)]))
+        assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids and bounds.tolist() == [0, 0, len(ids)]
+
+
 def test_memo_starts_anew(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_WORDS", 3)
     own, lib = tokens.Encoder(tokens.vocabulary_path()), library()
@@ -477,6 +488,17 @@ def test_token_store_notices_damage(spark, tmp_path):
         token_store.read_store(spark, path).collect()
 
 
+def test_token_store_refuses_wide_ids(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit two bytes"):
+        token_store.write_store(rows, f"file://{tmp_path}/narrow", end_id=70_000)
+    path = f"file://{tmp_path}/wide"
+    token_store.write_store(rows, path, end_id=70_000, width=4)
+    want = [*library().encode("a b c", add_special_tokens=False).ids, 70_000]
+    assert token_store.read_ids(spark, path).first()["ids"] == want
+    assert token_store.read_store(spark, path).first()["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
+
+
 def test_chunks_realign():
     ids = np.random.default_rng(3).integers(0, 49_000, 20_000).astype(np.uint32)
     moved = np.concatenate([ids[:50], ids[20:]])
