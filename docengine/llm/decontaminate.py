@@ -3,29 +3,32 @@
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z folded.  Every window of
 WINDOW consecutive item words (or the whole item, if it has fewer) is a pattern; the automaton scans a
 document's normalised words once, and matches are mapped back to word numbers and to offsets of the
-original text.  Patterns are broadcast in blocks of at most BLOCK_CHARS characters, so the benchmark
-may grow: each further block is one more scan of the same row, which adds its hits to those found.
-
-Defined results: null texts have no words; items without words have no window; equal items each count;
-null item_ids are left out of the id list; repeated documents give repeated rows; an empty benchmark
-leaves every document clean; an empty table gives no rows; other columns are ignored.
+original text.  Windows are collected and counted by Spark and fetched in blocks of at most BLOCK_CHARS
+characters, of which the driver and a worker hold one at a time: a benchmark of one block (any in use today)
+is one scan without a shuffle, and each further block is one more pass over rows written out, which adds its
+hits to those found.
+
+Defined results: null texts have no words; items without words have no window; equal items each count, and
+each row of a repeated item_id too, in the number and in the list; null item_ids are left out of the list;
+repeated documents give repeated rows; an empty benchmark leaves every document clean; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, lut
+from .common import LOWER, lut, materialise, tidy
 
 WINDOW = 13
-#: Characters of patterns in one automaton (about 100 bytes of memory each at most).
-BLOCK_CHARS = 4 << 20
+#: Characters of patterns, and eight for each item of one, in one automaton (about 100 bytes of memory each at most).
+BLOCK_CHARS = 1 << 20
 #: contaminated: hit words times this are at least the words.
 SHARE = 20
 
@@ -46,7 +49,10 @@ def windows(item: list[bytes], size: int = WINDOW) -> set[bytes]:
 _CACHE: dict[str, tuple] = {}
 
 
-def automaton(patterns: list[tuple[str, tuple[int, ...]]]):
+Item = tuple[int, str | None]
+
+
+def automaton(patterns: list[tuple[str, tuple[Item, ...]]]):
     """patterns: (text, items). Values are (number of words, pattern number)."""
     import ahocorasick
 
@@ -66,7 +72,7 @@ def _cached(shared, key: str):
     return _CACHE[key]
 
 
-def scan(text: str | None, machine, items_of) -> tuple[int, list[tuple[int, int]], set[int]]:
+def scan(text: str | None, machine, items_of) -> tuple[int, list[tuple[int, int]], set[Item]]:
     """(words, merged hit ranges of word numbers, items found) of one text."""
     found = words(text)
     if not found or not items_of:
@@ -104,27 +110,36 @@ def original_offsets(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int
     return [(int(starts[lo]), int(ends[hi - 1])) for lo, hi in ranges]
 
 
-def blocks(benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_CHARS) -> tuple[list[list[tuple[str, tuple[int, ...]]]], list]:
-    """Pattern blocks for the automata, and the item_ids that their numbers stand for.
+def patterns(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """pattern, items (row number and item_id as text of each item with that window), written out."""
+
+    def run(batches):
+        for batch in batches:
+            found = [(n, item, w.decode()) for n, item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in windows(words(text), window)]
+            columns = list(zip(*found, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["n", "id", "pattern"])
+
+    rows = benchmark.select(F.monotonically_increasing_id().alias("n"), F.col("item_id").cast("string").alias("id"), "text")
+    each = rows.mapInArrow(tidy(run), "n long, id string, pattern string")
+    return materialise(each.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("items")), "patterns")
 
-    Benchmarks are small tables, read item by item to the driver; a block's size is checked as it grows.
-    """
-    ids, by_window = [], {}
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        ids.append(row["item_id"])
-        for w in windows(words(row["text"]), window):
-            by_window.setdefault(w.decode(), []).append(len(ids) - 1)
-    out, held = [[]], 0
-    for text in sorted(by_window):
-        if held and held + len(text) > limit:
-            out.append([])
-            held = 0
-        out[-1].append((text, tuple(by_window[text])))
-        held += len(text)
-    return out, ids
+
+def blocks(rows: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[str, tuple[Item, ...]]]]:
+    """Patterns in blocks of bounded size; a partition of the table and a block are held at a time."""
+    block, held = [], 0
+    for row in rows.toLocalIterator():
+        size = len(row["pattern"]) + 8 * len(row["items"])
+        if block and held + size > limit:
+            yield block
+            block, held = [], 0
+        block.append((row["pattern"], tuple((x["n"], x["id"]) for x in row["items"])))
+        held += size
+    if block:
+        yield block
 
 
 _SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+_ITEMS = pa.list_(pa.struct([("n", pa.int64()), ("id", pa.string())]))
 
 
 def _scan_block(shared, key: str):
@@ -141,31 +156,39 @@ def _scan_block(shared, key: str):
                 n.append(count)
                 if len(had):
                     spans = merged(spans + [(r["lo"], r["hi"]) for r in had.as_py()])
+                    found |= {(x["n"], x["id"]) for x in known.as_py()}
                 ranges.append([{"lo": lo, "hi": hi} for lo, hi in spans])
-                items.append(sorted(found.union(known.as_py()) if len(known) else found))
-            done = [pa.array(n, pa.int64()), pa.array(ranges, _SPANS), pa.array(items, pa.list_(pa.int64()))]
+                items.append([{"n": i, "id": x} for i, x in sorted(found, key=lambda r: r[0])])
+            done = [pa.array(n, pa.int64()), pa.array(ranges, _SPANS), pa.array(items, _ITEMS)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], *done], names=batch.schema.names)
 
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_CHARS) -> tuple[DataFrame, list[str], list]:
-    """Documents with three more columns, their names (words, merged hit ranges, items), and the item_ids behind the items.
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_CHARS) -> tuple[DataFrame, list[str]]:
+    """Documents with three more columns, and their names: words, merged hit ranges, items.
 
-    Blocks are scanned one after another in one stage: no shuffle, whatever their number.
+    A block's automaton is gone before the next one is built: rows are written out between two scans.
     """
     spark = docs.sparkSession
-    parts, ids = blocks(benchmark, window, limit)
     names = ["n_words", "ranges", "items"]
     while set(names) & set(docs.columns):
         names = ["_" + n for n in names]
-    kinds = ("long", "array<struct<lo: long, hi: long>>", "array<long>")
+    kinds = ("long", "array<struct<lo: long, hi: long>>", "array<struct<n: long, id: string>>")
     out = docs
     for name, kind, start in zip(names, kinds, ("0L", "array()", "array()"), strict=True):
         out = out.withColumn(name, F.expr(f"cast({start} as {kind})"))
-    for part in parts:
-        out = out.mapInArrow(_scan_block(spark.sparkContext.broadcast(part), uuid.uuid4().hex), out.schema)
-    return out, names, ids
+    before = None
+    # Without any pattern there is still one scan, which counts the words.
+    for block in blocks(patterns(benchmark, window), limit):
+        if before is not None:
+            out = materialise(out, "scanned")
+            before.unpersist()
+        before = spark.sparkContext.broadcast(block)
+        out = out.mapInArrow(tidy(_scan_block(before, uuid.uuid4().hex)), out.schema)
+    if before is None:
+        out = out.mapInArrow(tidy(_scan_block(spark.sparkContext.broadcast([]), uuid.uuid4().hex)), out.schema)
+    return out, names
 
 
 def hit_words(ranges: str) -> str:
@@ -173,31 +196,17 @@ def hit_words(ranges: str) -> str:
     return f"aggregate({ranges}, 0L, (a, r) -> a + r.hi - r.lo)"
 
 
-def _items_digest(ids: list):
-    def run(batches):
-        for batch in batches:
-            digests = []
-            for items in batch.column(4):
-                named = sorted({str(ids[k]) for k in items.as_py() if ids[k] is not None})
-                digests.append(hashlib.sha256(",".join(named).encode()).hexdigest())
-            n_items = [len(x) for x in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(3), pa.array(n_items, pa.int64()), pa.array(digests)], names=["doc_id", "n_words", "n_hit", "contaminated", "n_items", "items_sha256"])
-
-    return run
-
-
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
-    hits, (n_words, ranges, items), ids = find(docs.select("doc_id", "text"), benchmark, window, limit)
-    rows = hits.select("doc_id", F.col(n_words).alias("n_words"), F.expr(hit_words(ranges)).alias("n_hit"), F.col(items).alias("items"))
-    judged = rows.select("doc_id", "n_words", "n_hit", F.expr(f"n_hit > 0 and {SHARE} * n_hit >= n_words").alias("contaminated"), "items")
-    out = judged.mapInArrow(_items_digest(ids), "doc_id long, n_words long, n_hit long, contaminated boolean, n_items long, items_sha256 string")
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    hits, (n_words, ranges, items) = find(docs.select("doc_id", "text"), benchmark, window, limit)
+    named = f"concat_ws(',', array_sort(filter(transform({items}, x -> x.id), x -> x is not null)))"
+    rows = hits.select("doc_id", F.col(n_words).alias("n_words"), F.expr(hit_words(ranges)).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.expr(f"sha2({named}, 256)").alias("items_sha256"))
+    return rows.withColumn("contaminated", F.expr(f"n_hit > 0 and {SHARE} * n_hit >= n_words"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_CHARS) -> DataFrame:
     """The documents that are not contaminated, all columns kept."""
-    hits, (n_words, ranges, _), _ = find(docs, benchmark, window, limit)
+    hits, (n_words, ranges, _) = find(docs, benchmark, window, limit)
     hit = hit_words(ranges)
     return hits.filter(f"not ({hit} > 0 and {SHARE} * {hit} >= {n_words})").select(*docs.columns)
 

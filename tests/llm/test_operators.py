@@ -639,23 +639,23 @@ def test_license_edges(spark, awkward, empty):
 def plain_contamination(text, items, size=13):
     split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if w]
     w, hit, found = split(text), set(), set()
-    for item, t in items:
+    for k, (item, t) in enumerate(items):
         own = split(t)
         wins = {tuple(own[i : i + size]) for i in range(max(1, len(own) - size + 1))} if own else set()
         for win in wins:
             for i in range(len(w) - len(win) + 1):
                 if tuple(w[i : i + len(win)]) == win:
                     hit |= set(range(i, i + len(win)))
-                    found.add(item)
-    ids = sorted(str(x) for x in found if x is not None)
+                    found.add((k, item))
+    ids = sorted(str(x) for _, x in found if x is not None)
     return len(w), len(hit), len(found), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 60])
+@pytest.mark.parametrize("limit", [1 << 20, 500])
 def test_decontamination(spark, limit):
     r = random.Random(5)
     word = lambda: r.choice(["a", "B", "cé", "d1", "e"])
-    items = [(i, r.choice([" ", ", ", "\n"]).join(word() for _ in range(r.choice([0, 1, 3, 12, 13, 14, 20])))) for i in range(14)] + [(20, None), (None, "zz yy")]
+    items = [(i, r.choice([" ", ", ", "\n"]).join(word() for _ in range(r.choice([0, 1, 3, 12, 13, 14, 20])))) for i in range(14)] + [(20, None), (None, "zz yy"), (30, "zz yy"), (30, "yy! zz"), (30, "ZZ yy")]
     rows = [(i, " ".join(word() for _ in range(r.randint(0, 60))) + r.choice(["", " ", "! " + (r.choice(items)[1] or "")])) for i in range(60)] + [(90, None), (90, None), (91, "zz YY!")]
     d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = sorted(tuple(x) for x in decontaminate.report(d, b, limit=limit).collect())
@@ -671,11 +671,12 @@ def test_decontamination_edges(spark, awkward, empty):
     assert len(got) == len(AWKWARD) and {d for d, c in got if c} == {5, 6}
     assert decontaminate.report(awkward, b.filter("false")).filter("contaminated").count() == 0
     assert decontaminate.report(empty, b).count() == 0
-    for limit in (1 << 20, 4):
+    for limit in (1 << 20, 14):
         clean = decontaminate.clean(awkward, b.unionByName(spark.createDataFrame([(2, "zz zz")], b.schema)), limit=limit)
         assert clean.columns == awkward.columns and {r["doc_id"] for r in clean.collect()} == {1, 2, 3, 4, 7, 8, 9, None}
-    machine, items = decontaminate.automaton([("one two", (0,))])
-    _, ranges, _ = decontaminate.scan("é! One, two; x", machine, items)
+    machine, items = decontaminate.automaton([("one two", ((0, "7"),))])
+    _, ranges, found = decontaminate.scan("é! One, two; x", machine, items)
+    assert found == {(0, "7")}
     assert [("é! One, two; x")[a:b] for a, b in decontaminate.original_offsets("é! One, two; x", ranges)] == ["One, two"]
 
 
