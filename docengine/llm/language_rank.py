@@ -44,14 +44,32 @@ def _slices(texts: list[str]):
         yield lo, len(texts)
 
 
+def _letter_codes(chars: np.ndarray) -> np.ndarray:
+    """A code of each distinct letter; 0 for what is no letter."""
+    letter = np.fromiter((chr(c).isalpha() for c in chars), bool, len(chars))
+    return np.where(letter, mix64(chars.astype(np.uint64) + np.uint64(77)), np.uint64(0))
+
+
+def _hashed(parts: list[np.ndarray]) -> np.ndarray:
+    """n-gram codes from the codes of their letters."""
+    h = np.full(len(parts[0]), np.uint64(len(parts)))
+    for codes in parts:
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes
+    return mix64(h) >> np.uint64(64 - _CODE_BITS)
+
+
+def gram_code(gram: str) -> int:
+    """The code by which profiles know an n-gram."""
+    return int(_hashed([_letter_codes(np.array([ord(c)])) for c in gram])[0])
+
+
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, n-gram code, count), ordered by document and code. Texts without letters have no rows."""
     line = " " + " ".join(t.lower() for t in texts) + " "
     chars = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t.lower()) + 1 for t in texts])
     distinct, place = np.unique(chars, return_inverse=True) if len(chars) < 4096 else _distinct(chars)
-    letter = np.fromiter((chr(c).isalpha() for c in distinct), bool, len(distinct))
-    codes = np.where(letter, mix64(distinct.astype(np.uint64) + np.uint64(77)), np.uint64(0))[place]
+    codes = _letter_codes(distinct)[place]
     blank = codes == 0
     doc = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
     doc = np.concatenate([[0], doc]).astype(np.int64)[: len(chars)]
@@ -60,10 +78,7 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = len(codes) - n + 1
         if m <= 0:
             continue
-        h = np.full(m, np.uint64(n))
-        for k in range(n):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + m]
-        h = mix64(h) >> np.uint64(64 - _CODE_BITS)
+        h = _hashed([codes[k : k + m] for k in range(n)])
         # Blanks only at the rim, and some letter between: the n-grams of padded words.
         good = ~blank[:m] if n == 1 else ~(blank[:m] & blank[1 : m + 1]) if n == 2 else np.logical_and.reduce([~blank[k : k + m] for k in range(1, n - 1)])
         at = np.minimum(np.arange(m) + (n - 1 if n > 1 else 0), len(doc) - 1)

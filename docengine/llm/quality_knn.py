@@ -2,15 +2,17 @@
 
 Terms of a text are its folded words, its words' shapes (runs of upper case, lower case, digits and each
 punctuation mark) and a mark for a word that repeats the one before.  A bounded sample of labelled texts
-gives a tf-idf matrix; its leading right singular vectors (randomised subspace iteration) span the space.
+gives a tf-idf matrix over its most frequent terms, which Spark counts; the driver gets these terms and the
+sample's counts of them, SAMPLE x VOCABULARY entries of six bytes at most, whatever the texts' lengths.  The
+matrix's leading right singular vectors (randomised subspace iteration) span the space.
 The sample's unit vectors are broadcast (SAMPLE x RANK floats at most); every document's exact cosines to
 all of them are one blocked product; its NEIGHBOURS nearest vote with their labels, weighted by similarity.
 
 Defined results: null and empty texts, and texts without a learned term, score EMPTY_SCORE; labels for
 unknown documents, null labels and held-out rows are not learned from; with no labels all scores are
 EMPTY_SCORE; a document with several label rows counts once for each; equal similarities go to the lower
-row of the sample, which is ordered by a hash of doc_id; an empty table gives no rows; other columns are
-ignored.
+row of the sample, which is ordered by a hash of doc_id, then doc_id, label and text; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, held_out_expr, lut, span_hashes, text_slices, word_spans
+from .common import LOWER, held_out_expr, lut, materialise, span_hashes, text_slices, word_spans
 
 #: Labelled texts of each label that the model may use; vocabulary; dimensions; voters.
 SAMPLE_PER_LABEL, VOCABULARY, RANK, NEIGHBOURS = 2048, 8192, 64, 15
@@ -58,6 +60,7 @@ def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _count_terms(batches):
+    """The first two columns, then each text's distinct terms and their counts."""
     for batch in batches:
         for lo, hi, data, offsets in text_slices(batch, "text"):
             doc, term = term_hashes(data, offsets)
@@ -69,7 +72,25 @@ def _count_terms(batches):
             bounds = np.searchsorted(doc[at], np.arange(hi - lo + 1)).astype(np.int32)
             terms = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(term[at].view(np.int64), pa.int64()))
             counts = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(n, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), terms, counts], names=["label", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), terms, counts], names=["place", "label", "terms", "counts"])
+
+
+def _known_terms(shared):
+    """place, label, the numbers of a text's known terms (16 bits each) and their counts (as 32-bit floats)."""
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            numbers, weights = [], []
+            for terms, counts in zip(batch.column(2), batch.column(3), strict=True):
+                t, c = terms.values.to_numpy().view(np.uint64), counts.values.to_numpy()
+                at = np.minimum(np.searchsorted(known, t), len(known) - 1)
+                ok = known[at] == t
+                numbers.append(at[ok].astype(np.uint16).tobytes())
+                weights.append(c[ok].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.binary()), pa.array(weights, pa.binary())], names=["place", "label", "numbers", "counts"])
+
+    return run
 
 
 class Model:
@@ -105,7 +126,7 @@ class Model:
             block = vectors[lo : lo + 512]
             sims = block @ self.vectors.T
             if k < sims.shape[1]:
-                near = np.sort(np.argpartition(-sims, k - 1, axis=1)[:, :k], axis=1)
+                near = nearest(sims, k)
             else:
                 near = np.broadcast_to(np.arange(k), (len(block), k))
             w = np.maximum(np.take_along_axis(sims, near, axis=1), 0).astype(float)
@@ -120,24 +141,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def fit(rows: list[tuple[int, list[int], list[int]]], vocabulary: int = VOCABULARY, rank: int = RANK, neighbours: int = NEIGHBOURS) -> Model:
-    """A model from (label, terms, counts) rows."""
-    rows = [r for r in rows if r[1]]
+def nearest(sims: np.ndarray, k: int) -> np.ndarray:
+    """The columns of each row's k largest values, in order of column; of equal values the lower columns."""
+    near = np.sort(np.argpartition(-sims, k - 1, axis=1)[:, :k], axis=1)
+    least = np.take_along_axis(sims, near, axis=1).min(axis=1)
+    for i in np.flatnonzero((sims >= least[:, None]).sum(axis=1) > k).tolist():  # ties across the rim
+        near[i] = np.sort(np.argsort(-sims[i], kind="stable")[:k])
+    return near
+
+
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], terms: np.ndarray, df: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS) -> Model:
+    """A model from rows (label, numbers of terms, counts) and the terms (sorted hashes) with their document counts."""
     n = len(rows)
-    if not n:
+    if not n or not len(terms):
         return Model(np.zeros(0, np.uint64), np.zeros((0, rank), np.float32), np.zeros((0, rank), np.float32), np.zeros(0), neighbours)
-    every = np.concatenate([np.array(r[1], np.int64) for r in rows]).view(np.uint64)
-    terms, df = np.unique(every, return_counts=True)
-    best = np.lexsort((terms, -df))[:vocabulary]
-    best = np.sort(best[df[best] >= min(2, n)])
-    terms, df = terms[best], df[best]
     idf = (np.log((1 + n) / (1 + df)) + 0.05).astype(np.float32)
     x = np.zeros((n, len(terms)), np.float32)
-    for i, (_, t, c) in enumerate(rows):
-        t = np.array(t, np.int64).view(np.uint64)
-        at = np.minimum(np.searchsorted(terms, t), len(terms) - 1) if len(terms) else np.zeros(0, int)
-        ok = terms[at] == t if len(terms) else np.zeros(0, bool)
-        x[i, at[ok]] = np.log1p(np.array(c, np.float32)[ok]) * idf[at[ok]]
+    for i, (_, at, counts) in enumerate(rows):
+        x[i, at] = np.log1p(counts) * idf[at]
     x = unit(x)
     k = min(rank, *x.shape)
     q = np.linalg.qr(x.T @ np.random.default_rng(7).standard_normal((n, min(k + 16, n))).astype(np.float32))[0]
@@ -149,7 +170,7 @@ def fit(rows: list[tuple[int, list[int], list[int]]], vocabulary: int = VOCABULA
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """label, text of at most ``per_label`` training rows of each of the labels 0 and 1, by order of a hash."""
+    """label, doc_id, text of at most ``per_label`` training rows of each of the labels 0 and 1, by order of a hash."""
     rows = labels.filter(f"not {held_out_expr()} and {label} in (0, 1)").select("doc_id", F.col(label).cast("long").alias("label"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = None
@@ -160,10 +181,21 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "doc_id", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    chosen = sample(docs, labels, **options)
-    counted = chosen.select("label", "text").mapInArrow(_count_terms, "label long, terms array<long>, counts array<long>").collect()
-    return fit(sorted((r["label"], list(r["terms"]), list(r["counts"])) for r in counted))
+def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, rank: int = RANK, neighbours: int = NEIGHBOURS, **options) -> Model:
+    spark = docs.sparkSession
+    place = F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id", "label", F.xxhash64("text").alias("text"))
+    counted = sample(docs, labels, **options).select(place.alias("place"), "label", "text").mapInArrow(_count_terms, "place struct<hash: long, doc_id: long, label: long, text: long>, label long, terms array<long>, counts array<long>")
+    counted = materialise(counted.filter("size(terms) > 0"), "quality-sample")
+    n = counted.count()
+    # At most ``vocabulary`` terms, the most frequent by documents.
+    best = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min(2, n)).orderBy(F.desc("df"), "term").limit(min(vocabulary, 1 << 16)).collect()
+    found = sorted((r["term"] & (1 << 64) - 1, r["df"]) for r in best)
+    terms, df = np.array([t for t, _ in found], np.uint64), np.array([d for _, d in found], np.int64)
+    if not len(terms):
+        return fit([], terms, df, rank, neighbours)
+    known = counted.mapInArrow(_known_terms(spark.sparkContext.broadcast(terms)), "place struct<hash: long, doc_id: long, label: long, text: long>, label long, numbers binary, counts binary").collect()
+    known.sort(key=lambda r: tuple((x is not None, x or 0) for x in r["place"]))
+    return fit([(r["label"], np.frombuffer(r["numbers"], np.uint16), np.frombuffer(r["counts"], np.float32)) for r in known], terms, df, rank, neighbours)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -227,6 +227,85 @@ def test_quality_edges(spark, awkward, empty):
     assert {r["score"] for r in quality_knn.score(awkward, none).collect()} == {quality_knn.EMPTY_SCORE}
 
 
+def plain_terms(text):
+    """Words, their shapes and repetition marks of a text, counted."""
+    out = {}
+
+    def add(term):
+        out[term] = out.get(term, 0) + 1
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    low = [re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in words]
+    for i, w in enumerate(words):
+        add(("word", low[i]))
+        kinds = "".join("U" if "A" <= c <= "Z" else "L" if "a" <= c <= "z" or c >= "\x80" else "D" if "0" <= c <= "9" else c for c in w)
+        add(("shape", re.sub(r"(.)\1+", r"\1", kinds, flags=re.S)))
+        if i and low[i] == low[i - 1]:
+            add(("again",))
+            if i > 1 and low[i] == low[i - 2]:
+                add(("and again",))
+    return out
+
+
+def plain_quality(texts, labelled, vocabulary, rank, neighbours):
+    """The same votes from dictionaries and numpy's full singular value decomposition."""
+    rows = [(y, plain_terms(t)) for _, y, t in labelled]
+    df = {}
+    for _, terms in rows:
+        for t in terms:
+            df[t] = df.get(t, 0) + 1
+    known = sorted((t for t in df if df[t] >= 2), key=str)
+    assert len(known) <= vocabulary
+    n = len(rows)
+    idf = np.array([np.log((1 + n) / (1 + df[t])) + 0.05 for t in known])
+    vector = lambda terms: np.array([np.log1p(terms.get(t, 0)) for t in known]) * idf
+    x = np.array([vector(terms) for _, terms in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    right = np.linalg.svd(x, full_matrices=False)[2][:rank]
+    near = x @ right.T
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    out = {}
+    for d, t in texts.items():
+        v = right @ vector(plain_terms(t))
+        if not np.linalg.norm(v):
+            out[d] = quality_knn.EMPTY_SCORE
+            continue
+        sims = near @ (v / np.linalg.norm(v))
+        best = sorted(range(n), key=lambda i: (-sims[i], i))[:neighbours]
+        w = [max(0.0, sims[i]) for i in best]
+        out[d] = sum(a * rows[i][0] for a, i in zip(w, best, strict=True)) / sum(w) if sum(w) else quality_knn.EMPTY_SCORE
+    return out
+
+
+def test_quality_query_equals_brute_force(spark, monkeypatch, tmp_path):
+    """The registered query on a small fixture, against dictionaries and a full decomposition of full rank."""
+    r = random.Random(12)
+    word = lambda good: (r.choice(["river", "stone", "garden", "winter", "letter", "Paris", "open"]) if good else r.choice(["WIN!!", "cash", "click", "$$$", "now", "now", "free"]))
+    rows, labels = [], []
+    for d in range(60):
+        good = d % 2
+        rows.append((d, " ".join(word(good if r.random() < 0.8 else not good) for _ in range(r.randint(4, 25)))))
+        if d % 5:
+            labels.append((d, good if r.random() < 0.9 else 1 - good))
+    rows += [(100, None), (101, ""), (102, "unseen ~words~"), (103, rows[3][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x["doc_id"]: x["score"] for x in queries.op3_quality_knn(spark, str(tmp_path)).collect()}
+    texts = dict(rows)
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    order = {x["doc_id"]: x["h"] for x in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    learned = sorted(((order[d], d), y, texts[d]) for d, y in labels if not held(d))
+    want = plain_quality(texts, learned, quality_knn.VOCABULARY, quality_knn.RANK, quality_knn.NEIGHBOURS)
+    assert set(got) == set(want)
+    assert max(abs(got[d] - want[d]) for d in want) < 2e-3
+
+
+def test_quality_ties_go_to_the_lower_row():
+    sims = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2], [0.9, 0.8, 0.7, 0.6, 0.5]], np.float32)
+    assert quality_knn.nearest(sims, 2).tolist() == [[0, 1], [0, 1], [0, 1]]
+    assert quality_knn.nearest(sims, 3).tolist() == [[0, 1, 2], [0, 1, 2], [0, 1, 2]]
+
+
 def test_quality_votes_equal_brute_force():
     rng = np.random.default_rng(0)
     v = quality_knn.unit(rng.normal(size=(40, 6)).astype(np.float32))
@@ -591,6 +670,49 @@ def test_gram_counts():
         assert sorted(n[doc == i].tolist()) == sorted(plain(t).values()), t
 
 
+def plain_grams(text):
+    """n-grams (1 to 3) of the padded words of letters, in lower case."""
+    out = {}
+    for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+        p = f" {w} "
+        for n in (1, 2, 3):
+            for i in range(len(p) - n + 1):
+                if p[i : i + n].strip():
+                    out[p[i : i + n]] = out.get(p[i : i + n], 0) + 1
+    return out
+
+
+def test_language_equals_brute_force(spark, tmp_path):
+    """The registered query against profiles and out-of-place distances of plain dictionaries."""
+    r = random.Random(21)
+    bits = {"aa": ["the", "and", "river", "with", "öl"], "bb": ["der", "und", "fluß", "mit", "öl"], "cc": ["le", "et", "rivière", "avec", "été"]}
+    rows = [(d, " ".join(r.choice(bits[lang]) + r.choice(["", "", ".", "3"]) for _ in range(r.randint(1, 30))), lang) for d in range(90) for lang in [r.choice(sorted(bits))]]
+    rows += [(200, None, "aa"), (201, "", "aa"), (202, "123 !!", "bb"), (203, "THE RIVER AND", None), (204, "zzz qqq", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in queries.op6_language_rank(spark, str(tmp_path)).collect()}
+    # Ties of frequency go by the n-gram's code, as the docstring states.
+    code = lambda g: int(language_rank.gram_code(g))
+    size = language_rank.PROFILE
+
+    def ranked(grams):
+        return {g: i for i, g in enumerate(sorted(grams, key=lambda g: (-grams[g], code(g)))[:size])}
+
+    sums = {}
+    for d, t, lang in rows:
+        if zlib.crc32(str(d).encode()) % 3 != 1 and lang and t is not None:
+            for g, n in plain_grams(t).items():
+                sums.setdefault(lang, {})[g] = sums.setdefault(lang, {}).get(g, 0) + n
+    profiles = {lang: ranked(g) for lang, g in sums.items()}
+    for d, t, _ in rows:
+        own = ranked(plain_grams(t))
+        if not own:
+            assert got[d] == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p[g] - i) if g in p else size for g, i in own.items()) for lang, p in profiles.items()}
+        best = min(sorted(far), key=lambda x: far[x])
+        assert got[d][0] == best and abs(got[d][1] - (1 - far[best] / (size * len(own)))) < 1e-9, d
+
+
 def test_language_edges(spark, awkward, empty):
     profiles = language_rank.learn(language_rank.training_rows(awkward))
     got = language_rank.predict(awkward, profiles).collect()
