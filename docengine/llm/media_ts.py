@@ -2,9 +2,10 @@
 
 ``encode`` wraps each text's bytes, padded, in a transport stream: a program association table, a
 program map table, then elementary packets of up to PACKET_UNITS padding units, each with a
-presentation time stamp, a clock reference and the random-access flag on its first packet.  ``decode``
-parses the stored bytes: tables and their checksums, continuity counters, reassembled elementary
-packets, time stamps and random-access points.
+presentation time stamp, a clock reference and the random-access flag on its first packet.  The text's own
+length, before padding, is a private descriptor of the program map.  ``features`` parses the stored bytes:
+tables and their checksums, continuity counters, reassembled elementary packets, time stamps and
+random-access points, which it returns as ``points`` (time stamp @ payload offset, comma-joined).
 
 Defined results: null and empty texts are one unit of padding; equal texts give equal bytes and
 features; repeated rows give repeated rows; an empty table gives no rows; other columns are ignored.
@@ -30,6 +31,8 @@ STREAM_TYPE, STREAM_ID = 0x06, 0xBD
 #: 90 kHz ticks between two elementary packets.
 TICKS = 3600
 PES_HEADER = 14
+#: Tag of the descriptor (user private) that holds the unpadded length in eight bytes.
+LENGTH_TAG = 0x80
 
 
 def _crc_table() -> np.ndarray:
@@ -65,7 +68,13 @@ def _table_section(table_id: int, ident: int, payload: bytes) -> bytes:
 
 
 _PAT = _section_packet(0, _table_section(0, 1, bytes([PROGRAM >> 8, PROGRAM & 0xFF, 0xE0 | PMT_PID >> 8, PMT_PID & 0xFF])))
-_PMT = _section_packet(PMT_PID, _table_section(2, PROGRAM, bytes([0xE0 | ES_PID >> 8, ES_PID & 0xFF, 0xF0, 0, STREAM_TYPE, 0xE0 | ES_PID >> 8, ES_PID & 0xFF, 0xF0, 0])))
+
+
+def _pmt(n_bytes: int) -> bytes:
+    descriptor = bytes([LENGTH_TAG, 8]) + n_bytes.to_bytes(8, "big")
+    stream = bytes([STREAM_TYPE, 0xE0 | ES_PID >> 8, ES_PID & 0xFF, 0xF0, len(descriptor)]) + descriptor
+    return _section_packet(PMT_PID, _table_section(2, PROGRAM, bytes([0xE0 | ES_PID >> 8, ES_PID & 0xFF, 0xF0, 0]) + stream))
+
 
 _LAYOUTS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -112,8 +121,8 @@ def _pcr_bytes(base: np.ndarray) -> np.ndarray:
     return np.stack(parts, axis=1).astype(np.uint8)
 
 
-def mux(payload: bytes) -> bytes:
-    """A transport stream with this payload."""
+def mux(payload: bytes, n_bytes: int) -> bytes:
+    """A transport stream with this payload, of which n_bytes are no padding."""
     data = np.frombuffer(payload, np.uint8)
     per = PACKET_UNITS * UNIT
     full = len(data) // per
@@ -136,7 +145,7 @@ def mux(payload: bytes) -> bytes:
         by_packet[:, 3] |= ((count + np.arange(len(by_packet))) & 15).astype(np.uint8)
         count += len(by_packet)
         out.append(by_packet.tobytes())
-    return b"".join([_PAT, _PMT, *out])
+    return b"".join([_PAT, _pmt(n_bytes), *out])
 
 
 def _section(packet: np.ndarray, table_id: int) -> bytes:
@@ -150,7 +159,7 @@ def _section(packet: np.ndarray, table_id: int) -> bytes:
 
 
 def demux(stream: bytes) -> dict:
-    """payload, stream_type, packets, elementary, pts (list), random_access (payload offsets) and continuity_errors."""
+    """payload, n_bytes, stream_type, packets, elementary, pts (list), random_access (payload offsets) and continuity_errors."""
     if not stream or len(stream) % TS:
         raise ValueError("not whole transport packets")
     p = np.frombuffer(stream, np.uint8).reshape(-1, TS)
@@ -162,6 +171,11 @@ def demux(stream: bytes) -> dict:
     pmt = _section(p[np.flatnonzero(pid == programs[min(k for k in programs if k)])[0]], 2)
     at = 4 + ((pmt[2] & 0x0F) << 8 | pmt[3])
     stream_type, es_pid = pmt[at], (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2]
+    info, n_bytes = pmt[at + 5 : at + 5 + ((pmt[at + 3] & 0x0F) << 8 | pmt[at + 4])], None
+    while info:
+        if info[0] == LENGTH_TAG:
+            n_bytes = int.from_bytes(info[2 : 2 + info[1]], "big")
+        info = info[2 + info[1] :]
     es = p[pid == es_pid]
     control = es[:, 3] >> 4 & 3
     has_field, has_data = control >= 2, (control & 1) == 1
@@ -188,7 +202,10 @@ def demux(stream: bytes) -> dict:
     np.add.at(step, starts + header, -1)
     keep = np.cumsum(step[:-1]) == 0
     offsets = starts - (np.cumsum(header) - header)
-    return {"payload": body[keep].tobytes(), "stream_type": int(stream_type), "packets": len(p), "elementary": len(starts), "pts": pts.tolist(), "random_access": offsets[flagged[first]].tolist(), "continuity_errors": errors}
+    payload = body[keep].tobytes()
+    if n_bytes is None or len(payload) != n_bytes + (-n_bytes % UNIT or (0 if n_bytes else UNIT)):
+        raise ValueError("the payload is not of the stated length")
+    return {"payload": payload, "n_bytes": n_bytes, "stream_type": int(stream_type), "packets": len(p), "elementary": len(starts), "pts": pts.tolist(), "random_access": offsets[flagged[first]].tolist(), "access_pts": pts[flagged[first]].tolist(), "continuity_errors": errors}
 
 
 def padded(data: bytes) -> bytes:
@@ -197,50 +214,50 @@ def padded(data: bytes) -> bytes:
 
 def _encode(batches):
     for batch in batches:
-        sizes, media, held, done = [], [], 0, 0
+        media, held, done = [], 0, 0
         for i, text in enumerate(batch.column(1), 1):
             data = (text.as_py() or "").encode()
-            sizes.append(len(data))
-            media.append(mux(padded(data)))
+            media.append(mux(padded(data), len(data)))
             held += len(media[-1])
             if held > 32 << 20:  # long texts: smaller batches
-                yield _media_batch(batch.column(0)[done:i], sizes, media)
-                sizes, media, held, done = [], [], 0, i
+                yield _media_batch(batch.column(0)[done:i], media)
+                media, held, done = [], 0, i
         if media:
-            yield _media_batch(batch.column(0)[done:], sizes, media)
+            yield _media_batch(batch.column(0)[done:], media)
 
 
-def _media_batch(ids, sizes, media) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+def _media_batch(ids, media) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(media, pa.binary())], names=["doc_id", "media"])
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (the transport stream)."""
-    return docs.select("doc_id", "text").mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    """doc_id, media (the transport stream)."""
+    return docs.select("doc_id", "text").mapInArrow(_encode, "doc_id long, media binary")
 
 
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, points string"
 
 
 def _decode(batches):
+    names = [c.split()[0] for c in _FEATURES.split(", ")]
+    types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
     for batch in batches:
         rows = []
-        for doc_id, n_bytes, media in zip(*batch.columns, strict=True):
+        for doc_id, media in zip(*batch.columns, strict=True):
             raw = media.as_py()
             found = demux(raw)
             payload = found["payload"]
             pts, access = found["pts"], found["random_access"]
             feature = f"type={found['stream_type']};packets={found['packets']};elementary={found['elementary']};pts={pts[0]}..{pts[-1]};access={len(access)};last_access={access[-1] if access else -1};breaks={found['continuity_errors']}"
-            rows.append((doc_id.as_py(), n_bytes.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-        columns = list(zip(*rows, strict=True)) or [[]] * 8
-        types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = [c.split()[0] for c in _FEATURES.split(", ")]
+            marks = ",".join(f"{t}@{o}" for t, o in zip(found["access_pts"], access, strict=True))
+            rows.append((doc_id.as_py(), found["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, marks))
+        columns = list(zip(*rows, strict=True)) or [[]] * 9
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Features computed from stored streams (columns doc_id, n_bytes, media)."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, _FEATURES)
+    """Features computed from stored streams (columns doc_id, media)."""
+    return media.select("doc_id", "media").mapInArrow(_decode, _FEATURES)
 
 
 def points(media: DataFrame) -> DataFrame:
@@ -251,7 +268,7 @@ def points(media: DataFrame) -> DataFrame:
             rows = []
             for doc_id, media_bytes in zip(batch.column(0), batch.column(1), strict=True):
                 found = demux(media_bytes.as_py())
-                rows += [{"doc_id": doc_id.as_py(), "number": i, "pts": t, "payload_offset": o} for i, (t, o) in enumerate(zip(found["pts"], found["random_access"], strict=True))]
+                rows += [{"doc_id": doc_id.as_py(), "number": i, "pts": t, "payload_offset": o} for i, (t, o) in enumerate(zip(found["access_pts"], found["random_access"], strict=True))]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("number", pa.int32()), ("pts", pa.int64()), ("payload_offset", pa.int64())]))
 
     return media.select("doc_id", F.col("media")).mapInArrow(run, "doc_id long, number int, pts long, payload_offset long")

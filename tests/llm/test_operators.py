@@ -805,14 +805,50 @@ def test_decontamination_edges(spark, awkward, empty):
 # ---- 10
 
 
+def plain_stream(raw):
+    """A packet-by-packet reader: (payload, unpadded length, [(time stamp, payload offset)], packets)."""
+    payload, marks, length, counter, at = b"", [], None, None, 0
+    while at < len(raw):
+        p = raw[at : at + 188]
+        at += 188
+        assert p[0] == 0x47
+        pid, starts, control = (p[1] & 31) << 8 | p[2], bool(p[1] & 0x40), p[3] >> 4 & 3
+        body, access = 4, False
+        if control & 2:
+            access = p[4] > 0 and bool(p[5] & 0x40)
+            body = 5 + p[4]
+        if pid == 0x100:
+            section = p[5 : 8 + ((p[6] & 15) << 8 | p[7])]
+            assert media_ts.crc32_mpeg(section) == 0
+            length = int.from_bytes(section[section.index(bytes([0x80, 8])) + 2 :][:8], "big")
+        if pid != 0x101:
+            continue
+        assert counter is None or p[3] & 15 == (counter + 1) % 16
+        counter, data = p[3] & 15, p[body:]
+        if starts:
+            assert data[:4] == bytes([0, 0, 1, 0xBD])
+            t = data[9:14]
+            stamp = (t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1
+            if access:
+                marks.append((stamp, len(payload)))
+            data = data[9 + data[8] :]
+        payload += data
+    return payload, length, marks, len(raw) // 188
+
+
 def test_transport_stream(spark, sf):
     want = texts(spark, sf)
+    stored = {r["doc_id"]: bytes(r["media"]) for r in media_ts.encode(docs(spark, sf)).collect()}
     for r in queries.op10_transport_stream(spark, sf).collect():
         data = want[r["doc_id"]].encode()
         whole = data + b"\xff" * (-len(data) % 576 or (0 if data else 576))
         assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(whole))
         assert r["payload_sha256"] == hashlib.sha256(whole).hexdigest() and r["tail_crc32"] == zlib.crc32(whole[-32:])
-        assert r["media_bytes"] % 188 == 0
+        payload, n, marks, packets = plain_stream(stored[r["doc_id"]])
+        assert (payload, n) == (whole, len(data)) and marks == [(i * media_ts.TICKS, i * 9216) for i in range(-(-len(whole) // 9216))]
+        assert (r["media_bytes"], r["media_sha256"]) == (188 * packets, hashlib.sha256(stored[r["doc_id"]]).hexdigest())
+        assert r["points"] == ",".join(f"{t}@{o}" for t, o in marks)
+        assert r["feature"] == f"type=6;packets={packets};elementary={len(marks)};pts=0..{marks[-1][0]};access={len(marks)};last_access={marks[-1][1]};breaks=0"
 
 
 def test_transport_stream_edges(spark, awkward, empty):
@@ -822,8 +858,10 @@ def test_transport_stream_edges(spark, awkward, empty):
     assert media_ts.features(media_ts.encode(empty)).count() == 0
     p = media_ts.points(media).filter("doc_id = 4").orderBy("number").collect()
     assert [r["pts"] for r in p] == [i * media_ts.TICKS for i in range(len(p))] and [r["payload_offset"] for r in p] == [i * 576 * media_ts.PACKET_UNITS for i in range(len(p))]
-    stream = bytearray(media_ts.mux(media_ts.padded(b"abc" * 500)))
+    stream = bytearray(media_ts.mux(media_ts.padded(b"abc" * 500), 1500))
     del stream[188 * 3 : 188 * 4]
+    with pytest.raises(ValueError, match="stated length"):
+        media_ts.demux(media_ts.mux(media_ts.padded(b"abc" * 500), 700))
     with pytest.raises(ValueError, match="continuity"):
         media_ts.demux(bytes(stream))
 
