@@ -2,8 +2,9 @@
 
 Base spans follow the four patterns exactly.  The field labels blank-separated words with O, or one of
 KINDS, from word shapes (runs of letters, digits and each mark), digit counts and a short cue list, of the
-word and its neighbours.  It is trained on the driver from ``labelled_rows`` (a few hundred made-up lines)
-and decoded by Viterbi in numpy batches.  A word whose score for O beats every other label under any
+word and its neighbours.  It is trained on the driver from a small labelled table (``learn``: at most MOST_LINES lines, in
+order of a hash), by default ``labelled_table`` of a few hundred made-up lines, and decoded by Viterbi in
+numpy batches.  A word whose score for O beats every other label under any
 neighbours is O in the best path, so paths are decoded exactly between such words only.  Found runs are
 checked (digit counts, Luhn, octets, an address's parts) and added where no base span overlaps.
 
@@ -20,7 +21,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import LOWER, lut, span_hashes, text_slices, tidy, word_spans
 from .quality_knn import shape_hashes
@@ -28,6 +30,8 @@ from .quality_knn import shape_hashes
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "name")
 LABELS = ("O", *KINDS)
+#: Labelled lines that a field may be trained from, and words of one.
+MOST_LINES, MOST_WORDS = 20_000, 64
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -312,6 +316,22 @@ def train(rows=None, rounds: int = 160, rate: float = 0.2, ridge: float = 2e-4)
     return field
 
 
+def labelled_table(spark: SparkSession) -> DataFrame:
+    """words, labels of the built-in lines; tables of one's own look the same."""
+    return spark.createDataFrame(labelled_rows(), "words array<string>, labels array<string>")
+
+
+def learn(labelled: DataFrame, most: int = MOST_LINES, **options) -> Field:
+    """A field from a labelled table (words, labels).
+
+    Lines without words, with a null or blank word or with more labels than words (or fewer) are not learned
+    from; unknown and null labels count as O; lines over MOST_WORDS words are left out, as filler suffices.
+    """
+    good = "size(words) between 1 and {n} and size(words) = size(labels) and forall(words, w -> coalesce(w rlike '^[^ \\t-\\r]+$', false))".format(n=MOST_WORDS)
+    rows = labelled.select("words", "labels").filter(good).orderBy(F.xxhash64("words", "labels"), "words", "labels").limit(most).collect()
+    return train([(list(r[0]), [x if x in LABELS else "O" for x in r[1]]) for r in rows])
+
+
 _MODEL: Field | None = None
 
 

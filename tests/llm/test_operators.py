@@ -17,6 +17,7 @@ from docengine.llm import common, decontaminate, jaccard_join, language_rank, li
 from docengine.llm.components import components
 
 from ..oracle import same
+from . import pii_lines
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
 AWKWARD = [
@@ -146,6 +147,30 @@ def test_pii_held_out_accuracy():
     assert right / total > 0.97 and found / gold > 0.9
 
 
+def test_pii_on_lines_written_by_hand(spark):
+    """Precision and recall of whole spans on lines that no generator made."""
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(pii_lines.LINES)], "doc_id long, text string")
+    found, gold, right = {}, {}, {}
+    for r in pii_crf.find(df).collect():
+        text, want = pii_lines.LINES[r["doc_id"]]
+        got = {(k, text[int(a) : int(b)]) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)}
+        for table, spans in ((found, got), (gold, set(want)), (right, got & set(want))):
+            for k, _ in spans:
+                table[k] = table.get(k, 0) + 1
+    figures = {k: (right.get(k, 0), found.get(k, 0), gold[k]) for k in gold}
+    print(figures)
+    assert sum(right.values()) >= 0.85 * sum(found.values()) and sum(right.values()) >= 0.85 * sum(gold.values()), figures
+
+
+def test_pii_learns_from_a_table(spark):
+    rows = [*pii_crf.labelled_rows(300, 5), ([], []), (None, ["O"]), (["a b"], ["O"]), (["x", None], ["O", "O"]), (["x"], ["O", "O"]), (["odd"], ["unknown"])]
+    field = pii_crf.learn(spark.createDataFrame(rows, "words array<string>, labels array<string>"))
+    t = "please write to jane.doe [at] host [dot] org today"
+    df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    assert pii_crf.find(df, field).first()["spans"] == f"email:{t.index('jane')}:{t.index(' today')}"
+    assert pii_crf.labelled_table(spark).count() == len(pii_crf.labelled_rows())
+
+
 def test_pii_finds_written_out_addresses(spark):
     t = "write to jane.doe [at] host [dot] org today\ncall (555) 123-4567 now\nplain words only here"
     df = spark.createDataFrame([(1, t)], "doc_id long, text string")
@@ -626,6 +651,24 @@ def test_packing_edges(spark, awkward, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("rule", ["residual_norm", "dot_product"])
+def test_packing_under_binding_capacities(spark, rule):
+    """Each of the three capacities binds in some sequence, and both rules keep all of them."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["river", "stone", "sun"]) for _ in range(r.choice([0, 1, 1, 2, 30, 60, 140])))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = packing.pack_documents(df, capacity=256, max_documents=12, max_attention=20_000, rule=rule).collect()
+    assert sorted((x["doc_id"], x["start"], x["length"]) for x in packed) == sorted((x["doc_id"], x["start"], x["length"]) for x in packing.pieces(df, 256).collect())
+    full = {}
+    for x in packed:
+        full.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    sums = [(sum(n for _, n in own), len(own), sum(n * n for _, n in own)) for own in full.values()]
+    assert all(a <= 256 and b <= 12 and c <= 20_000 for a, b, c in sums)
+    assert any(b == 12 and a < 200 for a, b, c in sums) and any(c > 19_000 and a < 200 for a, b, c in sums) and max(a for a, _, _ in sums) > (250 if rule == "residual_norm" else 200)
+    for own in full.values():
+        assert sorted(o for o, _ in own) == [sum(n for p, n in own if p < o) for o in sorted(o for o, _ in own)]
+
+
 @pytest.mark.parametrize("rule", ["residual_norm", "dot_product"])
 def test_best_fit_keeps_every_constraint(rule):
     lengths = np.random.default_rng(8).integers(1, 400, 600)
