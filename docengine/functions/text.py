@@ -90,11 +90,19 @@ def section_levels(title: Column) -> tuple[Column, Column]:
 
 def tags(c: Column, dictionary: dict[str, list[str]] | None = None) -> Column:
     """Sorted categories with a contained keyword, contained http-request directives and up to five sample fetches."""
-    low = F.lower(c)
-    found = [F.when(_any_contained(low, words), F.lit(name)) for name, words in (dictionary or D.TAG_KEYWORDS).items()]
-    fetches = F.transform(F.slice(F.regexp_extract_all(low, F.lit(r"\b(sc\d+_[a-z_]+|table_[a-z_]+)\b"), F.lit(1)), 1, 5), lambda x: F.concat(F.lit("sample_fetch:"), x))
-    found += [F.when(low.contains(action), F.lit(f"directive:{action.replace(' ', '_')}")) for action in D.HTTP_REQUEST_ACTIONS]
-    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*found)), fetches)))
+
+    def of(low: Column) -> Column:
+        found = [F.when(_any_contained(low, words), F.lit(name)) for name, words in (dictionary or D.TAG_KEYWORDS).items()]
+        fetches = F.transform(F.slice(F.regexp_extract_all(low, F.lit(r"\b(sc\d+_[a-z_]+|table_[a-z_]+)\b"), F.lit(1)), 1, 5), lambda x: F.concat(F.lit("sample_fetch:"), x))
+        found += [F.when(low.contains(action), F.lit(f"directive:{action.replace(' ', '_')}")) for action in D.HTTP_REQUEST_ACTIONS]
+        return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*found)), fetches)))
+
+    return _lowered(c, of)
+
+
+def _lowered(c: Column, f) -> Column:
+    """f of the lower-cased text, which is made once, not for every keyword."""
+    return F.element_at(F.transform(F.array(F.lower(c)), f), 1)
 
 
 def _any_contained(c: Column, words) -> Column:
@@ -135,25 +143,34 @@ def expand(token_list: Column, text: Column, dictionary: dict[str, list[str]] |
 
 def section_hints(c: Column, dictionary=None) -> Column:
     """An explicit section number, else the sections of all contained keywords, else null."""
-    low = F.lower(c)
-    number = F.regexp_extract(low, r"(?:section|chapitre)\s*(\d+(?:\.\d+)?)", 1)
-    explicit = F.when(number.contains("."), number).otherwise(F.concat(number, F.lit(".0")))
-    lists = [F.when(low.contains(k), F.array(*[F.lit(x) for x in v])).otherwise(F.array().cast("array<string>")) for k, v in (dictionary or D.SECTION_HINTS).items()]
-    union = F.array_sort(F.array_distinct(F.concat(*lists)))
-    return F.when(number != "", F.array(explicit)).when(F.size(union) > 0, union)
+
+    def of(low: Column) -> Column:
+        number = F.regexp_extract(low, r"(?:section|chapitre)\s*(\d+(?:\.\d+)?)", 1)
+        explicit = F.when(number.contains("."), number).otherwise(F.concat(number, F.lit(".0")))
+        union = F.array_sort(F.array_distinct(_sections_of(low, dictionary)))
+        return F.when(number != "", F.array(explicit)).when(F.size(union) > 0, union)
+
+    return _lowered(c, of)
 
 
 def category_hint(c: Column, dictionary=None) -> Column:
     """The category of the first contained keyword, in the dictionary's order."""
-    out, low = None, F.lower(c)
-    for k, v in (dictionary or D.CATEGORY_HINTS).items():
-        out = F.when(low.contains(k), v) if out is None else out.when(low.contains(k), v)
-    return out
+
+    def of(low: Column) -> Column:
+        out = None
+        for k, v in (dictionary or D.CATEGORY_HINTS).items():
+            out = F.when(low.contains(k), v) if out is None else out.when(low.contains(k), v)
+        return out
+
+    return _lowered(c, of)
 
 
 def target_sections(c: Column, dictionary=None) -> Column:
     """Sections of every contained keyword, repeats kept, in the dictionary's order."""
-    low = F.lower(c)
+    return _lowered(c, lambda low: _sections_of(low, dictionary))
+
+
+def _sections_of(low: Column, dictionary=None) -> Column:
     return F.concat(*[F.when(low.contains(k), F.array(*[F.lit(x) for x in v])).otherwise(F.array().cast("array<string>")) for k, v in (dictionary or D.SECTION_HINTS).items()])
 
 

@@ -96,23 +96,32 @@ def split(df: DataFrame, text: str, splitter, out: str = "chunk", **options) ->
 
 
 def merge_short(sections: DataFrame, least: int = 300) -> DataFrame:
-    """Adjacent sections (seq dense, url, title, content) of one url joined while shorter than ``least``.
+    """Adjacent sections (seq dense and unique, url, title, content) of one url joined while shorter than ``least``.
 
-    Runs are found per url; only a run's rows meet, and a run ends where another url comes between.
+    Where a section starts anew is decided on lengths and titles alone: a run is cut wherever seq has a gap
+    or the section before is itself long enough, and inside a run the lengths are summed up in order.
+    Contents are then joined to their first section, one concatenation per merged section.
     """
     w = Window.partitionBy("url").orderBy("seq")
-    start = F.when(F.col("seq") - F.lag("seq").over(w) == 1, 0).otherwise(1)
-    runs = sections.withColumn("_start", start).withColumn("_run", F.sum("_start").over(w))
-    rows = runs.groupBy("url", "_run").agg(F.array_sort(F.collect_list(F.struct("seq", "title", "content"))).alias("rows"))
-    one = "struct(x.seq as seq, x.title as title, x.content as content)"
+    narrow = sections.select("url", "seq", "title", F.length("content").alias("n"))
+    start = F.when((F.col("seq") - F.lag("seq").over(w) == 1) & (F.lag("n").over(w) < least), 0).otherwise(1)
+    runs = narrow.withColumn("_start", start).withColumn("_run", F.sum("_start").over(w))
+    rows = runs.groupBy("url", "_run").agg(F.array_sort(F.collect_list(F.struct("seq", "title", "n"))).alias("rows"))
+    # A merged section in the making: its first seq and title, its length so far; out: (seq, first seq) of every section.
     folded = F.expr(
-        f"""aggregate(rows, cast(array() as array<struct<seq: bigint, title: string, content: string>>), (acc, x) ->
-            if(size(acc) > 0 and length(acc[size(acc) - 1].content) < {least},
-               concat(slice(acc, 1, size(acc) - 1), array(struct(acc[size(acc) - 1].seq as seq, acc[size(acc) - 1].title as title,
-                 concat(acc[size(acc) - 1].content, if(x.title <> acc[size(acc) - 1].title, concat('\n\n## ', x.title), ''), '\n\n', x.content) as content))),
-               concat(acc, array({one}))))"""
+        f"""aggregate(rows, cast(null as struct<first: bigint, title: string, n: int, out: array<struct<seq: bigint, first: bigint>>>), (acc, x) ->
+            if(acc is not null and acc.n < {least},
+               named_struct('first', acc.first, 'title', acc.title, 'n', acc.n + if(coalesce(x.title <> acc.title, false), 5 + length(x.title), 0) + 2 + x.n,
+                 'out', concat(acc.out, array(named_struct('seq', x.seq, 'first', acc.first)))),
+               named_struct('first', x.seq, 'title', x.title, 'n', x.n,
+                 'out', concat(coalesce(acc.out, array()), array(named_struct('seq', x.seq, 'first', x.seq)))))).out"""
     )
-    return rows.select("url", F.explode(folded).alias("m")).select("m.seq", "url", "m.title", "m.content")
+    heads = rows.filter("size(rows) > 1").select("url", F.explode(folded).alias("m")).select("url", "m.seq", "m.first")
+    placed = sections.join(heads, ["url", "seq"], "left").withColumn("_first", F.coalesce("first", "seq"))
+    merged = placed.groupBy("url", "_first").agg(F.array_sort(F.collect_list(F.struct("seq", "title", "content"))).alias("rows"))
+    part = lambda x: F.concat(F.when(x["title"] != F.col("rows")[0]["title"], F.concat(F.lit("\n\n## "), x["title"])).otherwise(F.lit("")), F.lit("\n\n"), x["content"])
+    rest = F.transform(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), part)
+    return merged.select(F.col("_first").alias("seq"), "url", F.col("rows")[0]["title"].alias("title"), F.concat(F.col("rows")[0]["content"], F.array_join(rest, "")).alias("content"))
 
 
 def build_chunks(sections: DataFrame, least: int = 300, most: int = 800, overlap: int = 150) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Page hierarchies: nodes, orphans, depth by a recursive query with a cycle guard, breadth-first crawl."""
+"""Page hierarchies: nodes, orphans, depths level by level, breadth-first crawl. Levels are written to the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docengine.sources.files import written
+
 
 def nodes(pages: DataFrame) -> DataFrame:
     """url, children (distinct), implied: parents that are no page appear too (H1)."""
@@ -20,32 +22,34 @@ def orphans(pages: DataFrame) -> DataFrame:
     return pages.filter("parent_url is not null and parent_url != '' and parent_url != url").join(known, "parent_url", "left_anti").select("url", "parent_url")
 
 
-def depths(pages: DataFrame, most: int = 100) -> DataFrame:
-    """url, depth from the roots (1); a page that is its own parent is a root, cycles are never entered (H3)."""
-    spark = pages.sparkSession
-    pages.select("url", F.when(F.col("parent_url") != F.col("url"), F.nullif("parent_url", F.lit(""))).alias("parent_url")).distinct().createOrReplaceTempView("docengine_pages")
-    return spark.sql(
-        f"""with recursive t(url, depth) as (
-          select p.url, 1 from docengine_pages p left join docengine_pages q on p.parent_url = q.url where q.url is null
-          union all select p.url, t.depth + 1 from t join docengine_pages p on p.parent_url = t.url where t.depth < {most})
-        select url, min(depth) as depth from t group by url"""
-    )
+def depths(pages: DataFrame) -> DataFrame:
+    """url, depth from the roots (1); a page that is its own parent is a root, cycles are never entered (H3).
+
+    Level by level, until one is empty: a page has one parent row at least, and is taken at its least depth.
+    """
+    parents = pages.select("url", F.when(F.col("parent_url") != F.col("url"), F.nullif("parent_url", F.lit(""))).alias("parent_url")).distinct()
+    known = parents.select(F.col("url").alias("parent_url"), F.lit(True).alias("_known")).distinct()
+    level = written(parents.join(known, "parent_url", "left").filter("_known is null").select("url").distinct().withColumn("depth", F.lit(1)), "depth")
+    seen, depth = level, 1
+    while level.limit(1).count():
+        depth += 1
+        below = parents.join(level.select(F.col("url").alias("parent_url")), "parent_url", "left_semi").select("url").distinct()
+        level = written(below.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "depth")
+        seen = seen.unionByName(level) if depth % 32 else written(seen.unionByName(level), "depth")
+    return seen
 
 
 def crawl(links: DataFrame, start: str, most: int = 1000) -> DataFrame:
     """url, hops reached from ``start`` over links (url, target), nearest first, at most ``most`` pages."""
     spark = links.sparkSession
     seen = spark.createDataFrame([(start, 0)], "url string, hops int")
-    front, hops = seen.select("url"), 0
-    while True:
+    front, hops, n_seen = seen.select("url"), 0, 1
+    while n_seen < most:
         hops += 1
         new = links.join(front, "url").select(F.col("target").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
-        new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.cache()
-        n = new.limit(most).count()
-        if n == 0 or hops >= most:
-            break
-        seen = seen.unionByName(new.withColumn("hops", F.lit(hops)))
-        front = new
-        if seen.count() >= most:
+        front = written(new, "crawl")
+        n = front.count()
+        if n == 0:
             break
+        seen, n_seen = seen.unionByName(front.withColumn("hops", F.lit(hops))), n_seen + n
     return seen.orderBy("hops", "url").limit(most)

@@ -15,29 +15,28 @@ BROADCAST_TERMS = 200_000
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame  # id, term, tf
-    lengths: DataFrame  # id, dl
+    postings: DataFrame  # id, dl, term, tf
     stats: DataFrame  # n, avgdl
+    terms: DataFrame | None = None  # term, df: known for a saved index
 
 
 def build(docs: DataFrame, id_col: str, token_list: Column) -> Bm25Index:
     """All documents count for n and avgdl, also those without tokens."""
-    rows = docs.select(F.col(id_col).alias("id"), token_list.alias("tokens"))
-    lengths = rows.select("id", F.size("tokens").alias("dl"))
-    postings = rows.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Bm25Index(postings, lengths, stats)
+    rows = docs.select(F.col(id_col).alias("id"), token_list.alias("tokens")).withColumn("dl", F.size("tokens"))
+    postings = rows.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return Bm25Index(postings, stats)
 
 
 def save(index: Bm25Index, path: str) -> None:
     """Three tables under one path; postings are laid out by term so that a lookup reads few files (K5)."""
     index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    index.postings.sparkSession.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load(spark, path: str) -> Bm25Index:
-    return Bm25Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats")))
+    return Bm25Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "stats", "terms")))
 
 
 def query_terms(queries: DataFrame, id_col: str, token_list: Column, weight: int = 1) -> DataFrame:
@@ -48,17 +47,17 @@ def query_terms(queries: DataFrame, id_col: str, token_list: Column, weight: int
 def search(index: Bm25Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float | None = None, positive: bool = True) -> DataFrame:
     """query_id, id, score of every matching pair.
 
-    Only postings of query terms are read on: the term table prunes them before any shuffle.  ``floor``:
-    what a negative idf is replaced by.
+    Only postings of query terms are read on: the semi join with the terms is pushed below the counting of an
+    index that is not saved.  ``floor``: what a negative idf is replaced by.
     """
     small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     wanted = terms.select("term").distinct()
-    hits = index.postings.join(F.broadcast(wanted) if small else wanted, "term")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    hits = index.postings.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+    df = index.terms or hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = idf if floor is None else F.when(idf < 0, F.lit(floor)).otherwise(idf)
     weighted = terms.join(df, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", "avgdl", (F.col("mult") * idf).alias("w"))
-    scored = hits.join(F.broadcast(weighted) if small else weighted, "term").join(index.lengths, "id")
+    scored = hits.join(F.broadcast(weighted) if small else weighted, "term")
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     out = scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
     return out.filter("score > 0") if positive else out

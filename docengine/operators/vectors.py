@@ -1,4 +1,4 @@
-"""Exact nearest neighbours for batches of queries, in numpy blocks with a top-k per block."""
+"""Exact nearest neighbours for batches of queries: numpy blocks of bounded size and a running top k per task."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors in one broadcast block, in floats.
-BLOCK_FLOATS = 4_000_000
+#: Query vectors in one broadcast block, in floats, and its queries; products of one numpy step (queries times rows).
+BLOCK_FLOATS, BLOCK_QUERIES, STEP_PRODUCTS = 4_000_000, 4096, 2_000_000
 
 
 def _distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
@@ -22,17 +22,19 @@ def _distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray
     raise ValueError(metric)
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector: str = "embedding") -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector: str = "embedding", only: str | None = None) -> DataFrame:
     """query_id, id, similarity (1 - distance), rank (from 1; ties by id) for queries (query_id, embedding).
 
-    Queries are a stated set, taken in blocks of bounded size; each task keeps k rows per query and batch,
-    so the shuffle carries k rows a task and query.  Filter the corpus first for I8.
+    Queries are a stated set, taken in blocks of bounded size; each task keeps k rows per query, so the shuffle
+    carries k rows a task and query.  ``only``: a column of both tables; a query with a value there sees
+    rows of that value alone (I8).
     """
     spark = corpus.sparkSession
+    extra = [only] if only else []
+    rows = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), *extra)
     out = None
-    for ids, block in _blocks(queries):
-        shared = spark.sparkContext.broadcast((ids, block))
-        part = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInArrow(_top(shared, k, metric), "query_id long, id long, similarity double")
+    for block in _blocks(queries.select("query_id", "embedding", *extra)):
+        part = rows.mapInArrow(_top(spark.sparkContext.broadcast(block), k, metric), "query_id long, id long, similarity double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], "query_id long, id long, similarity double")
@@ -41,33 +43,54 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
 
 
 def _blocks(queries: DataFrame):
-    ids, rows, width = [], [], 0
-    for r in queries.select("query_id", "embedding").toLocalIterator():
+    """(ids, vectors, values of ``only`` or None) of some queries each; those without a vector are left out."""
+    ids, rows, only = [], [], []
+    pack = lambda: (np.array(ids), np.array(rows, np.float64), np.array(only, object) if only else None)
+    for r in queries.toLocalIterator():
         if r[1] is None:
             continue
         ids.append(r[0])
         rows.append(r[1])
-        width = len(r[1])
-        if len(rows) * width >= BLOCK_FLOATS:
-            yield np.array(ids), np.array(rows, np.float64)
-            ids, rows = [], []
+        only += r[2:]
+        if len(rows) * len(r[1]) >= BLOCK_FLOATS or len(rows) >= BLOCK_QUERIES:
+            yield pack()
+            ids, rows, only = [], [], []
     if rows:
-        yield np.array(ids), np.array(rows, np.float64)
+        yield pack()
+
+
+def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest of each row (ties: least id), unordered."""
+    if sims.shape[1] <= k:
+        return sims, ids
+    least = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k][:, None]
+    keep = sims >= least
+    for i in np.flatnonzero(keep.sum(axis=1) > k).tolist():  # ties across the rim
+        tied = np.flatnonzero(sims[i] == least[i])
+        spare = keep[i].sum() - k
+        keep[i, tied[np.argsort(ids[i, tied], kind="stable")][len(tied) - spare :]] = False
+    return sims[keep].reshape(-1, k), ids[keep].reshape(-1, k)
 
 
 def _top(shared, k: int, metric: str):
     def run(batches):
-        ids, queries = shared.value
+        ids, queries, only = shared.value
+        best, best_ids = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        step = max(1, STEP_PRODUCTS // len(ids))
         for batch in batches:
-            keep = batch.filter(batch.column(1).is_valid())
-            if not keep.num_rows:
-                continue
-            rows = np.stack(keep.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-            own = keep.column(0).to_numpy(zero_copy_only=False)
-            sims = np.round(1 - _distances(rows, queries, metric), 9)
-            order = np.lexsort((np.broadcast_to(own[:, None], sims.shape), -sims), axis=0)[:k]
-            q = np.broadcast_to(np.arange(len(ids))[None], order.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q.ravel()], pa.int64()), pa.array(own[order.ravel()], pa.int64()), pa.array(sims[order.ravel(), q.ravel()], pa.float64())], names=["query_id", "id", "similarity"])
+            batch = batch.filter(batch.column(1).is_valid())
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                rows = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                own = part.column(0).to_numpy(zero_copy_only=False)
+                sims = np.round(1 - _distances(queries, rows, metric), 9)
+                if only is not None:
+                    value = np.array(part.column(2).to_pylist(), object)
+                    sims[(only[:, None] != value[None]) & np.array([x is not None for x in only])[:, None]] = -np.inf
+                sims, near = _best(sims, np.broadcast_to(own[None], sims.shape), k)
+                best, best_ids = _best(np.concatenate([best, sims], axis=1), np.concatenate([best_ids, near], axis=1), k)
+        q, at = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(best_ids[q, at], pa.int64()), pa.array(best[q, at], pa.float64())], names=["query_id", "id", "similarity"])
 
     return run
 

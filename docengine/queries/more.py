@@ -1,7 +1,5 @@
 """Composed plans, round trips through files, hierarchy reports and result tables."""
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,9 +15,7 @@ from docengine.sources import files
 from docengine.sources import html as X
 
 
-def _scratch(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/docengine"
-    return f"{base.rstrip('/')}/docengine-{name}-{uuid.uuid4().hex}"
+_scratch = files.scratch
 
 
 def _echo(prompts):

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.operators.sets import latest
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all machines share, ``spark.checkpoint.dir``; only a local session may lack it."""
+    found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not found and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{(found or f'file://{tempfile.gettempdir()}/checkpoints/docengine').rstrip('/')}/docengine-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """One object a line, blank lines skipped; ``tolerant`` drops corrupt lines, else they fail."""
     return spark.read.schema(schema).option("encoding", encoding).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
