@@ -66,7 +66,7 @@ def detection_rate(found: Column, expected: Column) -> Column:
 
 
 def _lines(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def optimisation_precision(original: Column, produced: Column, expected: Column) -> Column:
@@ -77,7 +77,7 @@ def optimisation_precision(original: Column, produced: Column, expected: Column)
 
 def hallucination_rate(produced: Column, known: Column) -> Column:
     """Share of lines whose first word is unknown."""
-    rows = F.filter(F.transform(F.split(produced, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    rows = F.filter(F.transform(F.split(produced, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     bad = F.filter(rows, lambda x: ~F.array_contains(known, F.element_at(F.split(x, r"\s+"), 1)))
     return F.when(F.size(rows) > 0, F.size(bad) / F.size(rows)).otherwise(0.0)
 
@@ -113,3 +113,13 @@ def wilcoxon_p(differences: list[float]) -> float:
     w = sum(r for r, (_, up) in zip(ranks, d, strict=True) if up)
     var = sum(r * r for r in ranks) / 4
     return math.erfc(abs(w - sum(ranks) / 2) / math.sqrt(2 * var))
+
+
+#: The levels of each suite; a suite holds all cases of the one before it.
+SUITES = {"quick": ("easy",), "standard": ("easy", "medium"), "full": ("easy", "medium", "hard")}
+
+
+def select_cases(cases: DataFrame, suite: str = "full", category: str | None = None) -> DataFrame:
+    """Cases by level, and by category if one is given."""
+    out = cases.filter(F.col("difficulty").isin(*SUITES[suite]))
+    return out if category is None else out.filter(F.col("category") == category)

@@ -130,3 +130,11 @@ def summary(configs: DataFrame, found: DataFrame) -> DataFrame:
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 0.1 * F.col("errors") - 0.02 * F.col("warnings"))), 6)
     label = F.when(score >= 0.9, "excellent").when(score >= 0.7, "good").when(score >= 0.5, "fair").otherwise("poor")
     return rows.withColumn("compliance", score).withColumn("label", label)
+
+
+def tool(configs: DataFrame) -> DataFrame:
+    """config_id, message: what an agent is told of each configuration; a null one is an error of its own, not of the job."""
+    there = configs.filter("config is not null")
+    n = summary(there, findings(there))
+    counts = F.when(F.col("errors") > 0, F.format_string("invalid: %d errors, %d warnings", "errors", "warnings")).otherwise(F.format_string("valid: %d warnings", "warnings"))
+    return n.select("config_id", counts.alias("message")).unionByName(configs.filter("config is null").select("config_id", F.lit("error: no configuration").alias("message")))

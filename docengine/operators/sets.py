@@ -30,6 +30,14 @@ def overlap(found: DataFrame, reference: DataFrame, key: str) -> DataFrame:
     return agg.withColumn("coverage", F.coalesce(F.round(F.try_divide(100.0 * F.col("shared"), F.col("reference")), 4), F.lit(0.0)))
 
 
+def diff_report(found: DataFrame, reference: DataFrame, key: str, threshold: float = 95.0) -> DataFrame:
+    """reference, found, shared, missing, coverage, enough and a sentence that says so (H4)."""
+    o = overlap(found, reference, key)
+    enough = F.col("coverage") >= threshold
+    text = F.format_string(f"coverage %.2f%%, %s the threshold of {threshold:g}%%; %d documents missing", "coverage", F.when(enough, "at or above").otherwise("below"), "missing")
+    return o.select("reference", "found", "shared", "missing", "coverage", enough.alias("enough"), text.alias("summary"))
+
+
 def missing(reference: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return reference.select(key).distinct().join(found.select(key).distinct(), key, "left_anti")
 

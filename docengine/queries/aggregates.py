@@ -6,6 +6,7 @@ from docengine.functions import dictionaries as D
 from docengine.operators import evaluate as E
 from docengine.operators import sets as S
 from docengine.registry import query, table
+from docengine.sources import files
 
 
 @query("a1_totals", "SELECT count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS chars, round(avg(n_chars), 4) AS mean, min(n_chars) AS least, max(n_chars) AS most, count(*) FILTER (WHERE n_chars > 1000)::BIGINT AS long FROM documents")
@@ -133,9 +134,44 @@ def cap(spark, sf):
     return table(spark, sf, "events").withColumn("n", F.row_number().over(w)).filter("n <= 3").select("user_id", "event_id")
 
 
-@query("k6_upsert", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+@query("k6_upsert", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def upsert(spark, sf):
-    return S.latest(table(spark, sf, "events").select("user_id", "event_id"), "user_id", "event_id")
+    """The even events are stored, the odd ones upserted over them."""
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id")
+    path, target = files.scratch(spark, "store"), files.scratch(spark, "store")
+    S.latest(e.filter("event_id % 2 = 0"), "user_id", "event_id").write.parquet(path)
+    files.upsert(spark, path, S.latest(e.filter("event_id % 2 = 1"), "user_id", "event_id"), "user_id", "event_id", target)
+    return spark.read.parquet(target)
+
+
+@query("k6_delete", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")
+def delete(spark, sf):
+    """Keys deleted from a store; a cleared store is empty (K6)."""
+    path, target = files.scratch(spark, "store"), files.scratch(spark, "store")
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    d.write.parquet(path)
+    files.delete(spark, path, table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", target)
+    cleared = files.scratch(spark, "store")
+    files.clear(spark, target, cleared)
+    return spark.read.parquet(target).unionByName(spark.read.parquet(cleared))
+
+
+@query("s12_cases", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, lang AS category FROM documents WHERE doc_id % 3 IN (0, 1) AND lang = 'en'")
+def cases(spark, sf):
+    """Cases of the levels of a suite and of a category (S12, E21: each suite holds the ones before it)."""
+    d = table(spark, sf, "documents").select("doc_id", F.expr("CASE doc_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END").alias("difficulty"), F.col("lang").alias("category"))
+    return E.select_cases(d, "standard", category="en")
+
+
+@query("s11_suites", "SELECT suite, count(*)::BIGINT AS n FROM documents, (VALUES ('quick', 0), ('standard', 1), ('full', 2)) s(suite, most) WHERE doc_id % 3 <= most GROUP BY suite")
+def suites(spark, sf):
+    """quick is part of standard, and standard of full."""
+    d = table(spark, sf, "documents").select("doc_id", F.expr("CASE doc_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END").alias("difficulty"))
+    out = None
+    for suite in E.SUITES:
+        n = E.select_cases(d, suite).agg(F.lit(suite).alias("suite"), F.count("*").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 @query("a18_store_stats", "SELECT source, count(*)::BIGINT AS parents, count(quality)::BIGINT AS children FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
@@ -213,16 +249,32 @@ def metadata_quality(spark, sf):
     return _answers(spark, sf).select("doc_id", F.round(E.metadata_quality(F.col("answer"), F.col("keywords"), F.col("lang") == "en"), 4).alias("quality"))
 
 
-@query("e10_detection_rate", "SELECT doc_id, CASE WHEN lang = 'en' THEN 1.0 ELSE 0.5 END::DOUBLE AS rate FROM documents")
+_TYPES = ("syntax", "logic", "security", "reference")
+_HAS = lambda bit: f"(doc_id >> {bit}) & 1 = 1"
+_EXPECTED_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_HAS(i)} THEN '{t}' END" for i, t in enumerate(_TYPES)) + "], lambda x: x IS NOT NULL)"
+_CLAIMED_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_HAS(i + 2)} THEN '{t}' END" for i, t in enumerate(_TYPES)) + "], lambda x: x IS NOT NULL)"
+
+
+def _typed(shift: int):
+    return F.array_compact(F.array(*[F.when(F.expr(f"shiftright(doc_id, {i + shift}) & 1") == 1, F.lit(t)) for i, t in enumerate(_TYPES)]))
+
+
+@query("e10_detection_rate", f"WITH t AS (SELECT doc_id, {_EXPECTED_SQL} AS e, {_CLAIMED_SQL} AS c FROM documents) SELECT doc_id, round(CASE WHEN len(e) = 0 THEN 1 ELSE len(list_intersect(e, c)) / len(e)::DOUBLE END, 6) AS rate FROM t")
 def detection_rate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", E.detection_rate(F.array("lang", F.lit("x")), F.array(F.lit("en"), F.lit("x"))).alias("rate"))
+    """Expected and claimed types are chosen by bits of doc_id; repeats count once."""
+    twice = F.concat(_typed(0), _typed(0))
+    return table(spark, sf, "documents").select("doc_id", F.round(E.detection_rate(_typed(2), twice), 6).alias("rate"))
 
 
-@query("e12_optimisation_precision", "SELECT doc_id, 1.0::DOUBLE AS full_share, 0.0::DOUBLE AS none FROM documents")
+@query("e12_optimisation_precision", """WITH t AS (SELECT doc_id, [x for x in ['balance leastconn', 'timeout client 30s', 'option forwardfor', 'maxconn ' || doc_id] if (doc_id >> (list_position(['balance leastconn', 'timeout client 30s', 'option forwardfor', 'maxconn ' || doc_id], x) - 1)::INT) & 1 = 1] AS want,
+ [x for x in ['balance leastconn', 'timeout client 30s', 'option forwardfor', 'maxconn ' || doc_id] if (doc_id >> (list_position(['balance leastconn', 'timeout client 30s', 'option forwardfor', 'maxconn ' || doc_id], x) + 1)::INT) & 1 = 1] AS got FROM documents)
+SELECT doc_id, round(CASE WHEN len(want) > 0 THEN len(list_intersect(want, got)) / len(want)::DOUBLE WHEN len(got) = 0 THEN 1 ELSE 0 END, 6) AS share FROM t""")
 def optimisation_precision(spark, sf):
-    d = table(spark, sf, "documents").withColumn("added", F.concat(F.lit("first line\nnew "), F.col("doc_id").cast("string")))
-    base = F.lit("first line")
-    return d.select("doc_id", E.optimisation_precision(base, F.col("added"), F.col("added")).alias("full_share"), E.optimisation_precision(base, base, F.col("added")).alias("none"))
+    """Lines added to a configuration, chosen by bits of doc_id; some of the base are repeated."""
+    lines = [F.lit("balance leastconn"), F.lit("timeout client 30s"), F.lit("option forwardfor"), F.concat(F.lit("maxconn "), F.col("doc_id").cast("string"))]
+    base = F.lit("frontend web\n  bind *:80\n")
+    made = lambda shift: F.concat(base, F.array_join(F.array_compact(F.array(*[F.when(F.expr(f"shiftright(doc_id, {i + shift}) & 1") == 1, F.concat(F.lit("  "), x)) for i, x in enumerate(lines)])), "\n"), F.lit("\n  bind *:80"))
+    return table(spark, sf, "documents").select("doc_id", F.round(E.optimisation_precision(base, made(2), made(0)), 6).alias("share"))
 
 
 @query("e13_hallucination", r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, E'\n'), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#')) AS l FROM documents)

@@ -1,5 +1,6 @@
 """Sessions and routing over `conversations` and `events`."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docengine.registry import query, table
@@ -61,11 +62,37 @@ def needs_analysis(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", S.needs_analysis(F.col("text")).alias("needed"))
 
 
-@query("z7_token_stream", "SELECT conv_id AS answer_id, string_agg(text, '' ORDER BY turn) AS text, false AS done FROM conversations GROUP BY conv_id")
+@query("z7_token_stream", "WITH l AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id AS answer_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE turn % 3 <> 1), '') AS text, coalesce(bool_or(turn = last AND turn % 3 <> 1), false) AS done FROM l GROUP BY conv_id HAVING count(*) FILTER (WHERE turn % 3 <> 1) > 0")
 def token_stream(spark, sf):
-    line = F.to_json(F.struct(F.col("text").alias("response"), F.lit(False).alias("done")))
-    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("seq"), line.alias("line"))
-    return S.stream_text(rows)
+    """Every third line is no JSON, and only the last message is done."""
+    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    line = F.to_json(F.struct(F.col("text").alias("response"), (F.col("turn") == last).alias("done")))
+    rows = table(spark, sf, "conversations").withColumn("line", F.when(F.col("turn") % 3 == 1, F.lit('{"response": "cut o')).otherwise(line))
+    return S.stream_text(rows.select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("seq"), "line"))
+
+
+@query("z4_update_config", "SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 5 ELSE 10 END::INT AS top_k, CASE WHEN conv_id % 2 = 0 THEN 'long' ELSE 'short' END AS style FROM (SELECT DISTINCT conv_id FROM conversations)")
+def update_config(spark, sf):
+    """Given settings replace stored ones, the others stay."""
+    c = table(spark, sf, "conversations").select("conv_id").distinct()
+    stored = c.select("conv_id", F.lit(10).alias("top_k"), F.lit("short").alias("style"))
+    given = c.filter("conv_id % 2 = 0 or conv_id % 3 = 0").select("conv_id", F.expr("if(conv_id % 3 = 0, 5, null)").alias("top_k"), F.expr("if(conv_id % 2 = 0, 'long', null)").alias("style"))
+    return S.updated(stored, given, "conv_id")
+
+
+@query("z17_ensure_session", "SELECT DISTINCT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'session-' || conv_id ELSE 'session-' || left(sha256(conv_id || '|2024'), 16) END AS session_id, conv_id % 2 = 1 AS created FROM conversations")
+def ensure_session(spark, sf):
+    """Known sessions are found, unknown ones made."""
+    c = table(spark, sf, "conversations").select("conv_id").distinct()
+    known = c.filter("conv_id % 2 = 0").select("conv_id", F.concat(F.lit("session-"), F.col("conv_id").cast("string")).alias("session_id"))
+    return S.ensured(c, known, "conv_id", "2024")
+
+
+@query("z13_history", "SELECT conv_id, count(*)::BIGINT AS messages, count(*) FILTER (WHERE role = 'assistant')::BIGINT AS answers, coalesce(array_to_string(list_sort(list(DISTINCT 'src' || (turn % 3)) FILTER (WHERE role = 'assistant')), ','), '') AS sources FROM conversations GROUP BY conv_id")
+def history(spark, sf):
+    """A session's history with the sources its answers named."""
+    named = F.when(F.col("role") == "assistant", F.array(F.concat(F.lit("src"), (F.col("turn") % 3).cast("string"))))
+    return S.history(table(spark, sf, "conversations").withColumn("sources", named))
 
 
 @query("a17_session_stats", "SELECT count(DISTINCT conv_id)::BIGINT AS sessions, count(*)::BIGINT AS messages, round(count(*) / count(DISTINCT conv_id)::DOUBLE, 4) AS mean FROM conversations")

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docengine.functions import dictionaries as D
 from docengine.functions import sql
 from docengine.operators import evaluate as E
 from docengine.operators import fusion, hierarchy, lexical
@@ -63,19 +64,51 @@ def simple_pipeline(spark, sf):
     return R.retrieve(*_hybrid_inputs(spark, sf)).groupBy("query_id").agg(F.count("*").alias("passages"), F.sum(F.length("content")).alias("chars"))
 
 
-@query("z12_chat", "SELECT item_id AS query_id, 'answered' AS status FROM benchmark WHERE NOT regexp_matches(text, '(?is)<[^>]*>')")
+_ASKED = "CASE item_id % 5 WHEN 0 THEN '<b>' || text || '</b>' WHEN 1 THEN 'qqqq zzzz' ELSE text END"
+
+
+@query("z12_chat", f"""WITH q AS (SELECT item_id, {_ASKED} AS text FROM benchmark)
+SELECT item_id AS query_id, CASE WHEN regexp_matches(text, '(?is)<[^>]*>') THEN 'refused' WHEN item_id % 5 = 1 THEN 'fallback' ELSE 'answered' END AS status,
+ CASE WHEN regexp_matches(text, '(?is)<[^>]*>') THEN 'Refused: HTML tags' WHEN item_id % 5 = 1 THEN '{chat.FALLBACK_ANSWER}' END AS told FROM q""")
 def chat_plan(spark, sf):
-    chunks, vectors, questions, query_vectors = _hybrid_inputs(spark, sf)
-    found = R.retrieve(chunks, vectors, questions, query_vectors)
+    """Refused questions, those without any passage, and answered ones."""
+    chunks, vectors, _, query_vectors = _hybrid_inputs(spark, sf)
+    questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(_ASKED).alias("text"))
+    found = R.retrieve(chunks, vectors, questions, query_vectors.filter("query_id % 5 != 1"))
     contexts = R.context(found).join(found.groupBy("query_id").agg(F.max("low_confidence").alias("low_confidence")), "query_id")
-    return chat.answers(questions, contexts, _echo).select("query_id", "status")
+    return chat.answers(questions, contexts, _echo).select("query_id", "status", F.when(F.col("status") != "answered", F.col("answer")).alias("told"))
+
+
+_SIMPLE = "CASE doc_id % 4 WHEN 0 THEN 'not available' WHEN 1 THEN text WHEN 2 THEN left(text, 20) END"
+_AGENT = "CASE doc_id % 3 WHEN 0 THEN 'the ' || text WHEN 1 THEN 'no' ELSE left(text, 100) END"
 
 
-@query("z15_best_of", "SELECT doc_id AS query_id, false AS used_fallback FROM documents")
+def _arm(a: str) -> str:
+    raw = f"(0.7 * CASE WHEN contains(lower(coalesce({a}, '')), 'the') THEN 1 ELSE 0 END + 0.3 * least(1, length(coalesce({a}, '')) / 200.0::DOUBLE))"
+    fallback = " OR ".join(f"contains(lower(coalesce({a}, '')), '{p.replace(chr(39), chr(39) * 2)}')" for p in D.FALLBACK_PHRASES)
+    return f"round({raw}, 2) AS q, {raw} >= 0.8 AND length(coalesce({a}, '')) >= 200 AND NOT ({fallback}) AS ok"
+
+
+@query("z15_best_of", f"WITH s AS (SELECT doc_id, {_arm(_SIMPLE)} FROM documents), a AS (SELECT doc_id, {_arm(_AGENT)} FROM documents WHERE doc_id % 7 <> 0) SELECT s.doc_id AS query_id, NOT s.ok AND coalesce(a.q, -1) > s.q AS used_fallback FROM s LEFT JOIN a USING (doc_id)")
 def best_of(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"))
-    words = d.select("query_id", F.array(F.lit("the")).alias("keywords"))
-    return chat.best_of(d, d, words).select("query_id", "used_fallback")
+    """Two different arms, one of which may be missing."""
+    d = table(spark, sf, "documents")
+    words = d.select(F.col("doc_id").alias("query_id"), F.array(F.lit("the")).alias("keywords"))
+    simple = d.select(F.col("doc_id").alias("query_id"), F.expr(_SIMPLE).alias("answer"))
+    agent = d.filter("doc_id % 7 != 0").select(F.col("doc_id").alias("query_id"), F.expr(_AGENT).alias("answer"))
+    return chat.best_of(simple, agent, words).select("query_id", "used_fallback")
+
+
+@query("x22_crawl_cycles", """WITH RECURSIVE n AS (SELECT max(doc_id) + 1 AS n FROM documents), l AS (SELECT doc_id AS a, (doc_id * 2 + 1) % n AS b FROM documents, n UNION SELECT doc_id, (doc_id * 3) % n FROM documents, n UNION SELECT doc_id, doc_id FROM documents),
+t AS (SELECT 1::BIGINT AS u, 0 AS hops UNION SELECT l.b, t.hops + 1 FROM t JOIN l ON l.a = t.u WHERE t.hops < 60), m AS (SELECT u, min(hops) AS hops FROM t GROUP BY u)
+SELECT 'p' || u AS url, hops::INT AS hops FROM m ORDER BY hops, url LIMIT 1000""")
+def crawl_cycles(spark, sf):
+    """Pages that link in cycles and to themselves, and several ways to a page."""
+    d = table(spark, sf, "documents").select("doc_id").crossJoin(F.broadcast(table(spark, sf, "documents").agg((F.max("doc_id") + 1).alias("n"))))
+    ways = F.explode(F.array((F.col("doc_id") * 2 + 1) % F.col("n"), (F.col("doc_id") * 3) % F.col("n"), F.col("doc_id"))).alias("b")
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    links = d.select("doc_id", ways).select(name("doc_id").alias("url"), name("b").alias("target"))
+    return hierarchy.crawl(links, "p1")
 
 
 @query("x22_crawl", "SELECT 'p' || doc_id::VARCHAR AS url, (length(bin(doc_id + 1)) - 1)::INT AS hops FROM documents WHERE doc_id < 127")
@@ -94,16 +127,88 @@ def crawl_all(spark, sf):
     return hierarchy.crawl(links, "p0")
 
 
-@query("x23_page_document", r"SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*/?$', '') AS parent_url, CASE WHEN contains(url, '#') THEN split_part(url, '#', 2) END AS anchor FROM pages")
+_TITLE_SQL = r"nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<{t}\b[^>]*>(.*?)</{t}>', 1), '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '')"
+
+
+@query("x23_page_document", rf"""WITH p AS (SELECT page_id, url, coalesce({_TITLE_SQL.format(t='h1')}, {_TITLE_SQL.format(t='title')}, '') AS title, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*/?$', '') AS parent_url, CASE WHEN contains(url, '#') THEN split_part(url, '#', 2) END AS anchor,
+ len(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+', ''), '[?#].*$', ''), '/'), lambda x: x <> ''))::INT AS depth FROM pages)
+SELECT page_id, url, title, parent_url, depth, title AS section_path, anchor FROM p""")
 def page_document(spark, sf):
+    """The fields of a page taken as one document; its content is x15_main_lines."""
     u = F.col("url")
-    return table(spark, sf, "pages").select("page_id", X.parent_url(u).alias("parent_url"), X.anchor_of(u).alias("anchor"))
+    title = X.title(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", "url", title.alias("title"), X.parent_url(u).alias("parent_url"), X.url_depth(u).alias("depth"), title.alias("section_path"), X.anchor_of(u).alias("anchor"))
+
+
+_DIFF = """WITH n AS (SELECT (SELECT count(DISTINCT doc_id) FROM labels)::BIGINT AS reference, (SELECT count(DISTINCT doc_id) FROM documents)::BIGINT AS found, (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))::BIGINT AS shared, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))::BIGINT AS missing)
+SELECT *, round(100.0::DOUBLE * shared / reference, 4) AS coverage, 100.0 * shared / reference >= 95 AS enough, 'coverage ' || printf('%.2f', 100.0::DOUBLE * shared / reference) || '%, ' || CASE WHEN 100.0 * shared / reference >= 95 THEN 'at or above' ELSE 'below' END || ' the threshold of 95%; ' || missing || ' documents missing' AS summary FROM n"""
 
 
-@query("h4_diff_report", "SELECT (SELECT count(DISTINCT doc_id) FROM documents)::BIGINT AS pages, (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))::BIGINT AS missing")
+@query("h4_diff_report", _DIFF)
 def diff_report(spark, sf):
-    o = S.overlap(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"), "doc_id")
-    return o.select(F.col("found").alias("pages"), F.col("extra").alias("missing"))
+    """The report with its summary sentence, saved as JSON and read back."""
+    report = S.diff_report(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"), "doc_id")
+    path = _scratch(spark, "diff")
+    files.write_json_array(report, path)
+    return files.read_json_array(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in report.schema.fields))
+
+
+@query("k2_json_array", "SELECT doc_id, text, source FROM documents")
+def json_array(spark, sf):
+    path = _scratch(spark, "array")
+    files.write_json_array(table(spark, sf, "documents").select("doc_id", "text", "source"), path)
+    return files.read_json_array(spark, path, "doc_id long, text string, source string")
+
+
+@query("k8_chat_export", "SELECT conv_id, turn, role, text FROM conversations")
+def chat_export(spark, sf):
+    """Conversations exported as JSON, one object each, and imported again."""
+    path = _scratch(spark, "chat")
+    c = table(spark, sf, "conversations")
+    files.write_json_array(c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages")), path)
+    back = files.read_json_array(spark, path, "conv_id long, messages array<struct<turn: long, role: string, text: string>>")
+    return back.select("conv_id", F.explode("messages").alias("m")).select("conv_id", "m.turn", "m.role", "m.text")
+
+
+@query("k11_collection_alias", "SELECT vec_id, label FROM embeddings WHERE vec_id % 3 IN (0, 1)")
+def collection_alias(spark, sf):
+    """A collection made, added to twice, and another one deleted, which leaves it empty."""
+    root = _scratch(spark, "collections")
+    e = table(spark, sf, "embeddings").select("vec_id", "label")
+    for name in ("docs", "gone"):
+        files.create_collection(spark, root, name, e.schema)
+    for k in (0, 1):
+        files.add_documents(e.filter(F.col("vec_id") % 3 == k), root, "docs")
+    files.add_documents(e, root, "gone")
+    files.delete_collection(spark, root, "gone")
+    return files.get_collection(spark, root, "docs").unionByName(files.get_collection(spark, root, "gone"))
+
+
+@query("k7_report_files", "WITH r AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang) SELECT '# Documents' AS line UNION ALL SELECT '| lang | n |' UNION ALL SELECT '| --- | --- |' UNION ALL SELECT '| ' || lang || ' | ' || n || ' |' FROM r")
+def report_files(spark, sf):
+    """A report as Markdown (read back here) and as JSON."""
+    path = _scratch(spark, "report")
+    rows = table(spark, sf, "documents").filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
+    files.write_report(rows, path, "Documents")
+    return spark.read.text(f"{path}/markdown").select(F.col("value").alias("line")).filter("line != ''")
+
+
+@query("s10_texts", "SELECT DISTINCT 'lang=' || lang AS folder, count(*) OVER (PARTITION BY lang)::BIGINT AS n FROM documents WHERE lang IS NOT NULL")
+def texts(spark, sf):
+    """Texts saved under relative folders and read back, counted by folder."""
+    path = _scratch(spark, "texts")
+    d = table(spark, sf, "documents").filter("lang is not null")
+    files.write_texts(d.select(F.concat(F.lit("lang="), "lang").alias("folder"), F.translate("text", "\n\r", "  ").alias("text")), path, "folder")
+    back = spark.read.text(path)
+    return back.groupBy("folder").agg(F.count("*").alias("n"))
+
+
+@query("s7_encodings", "SELECT doc_id, text FROM documents")
+def encodings(spark, sf):
+    """JSON lines of UTF-16, whose encoding is found from the first bytes."""
+    path = _scratch(spark, "utf16")
+    table(spark, sf, "documents").select("doc_id", "text").write.option("encoding", "UTF-16LE").option("lineSep", "\n").json(path)
+    return files.read_detected(spark, path, "doc_id long, text string")
 
 
 @query("j8_self_join", "SELECT a.doc_id, b.lang AS parent_lang FROM documents a LEFT JOIN documents b ON a.doc_id // 2 = b.doc_id")

@@ -33,10 +33,16 @@ def scrub(spark, sf):
     return table(spark, sf, "pages").select("page_id", (F.length(X.scrub_input(F.col("html"), 1 << 30)) > 0).alias("any_text"))
 
 
-@query("f3_source_filter", "SELECT doc_id, source AS allowed, NULL::VARCHAR AS refused FROM documents")
+_RAW = "CASE doc_id % 8 WHEN 0 THEN '  ' || source || ' ' WHEN 1 THEN source || ' $where' WHEN 2 THEN ' ' WHEN 3 THEN '__proto__' WHEN 4 THEN 'eval(' || source || ')' WHEN 5 THEN '<script src=x>' WHEN 6 THEN 'no such source' ELSE source END"
+
+
+@query("f3_source_filter", f"""WITH r AS (SELECT doc_id, trim({_RAW}) AS raw FROM documents), a AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)
+SELECT doc_id, CASE WHEN raw = '' OR contains(raw, '$where') OR contains(raw, '__proto__') OR contains(raw, 'eval(') OR contains(raw, '<script') THEN NULL ELSE raw END AS safe, CASE WHEN raw IN (SELECT source FROM a) THEN raw END AS allowed FROM r""")
 def source_filter(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", X.source_filter(F.concat(F.lit("  "), "source", F.lit(" "))).alias("allowed"), X.source_filter(F.concat("source", F.lit(" $where"))).alias("refused"))
+    """Injections, blanks and unknown sources are refused; the allowed set is a table, joined."""
+    d = table(spark, sf, "documents").select("doc_id", X.source_filter(F.expr(_RAW)).alias("safe"))
+    known = table(spark, sf, "documents").filter("source is not null").select(F.col("source").alias("allowed")).distinct()
+    return d.join(known, F.col("safe") == F.col("allowed"), "left").select("doc_id", "safe", "allowed")
 
 
 @query("f4_sanitize", r"SELECT doc_id, left(trim(text, E' \t\n\r'), 500) AS clean FROM documents")
@@ -49,9 +55,9 @@ def sanitize_list(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(X.sanitize_list(F.split("text", " "), 20, 5), "|").alias("items"))
 
 
-@query("f6_scalarise", "SELECT doc_id, array_to_string(string_split(text, ' ')[1:5], ', ') AS joined FROM documents")
+@query("f6_scalarise", "SELECT doc_id, array_to_string(string_split(text, ' '), ', ') AS joined FROM documents")
 def scalarise(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 5), ", ").alias("joined"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.split("text", " "), ", ").alias("joined"))
 
 
 @query("f7_clean_title", r"SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 200) AS title FROM documents")
@@ -74,9 +80,13 @@ def has_code(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.has_code(F.col("text")).alias("has_code"))
 
 
-@query("f11_section_levels", r"SELECT doc_id, '5' AS parent, '5.' || doc_id::VARCHAR AS current FROM documents")
+_TITLE = "CASE doc_id % 5 WHEN 0 THEN '5.' || doc_id || '. Server' WHEN 1 THEN '5.2.' || doc_id || ' Deep ' || lang WHEN 2 THEN 'Plain ' || lang WHEN 3 THEN '' ELSE '12.7' END"
+
+
+@query("f11_section_levels", f"""WITH t AS (SELECT doc_id, {_TITLE} AS title FROM documents)
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '5' WHEN 1 THEN '5.2' WHEN 4 THEN '12' END AS parent, CASE doc_id % 5 WHEN 0 THEN '5.' || doc_id WHEN 1 THEN '5.2.' || doc_id WHEN 2 THEN title WHEN 4 THEN '12.7' END AS current FROM t""")
 def section_levels(spark, sf):
-    parent, current = X.section_levels(F.concat(F.lit("5."), F.col("doc_id").cast("string"), F.lit(". Server")))
+    parent, current = X.section_levels(F.expr(_TITLE))
     return table(spark, sf, "documents").select("doc_id", parent.alias("parent"), current.alias("current"))
 
 
@@ -123,6 +133,14 @@ def section_hints(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.coalesce(F.array_join(X.section_hints(F.col("text")), ","), F.lit("")).alias("hints"))
 
 
+@query("f18_explicit_sections", f"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'see Section 5.' || (doc_id % 9) || ' ' WHEN 1 THEN 'chapitre ' || (doc_id % 9) || ' ' WHEN 2 THEN 'the section of ' ELSE '' END || text AS text FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '5.' || (doc_id % 9) WHEN 1 THEN (doc_id % 9) || '.0' ELSE array_to_string(list_sort(list_distinct({_SEC})), ',') END AS hints FROM t""")
+def explicit_sections(spark, sf):
+    """A number in the text wins over contained keywords."""
+    text = F.expr("CASE doc_id % 4 WHEN 0 THEN 'see Section 5.' || (doc_id % 9) || ' ' WHEN 1 THEN 'chapitre ' || (doc_id % 9) || ' ' WHEN 2 THEN 'the section of ' ELSE '' END || text")
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(F.array_join(X.section_hints(text), ","), F.lit("")).alias("hints"))
+
+
 _CAT = "CASE " + " ".join(f"WHEN contains(lower(text), '{k}') THEN '{v}'" for k, v in D.CATEGORY_HINTS.items()) + " END"
 
 
@@ -158,10 +176,18 @@ def code_block_all(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.code_block(F.concat(F.lit("see:\n```cfg\n"), "text", F.lit("\n```\nend"))).alias("code"))
 
 
-@query("f24_claimed_errors", "SELECT doc_id, 0::INT AS line_no, 'syntax' AS error_type FROM documents")
+#: Lines of answers: the text, and the type it is to be given (null: no error line).
+_CLAIMS = (("Error: bad syntax here", "syntax"), ("all fine", None), ("  WARNING: a security hole", "security"), ("", None), ("invalid logic of the check", "logic"), ("error: undefined backend", "reference"), ("erreur de référence", "reference"), ("some other Error", "other"))
+_CLAIM_ROWS = ", ".join(f"({i}, '{text}', {'NULL' if kind is None else repr(kind)})" for i, (text, kind) in enumerate(_CLAIMS))
+
+
+@query("f24_claimed_errors", f"""WITH k(i, line, kind) AS (VALUES {_CLAIM_ROWS}), p AS (SELECT doc_id, i, line, kind, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS line_no FROM documents, k WHERE (doc_id >> i) & 1 = 1)
+SELECT doc_id, line_no, kind AS error_type, trim(line) AS message FROM p WHERE kind IS NOT NULL""")
 def claimed_errors(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.lit("Error: bad syntax here\nall fine").alias("answer"))
-    return X.claimed_errors(d).select("doc_id", "line_no", "error_type")
+    """An answer has the lines that the bits of doc_id choose."""
+    chosen = F.array_compact(F.array(*[F.when(F.expr(f"shiftright(doc_id, {i}) & 1") == 1, F.lit(text)) for i, (text, _) in enumerate(_CLAIMS)]))
+    d = table(spark, sf, "documents").select("doc_id", F.array_join(chosen, "\n").alias("answer"))
+    return X.claimed_errors(d).select("doc_id", "line_no", "error_type", "message")
 
 
 @query("f25_truncate_context", r"""WITH p AS (SELECT doc_id, string_split(text, E'\n') AS p, text FROM documents),
@@ -177,9 +203,13 @@ def model_filter(spark, sf):
     return table(spark, sf, "documents").select("source").distinct().select("source", X.model_kept(F.col("source"), ("src1",), ()).alias("kept"))
 
 
-@query("f28_model_kind", "SELECT source, false AS gguf FROM (SELECT DISTINCT source FROM documents)")
+_MODEL = "source || CASE doc_id % 4 WHEN 0 THEN '-Q4_K.GGUF' WHEN 1 THEN ':7b' WHEN 2 THEN '/x.gguf' ELSE '-embed' END"
+
+
+@query("f28_model_kind", f"SELECT DISTINCT {_MODEL} AS model, doc_id % 4 IN (0, 2) AS gguf FROM documents WHERE source IS NOT NULL")
 def model_kind(spark, sf):
-    return table(spark, sf, "documents").select("source").distinct().select("source", X.is_gguf(F.col("source")).alias("gguf"))
+    names = table(spark, sf, "documents").filter("source is not null").select(F.expr(_MODEL).alias("model")).distinct()
+    return names.select("model", X.is_gguf(F.col("model")).alias("gguf"))
 
 
 @query("f30_prompt", r"SELECT doc_id, E'Context:\n' || lang || E'\n\nConfiguration:\n' || text AS prompt FROM documents")

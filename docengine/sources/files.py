@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """One object a line, blank lines skipped; ``tolerant`` drops corrupt lines, else they fail."""
-    return spark.read.schema(schema).option("encoding", encoding).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
+    reader = spark.read.schema(schema).option("encoding", encoding).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST")
+    return (reader if encoding == "UTF-8" else reader.option("lineSep", "\n")).json(path)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -73,6 +75,78 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, version: s
     latest(spark.read.parquet(path).unionByName(rows), key, version).write.mode("overwrite").parquet(target)
 
 
+def delete(spark: SparkSession, path: str, ids: DataFrame, key: str, target: str) -> None:
+    """The store without these keys, written to ``target`` (K6)."""
+    without(spark, path, ids, key).write.mode("overwrite").parquet(target)
+
+
+def clear(spark: SparkSession, path: str, target: str) -> None:
+    """An empty store of the same schema (K4, K6)."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(target)
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """Files of one JSON array each, a row per line (K2, K8, K10); ``read_json_array`` reads them back."""
+
+    def lines(batches):
+        first = True
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            if rows:
+                yield pa.RecordBatch.from_pydict({"value": [("[" if first and i == 0 else ",") + r for i, r in enumerate(rows)]}, schema=pa.schema([("value", pa.string())]))
+                first = False
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if first else "]"]}, schema=pa.schema([("value", pa.string())]))
+
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
+def write_report(rows: DataFrame, path: str, title: str) -> None:
+    """A small result table as JSON and as a Markdown table under ``path`` (K7)."""
+    write_json_array(rows.coalesce(1), f"{path}/json")
+    head = f"# {title}\n\n| {' | '.join(rows.columns)} |\n|{' --- |' * len(rows.columns)}"
+    cells = F.concat(F.lit("| "), F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)), " | "), F.lit(" |"))
+    top = rows.sparkSession.createDataFrame([(head,)], "value string")
+    top.unionByName(rows.select(cells.alias("value"))).coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
+
+
+def create_collection(spark: SparkSession, root: str, name: str, schema) -> None:
+    """An empty collection, in place of one of that name."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/{name}")
+
+
+def add_documents(rows: DataFrame, root: str, name: str) -> None:
+    rows.write.mode("append").parquet(f"{root}/{name}")
+
+
+def get_collection(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}")
+
+
+def delete_collection(spark: SparkSession, root: str, name: str) -> None:
+    """Deleting leaves an empty collection of the same schema."""
+    create_collection(spark, root, name, get_collection(spark, root, name).schema)
+
+
+def detect_encoding(head: bytes) -> str:
+    """By a byte order mark, else by where the zero bytes of the first characters stand, else UTF-8."""
+    for mark, name in ((b"\xff\xfe\x00\x00", "UTF-32LE"), (b"\x00\x00\xfe\xff", "UTF-32BE"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE"), (b"\xef\xbb\xbf", "UTF-8")):
+        if head.startswith(mark):
+            return name
+    zeros = tuple(b == 0 for b in head[:4])
+    return {(False, True, True, True): "UTF-32LE", (True, True, True, False): "UTF-32BE", (False, True, False, True): "UTF-16LE", (True, False, True, False): "UTF-16BE"}.get(zeros, "UTF-8")
+
+
+def read_detected(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines in the encoding that the first bytes of a file show (S7). All files of a path have one encoding."""
+    first = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.expr("substring(content, 1, 4)").alias("head")).first()
+    return read_jsonl(spark, path, schema, encoding=detect_encoding(bytes(first["head"])) if first else "UTF-8")
+
+
+def write_texts(df: DataFrame, path: str, folder: str, text: str = "text") -> None:
+    """Text rows under a relative path each, as folder=.../ files."""
+    df.select(F.col(folder).alias("folder"), F.col(text).alias("value")).write.mode("overwrite").partitionBy("folder").text(path)
+
+
 def without(spark: SparkSession, path: str, ids: DataFrame, key: str) -> DataFrame:
     """The collection without these ids (K4)."""
     return spark.read.parquet(path).join(ids.select(key), key, "left_anti")

@@ -239,6 +239,67 @@ def sections(pages: DataFrame, levels: tuple[str, ...] = HEADINGS) -> DataFrame:
     return apply(pages, ["title", "content"], lambda h: split_at(h, levels))
 
 
+def _numbered(node: Node) -> bool:
+    parts = (node.attrs.get("id") or "").split(".")
+    return node.tag == "a" and "anchor" in (node.attrs.get("class") or "").split() and all(p.isdigit() for p in parts)
+
+
+def numbered_split(html: str | None, filled: bool = False) -> list[dict]:
+    """Sections between numbered anchors, each named by its number and the next heading; the text before them first.
+
+    The heading is an h1 among the anchor's later siblings, or inside a page header there; what stands in a
+    <small> before its text is left out.  ``filled``: sections without content are left out, and a heading of
+    any level counts.
+    """
+    root = parse(html)
+    wanted = HEADINGS if filled else ("h1",)
+    body = next((n for n in walk(root) if n.tag == "body"), root)
+    order = [n for n in walk(body) if _numbered(n)]
+    parent = {id(c): n for n in walk(body) for c in n.children if isinstance(c, Node)}
+    marks = {id(n) for n in order}
+    out = []
+    text = lambda nodes: "".join(markdown(n) for n in nodes).strip()
+    if order and parent[id(order[0])] is body:
+        before = body.children[: body.children.index(order[0])]
+        if text(before):
+            out.append({"title": "", "content": text(before)})
+    for n in order:
+        siblings = parent[id(n)].children
+        after = siblings[next(i for i, c in enumerate(siblings) if c is n) + 1 :]
+        own = []
+        for c in after:
+            if id(c) in marks:
+                break
+            own.append(c)
+        head = None
+        for c in after if not filled else own:
+            if isinstance(c, Node) and head is None:
+                if c.tag in wanted:
+                    head = c
+                elif c.tag == "div" and ("page-header" in (c.attrs.get("class") or "").split() or filled):
+                    head = next((x for x in walk(c) if x.tag in wanted), None)
+            if id(c) in marks and head is None:
+                break
+            if head is not None:
+                break
+        name, title = n.attrs["id"], ""
+        if head is not None:
+            small = next((i for i, c in enumerate(head.children) if isinstance(c, Node) and c.tag == "small"), None)
+            rest = Node("#part")
+            rest.children = head.children if small is None else head.children[small + 1 :]
+            title = text_of(rest)
+            if small is None and title.startswith(name):
+                title = title[len(name) :].lstrip().removeprefix(".").strip()
+        row = {"title": f"{name}. {title}" if title else name, "content": text(own)}
+        if row["content"] or not filled:
+            out.append(row)
+    return out
+
+
+def numbered_sections(pages: DataFrame, filled: bool = False) -> DataFrame:
+    return apply(pages, ["title", "content"], lambda h: numbered_split(h, filled))
+
+
 # ---- expressions
 
 
@@ -259,6 +320,25 @@ def plain_text(html: Column, drop: str = "script|style") -> Column:
     return F.trim(F.regexp_replace(kept, r"\s+", " "))
 
 
+def main_lines(html: Column) -> Column:
+    """The text inside main, else article, else body, without scripts, styles, navigation and footers; a line per piece."""
+    h = F.coalesce(html, F.lit(""))
+    inner = lambda t: F.regexp_extract(h, rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1)
+    part = h
+    for t in ("body", "article", "main"):
+        part = F.when(h.rlike(rf"(?i)<{t}\b"), inner(t)).otherwise(part)
+    kept = F.regexp_replace(F.regexp_replace(part, r"(?is)<(script|style|nav|footer)\b[^>]*>.*?</\1>", " "), r"(?s)<!--.*?-->", "")
+    pieces = F.transform(F.split(kept, r"(?s)<[^>]*>"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.array_join(F.filter(pieces, lambda x: x != ""), "\n")
+
+
+def page_title(md: Column, url: Column) -> Column:
+    """The first level-1 heading, else the file's name in the address with capitals, else "Documentation" (X8)."""
+    stem = F.initcap(F.replace(F.regexp_extract(url, r"/([^/]+)\.html$", 1), F.lit("-"), F.lit(" ")))
+    head = F.trim(F.regexp_extract(md, r"(?m)^#\s+(.+)$", 1))
+    return F.coalesce(F.nullif(head, F.lit("")), F.nullif(stem, F.lit("")), F.lit("Documentation"))
+
+
 def outline(pages: DataFrame) -> DataFrame:
     """page_id, pos, level, title of every heading."""
     p = r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1>"
@@ -271,7 +351,7 @@ def outline(pages: DataFrame) -> DataFrame:
 def links(html: Column) -> Column:
     """Distinct relative links, in order."""
     found = F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda u: (u != "") & ~u.rlike(r"(?i)^(#|https?:|mailto:|ftp:|javascript:)")))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda u: (u != "") & ~u.rlike(r"(?i)^(#|https?:|mailto:|ftp:|javascript:)")))
 
 
 def resolve(base: Column, link: Column) -> Column:
@@ -319,3 +399,22 @@ def markdown_sections(df: DataFrame, key: str, text: str) -> DataFrame:
     content = F.regexp_replace(F.when(head, field(4)).otherwise(F.col("part")), r"^\s+|\s+$", "")
     out = rows.select(key, "pos", F.when(head, field(2)).alias("anchor"), F.when(head, field(1)).alias("number"), F.when(head, field(3)).otherwise("Introduction").alias("title"), content.alias("content"))
     return out.filter("content != ''")
+
+
+def verified_sections(df: DataFrame, key: str, text: str, url: str) -> DataFrame:
+    """Markdown sections with url#anchor, parent_url, parent_title, depth and section_path."""
+    heads = df.select(key, F.col(url).alias("parent_url"), page_title(F.col(text), F.col(url)).alias("parent_title"))
+    rows = markdown_sections(df, key, text).join(heads, key)
+    anchor = F.coalesce("anchor", F.lit(""))
+    return rows.select(
+        key,
+        "pos",
+        F.when(F.col("anchor").isNull(), F.col("parent_url")).otherwise(F.concat_ws("#", "parent_url", "anchor")).alias("url"),
+        "parent_url",
+        "parent_title",
+        "title",
+        "content",
+        anchor_depth(anchor).alias("depth"),
+        section_path(anchor, F.col("parent_title")).alias("section_path"),
+        "anchor",
+    )

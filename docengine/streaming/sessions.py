@@ -69,12 +69,30 @@ def message_list(messages: DataFrame, system: str, question: Column, turns: int
 
 
 def stream_text(lines: DataFrame, key: str = "answer_id", order: str = "seq") -> DataFrame:
-    """Token lines (NDJSON with a response and a done flag) joined to texts."""
-    parsed = lines.select(key, order, F.from_json("line", "response string, done boolean").alias("p")).filter("p is not null")
+    """Token lines (NDJSON with a response and a done flag) joined to texts; lines that are no JSON are passed over."""
+    parsed = lines.select(key, order, F.from_json("line", "response string, done boolean, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("p")).filter("p is not null and p._bad is null")
     parts = F.array_sort(F.collect_list(F.struct(order, F.coalesce("p.response", F.lit("")).alias("r"))))
     return parsed.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["r"]), "").alias("text"), F.max("p.done").alias("done"))
 
 
+def updated(stored: DataFrame, given: DataFrame, key: str) -> DataFrame:
+    """Stored settings with the non-null given ones in their place."""
+    new = given.select(key, *(F.col(c).alias(f"_{c}") for c in given.columns if c != key))
+    return stored.join(new, key, "left").select(key, *(F.coalesce(f"_{c}", c).alias(c) if c in given.columns else F.col(c) for c in stored.columns if c != key))
+
+
+def ensured(asked: DataFrame, known: DataFrame, key: str, created_at: str) -> DataFrame:
+    """key, session_id, created: the stored session of a key, else a new one named by key and time."""
+    made = F.concat(F.lit("session-"), F.left(F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit(created_at)), 256), F.lit(16)))
+    return asked.select(key).distinct().join(known.select(key, "session_id"), key, "left").select(key, F.coalesce("session_id", made).alias("session_id"), F.col("session_id").isNull().alias("created"))
+
+
+def history(messages: DataFrame) -> DataFrame:
+    """conv_id, messages, answers and the distinct sources named by the answers."""
+    named = F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources"))))
+    return messages.groupBy("conv_id").agg(F.count("*").alias("messages"), F.count_if(F.col("role") == "assistant").alias("answers"), F.array_join(named, ",").alias("sources"))
+
+
 def session_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "24 hours", late: str = "1 hour") -> DataFrame:
     """Sessions of a stream by gap, closed once the watermark passes (Z1, Z3): state ends with the session."""
     return events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("messages")).select(key, F.col("w.start").alias("created"), F.col("w.end").alias("expires"), "messages")
