@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -29,30 +30,78 @@ def hashing_embedder(width: int = 64) -> Embedder:
     return embed
 
 
-def embed(df: DataFrame, text: str, provider: Embedder, batch: int = 32, retries: int = 3, out: str = "embedding") -> DataFrame:
-    """Adds vectors in batches; each batch is retried, then the task fails and Spark re-runs it.
+def failing_on(mark: str, embedder: Embedder) -> Embedder:
+    """A test provider that never answers for texts with this mark."""
 
-    Distinct texts are embedded once: deduplicate before, join after, where texts repeat (I1's memo).
-    """
+    def embed(texts: list[str]) -> list[list[float]]:
+        if any(mark in t for t in texts):
+            raise OSError("no answer")
+        return embedder(texts)
+
+    return embed
+
+
+def _tried(provider: Embedder, part: list[str], retries: int, wait: float) -> list | None:
+    """The provider's answer, tried again after wait, 2 wait, 4 wait, ...; None if every attempt fails."""
+    for attempt in range(retries):
+        try:
+            return provider(part)
+        except OSError:
+            if attempt < retries - 1:
+                time.sleep(wait * 2**attempt)
+    return None
+
+
+def embed(df: DataFrame, text: str, provider: Embedder, batch: int = 32, retries: int = 3, out: str = "embedding", wait: float = 0.0) -> DataFrame:
+    """Adds vectors in batches; each batch is retried, then the task fails and Spark re-runs it."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:
             done: list = []
             for lo in range(0, len(series), batch):
-                part = series.iloc[lo : lo + batch].fillna("").tolist()
-                for attempt in range(retries):
-                    try:
-                        done += provider(part)
-                        break
-                    except OSError:
-                        if attempt == retries - 1:
-                            raise
+                found = _tried(provider, series.iloc[lo : lo + batch].fillna("").tolist(), retries, wait)
+                if found is None:
+                    raise OSError(f"no answer in {retries} attempts")
+                done += found
             yield pd.Series(done)
 
     return df.withColumn(out, run(F.col(text)))
 
 
+def embed_one_by_one(df: DataFrame, text: str, provider: Embedder, retries: int = 3, wait: float = 0.0, gap: float = 0.0, missing: list[float] | None = None, out: str = "embedding") -> DataFrame:
+    """Adds a vector per row, at least ``gap`` seconds after the one before in a task; ``missing``, or null, where all attempts fail.
+
+    I2 for queries (null), I1 for chunks (a zero vector).
+    """
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        last = 0.0
+        for series in batches:
+            done = []
+            for value in series.fillna(""):
+                time.sleep(max(0.0, last + gap - time.monotonic()))
+                last = time.monotonic()
+                found = _tried(provider, [value], retries, wait)
+                done.append(missing if found is None else found[0])
+            yield pd.Series(done, dtype=object)
+
+    return df.withColumn(out, run(F.col(text)))
+
+
+def embed_distinct(df: DataFrame, text: str, provider: Embedder, width: int, out: str = "embedding", **options) -> DataFrame:
+    """Each distinct text is embedded once (I1's memo); a zero vector where the provider fails."""
+    once = embed_one_by_one(df.select(F.col(text).alias("_text")).distinct(), "_text", provider, missing=[0.0] * width, out=out, **options)
+    return df.join(once, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
+def available(wanted: list[str], listed: list[str]) -> list[str]:
+    """The wanted models that a server lists, by full name or without the tag."""
+    names = {*listed, *(x.split(":")[0] for x in listed)}
+    return [w for w in wanted if w in names]
+
+
 def rerank_text(title: Column, keywords: Column, content: Column) -> Column:
     """The text a cross-encoder sees."""
     return F.concat_ws("\n", title, F.concat(F.lit("keywords: "), F.array_join(keywords, ", ")), content)

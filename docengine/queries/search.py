@@ -75,6 +75,17 @@ def bm25_stats(spark, sf):
     return _index(spark, sf).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
+_BM25_PATH = _BM25.replace(f"d AS (SELECT doc_id AS id, {_tok('text')} AS t FROM documents)", f"d AS (SELECT doc_id AS id, {_tok(chr(34) + 'full' + chr(34))} AS t FROM (SELECT doc_id, text || ' Section ' || coalesce(source, '') AS \"full\" FROM documents))")
+
+
+@query("i6_bm25_with_path", f"WITH {_BM25_PATH} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM bmr WHERE rank <= 10")
+def bm25_with_path(spark, sf):
+    """Contents indexed together with their section path."""
+    full = F.concat(F.col("text"), F.lit(" Section "), F.coalesce("source", F.lit("")))
+    index = lexical.build(table(spark, sf, "documents"), "doc_id", X.tokens(full))
+    return fusion.top(lexical.search(index, _terms(spark, sf)).withColumn("score", F.round("score", 6)), 10)
+
+
 @query("i10_bm25_search", f"WITH {_BM25} SELECT query_id, id, score, rank FROM bmr WHERE rank <= 10")
 def bm25_search(spark, sf):
     return fusion.top(_bm25(spark, sf), 10)
@@ -145,10 +156,28 @@ def context(spark, sf):
     return R.context(R.retrieve(*_hybrid_inputs(spark, sf))).select("query_id", "context")
 
 
-@query("i25_retry_queries", r"SELECT item_id AS query_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: length(t) > 3), ' ') AS text FROM benchmark")
+@query("i25_retry_queries", r"SELECT item_id AS query_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: length(t) > 3), ' ') AS text FROM benchmark WHERE item_id % 3 <> 0")
 def retry_queries(spark, sf):
+    """Queries that found nothing; those divisible by three found something."""
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.retry_simplified(q, q.filter("false"))
+    return R.retry_simplified(q, _knn(spark, sf, 3).filter("query_id % 3 = 0").unionByName(q.filter("query_id % 3 = 0").selectExpr("query_id", "0L id", "0.0D similarity", "1 rank")))
+
+
+@query("i26_sources", f"WITH {_BM25}, {_KNN}, {_RRF}, {_BOOST} SELECT query_id, string_agg(id || ':' || round(score, 3), ',' ORDER BY rank) AS sources FROM rt GROUP BY query_id")
+def sources(spark, sf):
+    return R.context(R.retrieve(*_hybrid_inputs(spark, sf))).select("query_id", "sources")
+
+
+@query("i29_fallback", f"WITH {_KNN} SELECT query_id, id, round(similarity, 6) AS score, CAST(rank AS INTEGER) AS rank FROM knr WHERE rank <= 10")
+def fallback(spark, sf):
+    """Chunks without texts: the vector branch answers alone."""
+    chunks, embeddings, questions, query_vectors = _hybrid_inputs(spark, sf)
+    return R.search_or_vectors(chunks.drop("text"), embeddings, questions, query_vectors).withColumn("score", F.round("score", 6))
+
+
+@query("i29_hybrid_first", f"WITH {_BM25}, {_KNN}, {_RRF} SELECT query_id, id, rrf_score AS score, CAST(rank AS INTEGER) AS rank FROM hy WHERE rank <= 10")
+def hybrid_first(spark, sf):
+    return R.search_or_vectors(*_hybrid_inputs(spark, sf))
 
 
 # The same with query expansion: tokens twice, and once more with the expansions.
@@ -178,6 +207,41 @@ def context_expanded(spark, sf):
     return R.context(R.retrieve(*_hybrid_inputs(spark, sf), expand=True)).select("query_id", "context")
 
 
+_PLANNED = "CASE item_id % 7 WHEN 0 THEN '<i>' || text || '</i>' WHEN 3 THEN text || ' timeout of the acl' ELSE text END"
+_FILTER = "CASE item_id % 5 WHEN 1 THEN ' src1 ' WHEN 2 THEN 'src2 $where' WHEN 3 THEN 'nowhere' WHEN 4 THEN ' ' END"
+_THRESHOLD = 0.034
+_PLAN_SQL = (
+    f"""bq AS (SELECT item_id, {_PLANNED} AS text, nullif(trim({_FILTER}), '') AS flt, CASE WHEN regexp_matches({_PLANNED}, '(?is)<[^>]*>') THEN 'HTML tags' WHEN trim({_FILTER}) <> '' AND NOT coalesce(trim({_FILTER}) IN (SELECT source FROM documents), false) THEN 'filter_source' END AS error FROM benchmark),
+ok AS (SELECT item_id, text, flt FROM bq WHERE error IS NULL), """
+    + _BM25_X.replace("FROM benchmark)", "FROM ok)")
+    + """, kq AS (SELECT item_id AS query_id, flt, list_transform(embedding, lambda x: x::DOUBLE) AS qv FROM ok JOIN embeddings ON vec_id = item_id),
+kn AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(qv, list_transform(embedding, lambda x: x::DOUBLE)), 9) AS similarity FROM kq, embeddings JOIN documents ON doc_id = vec_id WHERE flt IS NULL OR source = flt),
+knr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM kn) WHERE rank <= 50), """
+    + _RRF
+    + ", "
+    + _BOOST_X.replace("FROM benchmark)", "FROM ok)")
+)
+
+
+def _planned(spark, sf):
+    chunks, embeddings, _, query_vectors = _hybrid_inputs(spark, sf)
+    chunks = chunks.join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(_PLANNED).alias("text"), F.expr(_FILTER).alias("filter_source"))
+    return R.plan(chunks, embeddings, asked, query_vectors, threshold=_THRESHOLD)
+
+
+@query("i24_plan", f"WITH {_PLAN_SQL} SELECT query_id, id, score, {_RANK} FROM rt")
+def planned(spark, sf):
+    """Validation, source filter, expansion, fusion and boost: what is found."""
+    return _planned(spark, sf)[0].select("query_id", "id", "score", "rank")
+
+
+@query("i24_plan_status", f"WITH {_PLAN_SQL}, b AS (SELECT query_id, max(score) AS best FROM rt GROUP BY query_id) SELECT item_id AS query_id, error, coalesce(best, 0)::DOUBLE AS best_score, error IS NOT NULL OR coalesce(best, 0) < {_THRESHOLD} AS low_confidence FROM bq LEFT JOIN b ON query_id = item_id")
+def plan_status(spark, sf):
+    """Refused queries, unknown sources, and confident or doubtful answers."""
+    return _planned(spark, sf)[1]
+
+
 def _positions(spark, sf):
     return _knn(spark, sf, 30).select("query_id", F.col("rank").alias("pos"), "id", F.round("similarity", 6).alias("score"))
 
@@ -215,6 +279,37 @@ def rerank_default(spark, sf):
     return providers.rerank(R.hybrid(*_hybrid_inputs(spark, sf))).select("query_id", "id", "rerank_score")
 
 
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({c}), '\s+'), lambda x: x <> ''))"
+
+
+@query("i15_rerank_scored", f"WITH {_BM25}, {_KNN}, {_RRF} SELECT query_id, id, round(len(list_intersect({_WORDS.format(c='b.text')}, {_WORDS.format(c=chr(39) + 'keywords: ' + chr(39) + ' || coalesce(lang, ' + chr(39) * 2 + ') || chr(10) || d.text')})) / len({_WORDS.format(c='b.text')})::DOUBLE, 6) AS rerank_score FROM hy JOIN documents d ON d.doc_id = id JOIN benchmark b ON b.item_id = query_id")
+def rerank_scored(spark, sf):
+    """A scorer of shared words over the text a cross-encoder would see."""
+    rows = R.hybrid(*_hybrid_inputs(spark, sf)).select("query_id", "id")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), providers.rerank_text(F.lit(None).cast("string"), F.array(F.coalesce("lang", F.lit(""))), F.col("text")).alias("text"))
+    asked = rows.join(docs, "id").join(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    words = lambda t: set(t.lower().split())
+    share = lambda qs, ts: [len(words(q) & words(t)) / len(words(q)) for q, t in zip(qs, ts, strict=True)]
+    return providers.rerank(asked, share).select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+_unsteady = providers.failing_on("tionsh", providers.hashing_embedder(16))
+
+
+@query("i1_embed_memo", "SELECT doc_id, CASE WHEN contains(coalesce(text, ''), 'tionsh') OR trim(coalesce(text, ''), E' \\n\\t\\r') = '' THEN 0 ELSE 1 END::DOUBLE AS norm FROM documents")
+def embed_memo(spark, sf):
+    """Texts are embedded once each; zero vectors where the provider fails."""
+    rows = providers.embed_distinct(table(spark, sf, "documents").select("doc_id", "text"), "text", _unsteady, 16, retries=2)
+    return rows.select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 5).alias("norm"))
+
+
+@query("i2_embed_queries", "SELECT item_id, NOT contains(text, 'tionsh') AS embedded FROM benchmark")
+def embed_queries(spark, sf):
+    """Null, not a failed job, where the provider gives no answer."""
+    rows = providers.embed_one_by_one(table(spark, sf, "benchmark"), "text", _unsteady, retries=2)
+    return rows.select("item_id", F.col("embedding").isNotNull().alias("embedded"))
+
+
 @query("i22_get_by_id", "SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)")
 def get_by_id(spark, sf):
     ids = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"))
