@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docengine.llm import decontaminate, jaccard_join, language_rank, packing, pii_crf
-from docengine.llm.common import materialise, table
+from docengine.llm.common import discard, materialise, table
 
 #: The language model and the packing search are not expressible in SQL; a brute-force version tests run().
 ORACLE_SQL = None
@@ -46,7 +46,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

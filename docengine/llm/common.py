@@ -44,7 +44,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Remove what ``materialise`` wrote, once no plan reads it any more."""
+    for df in written:
+        if df is not None:
+            delete_path(df.sparkSession, df._scratch_path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -11,17 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
-def _star(edges: DataFrame, both: DataFrame, upward: bool) -> DataFrame:
+def _minima(both: DataFrame) -> DataFrame:
+    return materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+
+
+def _star(rows: DataFrame, least: DataFrame, upward: bool) -> DataFrame:
     """Points the larger (upward) or the smaller-or-equal neighbours of each node at its least neighbour."""
-    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-    rows = both.join(least, "a")
+    joined = rows.join(least, "a")
     if upward:
-        out = rows.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = rows.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        out = joined.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.filter("a != b").distinct()
 
 
@@ -31,8 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        now = _star(now, both, upward=True)
-        now = materialise(_star(now, now, upward=False), "edges")
+        least = _minima(both)
+        large = _star(both, least, upward=True)
+        smaller = _minima(large)
+        new = materialise(_star(large, smaller, upward=False), "edges")
+        discard(now, least, smaller)
+        now = new
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

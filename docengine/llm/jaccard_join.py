@@ -13,7 +13,7 @@ documents link when their sets' Jaccard similarity is at least 80 %.  Steps, eac
    one map task are joined there and sent once.
 4. Search: inside a block every set is a query against the block's inverted lists: the short lists are
    merged by a heap, the long ones probed by binary search (DivideSkip), and documents reaching the
-   required overlap are linked.  A block over BLOCK_SHINGLES is cut into slices: each is searched alone,
+   required overlap are linked.  A block over SLICE_SHINGLES is cut into slices: each is searched alone,
    then one document of each component found, and last the documents outside the block's largest
    component against all slices.  A group of near copies is thus read three times, whatever its size.
 
@@ -37,18 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, lut, materialise, mix64, ragged, span_hashes, spread, text_slices, tidy, word_spans
+from .common import LOWER, discard, lut, materialise, mix64, ragged, span_hashes, spread, text_slices, tidy, word_spans
 from .components import components
 
 WORDS = 5
 #: The similarity threshold as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Shingles a task sends on at once, and shingles of a block's slice.
-FLUSH_SHINGLES, BLOCK_SHINGLES = 1 << 20, 2 << 20
+#: Shingles a task sends on at once, those of a slice searched alone, and those of a slice searched against others.
+FLUSH_SHINGLES, SLICE_SHINGLES, BLOCK_SHINGLES = 1 << 20, 2 << 20, 2 << 20
 #: Shingles in this many documents are ordered by frequency; so many of the most frequent are kept for it.
 FREQUENT, FREQUENT_KEPT = 256, 1 << 17
-#: Id tables up to this many rows are broadcast (16 bytes each); larger ones are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Id tables up to this many rows are broadcast (some 20 to 80 bytes each); larger ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: DivideSkip's weight of a probe, and lists merged by the heap up to this total length (longer ones as sorted runs).
 PROBE_WEIGHT, HEAP_LENGTH = 0.0085, 512
 
@@ -560,7 +560,7 @@ def _block_links(texts: DataFrame, blocks: DataFrame) -> DataFrame:
     block's largest component, each against all (third): any two documents of different components of
     which one is outside the largest one meet in a group.
     """
-    filled = F.expr(f"cast(ceil(sum(n) / {BLOCK_SHINGLES}) as int) as slices")
+    filled = F.expr(f"cast(ceil(sum(n) / {SLICE_SHINGLES}) as int) as slices")
     alone = F.expr(f"array(named_struct('lo', {_OWN}, 'hi', {_OWN})) as at")
     members = materialise(blocks.join(blocks.groupBy("block").agg(filled), "block"), "members")
     first = _search_groups(texts, members.select("doc_id", "block", F.col("doc_id").alias("label"), alone))
@@ -576,8 +576,8 @@ def _block_links(texts: DataFrame, blocks: DataFrame) -> DataFrame:
 
     now = materialise(_labelled(large, edges), "labels")
     sizes = now.groupBy("block", "label").agg(F.sum("n").alias("n"))
-    most = sizes.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.expr(f"cast(ceil((sum(n) - max(n)) / {BLOCK_SHINGLES}) as int)").alias("outer"))
-    left = materialise(now.join(most.filter("outer > 0"), "block"), "left")
+    most = sizes.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), *(F.expr(f"cast(ceil({x} / {BLOCK_SHINGLES}) as int)").alias(name) for name, x in (("outer", "(sum(n) - max(n))"), ("slices", "sum(n)"))))
+    left = materialise(now.drop("slices").join(most.filter("outer > 0"), "block"), "left")
     if not left.limit(1).count():
         return edges
     own_outer = "cast(pmod(xxhash64(doc_id, 1), outer) as int)"
@@ -612,6 +612,7 @@ def links(texts: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataF
     alive = sizes.filter(f"n > 0 and {DENOMINATOR} * shared >= {NUMERATOR} * n").select("doc_id")
 
     hot = counted.filter("token is not null").orderBy(F.desc("df"), "token").limit(FREQUENT_KEPT).select("token", "df").collect()
+    discard(counted)
     hot = np.array(sorted((r[0], r[1]) for r in hot), np.int64).reshape(-1, 2)
     frequent = spark.sparkContext.broadcast((hot[:, 0].copy(), hot[:, 1].copy()))
     dealt = _with_ids(texts, alive).select("doc_id", "text").mapInArrow(tidy(_deal_postings(frequent, shards, shards)), "shard int, postings binary")

@@ -405,6 +405,7 @@ def test_jaccard_against_brute_force(spark, seed):
 
 def test_jaccard_slices_and_hot_group(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 800)
+    monkeypatch.setattr(jaccard_join, "SLICE_SHINGLES", 500)
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
     r = random.Random(9)
     base = [f"t{i}" for i in range(60)]
@@ -446,7 +447,7 @@ def plain_classes_of_rows(rows):
     return sorted((d, len(s), find(d)) for d, s in sets)
 
 
-@pytest.mark.parametrize("seed", [0, 3, 4])
+@pytest.mark.parametrize("seed", [0, 3])
 def test_jaccard_repeated_ids(spark, seed):
     rows = [(1, "a b c"), (2, "a b c"), (2, "x y z w v u"), (3, "x y z w v u"), (4, "X y z w v  u"), (5, ""), (5, "q r"), (6, None), (6, "Q  R"), (7, " ")]
     if seed:
@@ -456,9 +457,10 @@ def test_jaccard_repeated_ids(spark, seed):
     assert got == plain_classes_of_rows(rows)
 
 
-@pytest.mark.parametrize("seed", [5, 6])
+@pytest.mark.parametrize("seed", [5])
 def test_jaccard_blocks_in_slices(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 150)
+    monkeypatch.setattr(jaccard_join, "SLICE_SHINGLES", 100)
     monkeypatch.setattr(jaccard_join, "FLUSH_SHINGLES", 2000)
     # One block of all: chained over boilerplate, with several components.
     monkeypatch.setattr(jaccard_join, "_near", lambda p, u, others: np.ones(len(others), bool))
@@ -527,8 +529,8 @@ def library():
 
 def test_encoder_equals_the_library():
     r = random.Random(4)
-    bits = ["a", "B", "É", "É", "İ", "Σ", "ΑΣ", "ß", "3", "3.", "it's", "'S", "x,y", "...", ",,", ".a", "a.", "a.,", "<|endoftext|>", "<|EndOfText|>", "\t", "\x1c", "\x85", "\xa0", "　", "#$", "한글", "日本.", "á.", "1,000.", "\U0001f600", "‍", " ", "\n", "\r\n", "THE!!"]
-    rows = ["".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randint(0, 30))) for _ in range(1500)] + [None, "", "y" * 5000]
+    bits = ["a", "B", "É", "É", "İ", "Σ", "ΑΣ", "ß", "3", "3.", "it's", "'S", "x,y", "...", ",,", ".a", "a.", "a.,", "<|endoftext|>", "<|EndOfText|>", "\t", "\x1c", "\x85", "\xa0", "　", "#$", "한글", "日本.", "á.", "1,000.", "\U0001f600", "‍", " ", "\n", "\r\n", "THE!!", "***", "%%%.", "é", "×", "÷", "...,!", "'", "~^", "e\u0301", "ç", "x|", "<|"]
+    rows = ["".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randint(0, 30))) for _ in range(4000)] + [None, "", "y" * 5000]
     batch = pa.RecordBatch.from_pydict({"text": pa.array(rows, pa.string())})
     lib = library()
     for i, ids in tokens.encoded(batch, tokens.vocabulary_path()):
