@@ -23,7 +23,8 @@ class Bm25Index:
 def build(docs: DataFrame, id_col: str, token_list: Column) -> Bm25Index:
     """All documents count for n and avgdl, also those without tokens."""
     rows = docs.select(F.col(id_col).alias("id"), token_list.alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = rows.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    # explode() would have the optimizer test the list's size first, and so tokenise every text twice.
+    postings = rows.select("id", "dl", F.explode_outer("tokens").alias("term")).filter("term is not null").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     return Bm25Index(postings, stats)
 
