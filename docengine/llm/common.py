@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,7 +33,8 @@ def file_system(uri: str):
     """(file system, path) of a shared folder, for files that are not tables; works on executors."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    # Hadoop's ways of writing: file:/folder, s3a://bucket.
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/*", "file:///", uri)))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

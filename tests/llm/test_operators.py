@@ -943,3 +943,8 @@ def test_pipeline_stages(spark, awkward, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, awkward.filter("false"), str(tmp_path)).count() == 0
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+@pytest.mark.parametrize("uri", ["file:/tmp/x", "file:///tmp/x", "/tmp/x"])
+def test_shared_folder_names(uri):
+    assert common.file_system(uri)[1] == "/tmp/x"
