@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_rank, license_dice, media_ts, packing, pii_crf, quality_knn, token_store, warc
+from . import conversation_repair, decontaminate, embedding_dedup, jaccard_join, language_rank, license_dice, media_ts, packing, pii_crf, quality_knn, spelling, token_store, warc
 from .common import held_out_expr, materialise, scratch, table
 
 
@@ -59,9 +59,29 @@ def op10_transport_stream(spark, sf_dir):
     return media_ts.features(stored)
 
 
+def op11_embedding_int8(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_normalise": warc.ORACLE, "op4_ngram_jaccard": jaccard_join.ORACLE, "op8_license_dice": license_dice.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
+    return {
+        "op2_warc_normalise": warc.ORACLE,
+        "op4_ngram_jaccard": jaccard_join.ORACLE,
+        "op8_license_dice": license_dice.ORACLE,
+        "op9_decontaminate": decontaminate.ORACLE,
+        "op11_embedding_int8": embedding_dedup.ORACLE,
+        "op12_conversation_repair": conversation_repair.ORACLE,
+        "op13_spelling_variants": spelling.ORACLE,
+    }
