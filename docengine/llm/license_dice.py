@@ -9,8 +9,9 @@ Notices inside a longer line or wrapped over lines, and the texts in BODIES, are
 of the whole text's words that begin and end with a bigram of the template and have at most (2 - LEAST) / LEAST
 times its bigrams.  A window at LEAST shares at least LEAST / (2 - LEAST) of the template's bigrams, so a text
 without that many, or without any of the words that these must touch, is not searched; nothing else is left
-out.  A passage counts once, from its first matching start on, and a line (or text) that matches a template as
-a unit is no passage of it again.
+out.  From a start on, the ends are tried one by one with running counts of distinct bigrams, over whole numbers;
+starts inside a passage found are not tried.  A passage counts once, from its first matching start on (its end is
+the first of the best), and a line (or text) that matches a template as a unit is no passage of it again.
 
 Defined results: null and empty texts match nothing; a unit of one word has no bigrams and matches nothing; equal best
 scores go to the first licence in alphabetical order; repeated rows give repeated rows; an empty table
@@ -19,12 +20,15 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.8
+_BUCKETS = 64
 
 #: Short licence notices as they appear in texts, by identifier.
 TEMPLATES = {
@@ -121,30 +125,43 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def bucketed(grams: list[str]) -> list[list[str]]:
+    """Bigrams by a hash, so that a text's are looked up among few."""
+    out: list[list[str]] = [[] for _ in range(_BUCKETS)]
+    for g in grams:
+        out[zlib.crc32(g.encode()) % _BUCKETS].append(g)
+    return out
+
+
 def _passages(least: float) -> str:
     """Array of (dice, name), one per passage, of a text with normal words ``w``, ``lines`` (words of each line)."""
+    quoted = lambda xs: f"array({', '.join(map(repr, xs))})" if xs else "cast(array() as array<string>)"
     rows, every = [], set()
     for unit, texts in ((True, TEMPLATES), (False, BODIES)):
         for k, t in texts.items():
             grams = bigrams(t)
-            need, span = -int(-len(grams) * least / (2 - least) // 1), int(len(grams) * (2 - least) / least)
+            need, span = math.ceil(len(grams) * least / (2 - least) - 1e-9), int(len(grams) * (2 - least) / least + 1e-9)
             touch = _touching(t, need)
             every.update(touch)
-            quoted = lambda xs: f"array({', '.join(map(repr, xs))})"
-            rows.append(f"struct('{k}' as name, {quoted(grams)} as grams, {quoted(touch)} as touch, {need} as need, {span} as span, {str(unit).lower()} as unit)")
-    gram = "concat(x[i - 1], ' ', x[i])"
+            rows.append(f"struct('{k}' as name, {quoted(grams)} as grams, array({', '.join(map(quoted, bucketed(grams)))}) as buckets, {quoted(touch)} as touch, {need} as need, {span} as span, {str(unit).lower()} as unit)")
     dice = lambda g: f"2.0D * size(array_intersect({g}, t.grams)) / (size(array_distinct({g})) + size(t.grams))"
     of = lambda x: f"transform(sequence(1, size({x}) - 1), i -> concat({x}[i - 1], ' ', {x}[i]))"
     alike = lambda x: f"(t.unit and size({x}) > 1 and {_let(of(x), 'lg', dice('lg'))} >= {least})"
-    # Windows from the a-th bigram of the template on: the best, and where it ends.
-    ends = "filter(sequence(a + t.need - 2, size(p) - 1), e -> p[e] - p[a - 1] < t.span)"
-    window = _let("slice(x, p[a - 1], p[e] - p[a - 1] + 2)", "v", _let(of("v"), "vg", dice("vg")))
-    starts = f"""transform(filter(sequence(1, size(p) - t.need + 1), a -> p[a + t.need - 2] - p[a - 1] < t.span),
-        a -> struct(p[a - 1] as first, array_min(transform({ends}, e -> struct(-({window}) as d, p[e] as last))) as best))"""
-    greedy = f"""aggregate(filter({starts}, s -> -s.best.d >= {least}), struct(0 as last, cast(array() as array<struct<dice: double, name: string>>) as found),
-        (z, s) -> if(s.first > z.last, struct(s.best.last as last, concat(z.found, array(struct(-s.best.d as dice, t.name as name))) as found), z), z -> z.found)"""
+    # Of each place of g: whether its bigram is the template's, and where that bigram stood before.
+    hit = f"transform(g, y -> array_contains(t.buckets[cast(crc32(cast(y as binary)) % {_BUCKETS} as int)], y))"
+    ranked = "array_sort(transform(g, (y, k) -> struct(y as y, k as k)))"
+    before = "transform(array_sort(transform(o, (r, k) -> struct(r.k as k, if(get(o, k - 1).y = r.y, get(o, k - 1).k, -1) as before))), r -> coalesce(r.before, -1))"
+    # Ends are tried one by one: what is new since the start is counted, nothing is cut out or compared again.
+    new = "if(b[k] < p[a], 1, 0)"
+    score = f"if(h[k], 2.0D * (z.hits + {new}) / (z.grams + {new} + size(t.grams)), 0D)"
+    window = f"""aggregate(sequence(p[a], least(p[a] + t.span, size(g)) - 1), struct(0 as grams, 0 as hits, 0D as dice, -1 as last),
+        (z, k) -> struct(z.grams + {new} as grams, z.hits + if(h[k], {new}, 0) as hits, greatest(z.dice, {score}) as dice, if({score} > z.dice, k, z.last) as last))"""
     none = "cast(array() as array<struct<dice: double, name: string>>)"
-    placed = _let(f"filter(sequence(1, size(x) - 1), i -> array_contains(t.grams, {gram}))", "p", f"if(size(p) < t.need, {none}, {greedy})")
+    taken = _let(window, "m", f"if(m.dice >= {least}, struct(m.last as last, concat(z.found, array(struct(m.dice as dice, t.name as name))) as found), z)")
+    greedy = f"""aggregate(filter(sequence(0, size(p) - t.need), a -> p[a + t.need - 1] - p[a] < t.span), struct(-1 as last, {none} as found),
+        (z, a) -> if(p[a] > z.last, {taken}, z), z -> z.found)"""
+    searched = _let(_let(ranked, "o", before), "b", greedy)
+    placed = _let(of("x"), "g", _let(hit, "h", _let("filter(sequence(0, size(g) - 1), k -> h[k])", "p", f"if(size(p) < t.need, {none}, {searched})")))
     # A line found as a unit becomes a gap that no window spans.
     rest = f"flatten(transform(lines, l -> if({alike('l')}, array_repeat('|', t.span + 2), l)))"
     one = f"if({alike('w')}, {none}, {_let(rest, 'x', f'if(size(x) > 1, {placed}, {none})')})"
@@ -194,15 +211,38 @@ def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 def _oracle() -> str:
     low, high = _bounds(LEAST)
-    values = ", ".join(f"('{k}', [{', '.join(repr(b) for b in bigrams(t))}])" for k, t in TEMPLATES.items())
+    quoted = lambda t: f"[{', '.join(repr(b) for b in bigrams(t))}]"
+    every = ", ".join(f"('{k}', {quoted(t)}, {unit})" for unit, texts in (("true", TEMPLATES), ("false", BODIES)) for k, t in texts.items())
+    normal = lambda x: rf"string_split(trim(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    grams = lambda w: f"list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])"
+    dice = lambda g: f"2.0::DOUBLE * len(list_intersect({g}, grams)) / (len(list_distinct({g})) + len(grams))"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 u AS (SELECT r, unnest(CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END) AS u FROM d),
-w AS (SELECT r, string_split(trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u),
-g AS (SELECT r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > {low}),
-t(name, grams) AS (VALUES {values}),
-m AS (SELECT r, name, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM g, t WHERE len(g) BETWEEN {low} AND {high}),
-k AS (SELECT * FROM m WHERE dice >= {LEAST})
+w AS (SELECT r, {normal('u')} AS w FROM u),
+g AS (SELECT r, list_distinct({grams('w')}) AS g FROM w WHERE len(w) > {low}),
+t AS (SELECT *, ceil(len(grams) * {LEAST} / {2 - LEAST} - 1e-9) AS need, floor(len(grams) * {2 - LEAST} / {LEAST} + 1e-9)::INT AS span FROM (VALUES {every}) AS v(name, grams, unit)),
+m AS (SELECT r, name, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM g, t WHERE unit AND len(g) BETWEEN {low} AND {high}),
+whole AS (SELECT r, g FROM (SELECT r, {grams('w')} AS g FROM (SELECT r, {normal('text')} AS w FROM d))),
+near AS (SELECT r, t.* FROM whole, t WHERE len(list_intersect(g, grams)) >= need AND NOT (unit AND {dice('g')} >= {LEAST})),
+lines AS (SELECT r, i, w, {grams('w')} AS g FROM (SELECT r, i, {normal('u')} AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)) WHERE w[1] <> ''),
+x AS (
+  SELECT r, name, unit, grams, span, flatten(list(CASE WHEN unit AND len(w) > 1 AND {dice('g')} >= {LEAST} THEN list_transform(range(span + 2), lambda k: '|') ELSE w END ORDER BY i)) AS x
+  FROM near JOIN lines USING (r) GROUP BY ALL
+),
+placed AS (SELECT r, name, unit, grams, span, {grams('x')} AS g FROM x),
+hits AS (SELECT * FROM (SELECT r, name, unit, grams, g, span, unnest(range(1, len(g) + 1)) AS k FROM placed) WHERE list_contains(grams, g[k])),
+windows AS (
+  SELECT a.r, a.name, a.unit, a.k AS first, b.k AS last, {dice('a.g[a.k:b.k]').replace('grams', 'a.grams')} AS dice
+  FROM hits a JOIN hits b ON a.r = b.r AND a.name = b.name AND a.unit = b.unit AND b.k >= a.k AND b.k - a.k < a.span
+),
+best AS (SELECT r, name, unit, first, first(last ORDER BY dice DESC, last) AS last, max(dice) AS dice FROM windows GROUP BY ALL HAVING max(dice) >= {LEAST}),
+taken AS (
+  SELECT r, name, unit, list_reduce(list({{'first': first, 'last': last, 'found': [dice]}} ORDER BY first),
+    lambda z, s: CASE WHEN s.first > z.last THEN {{'first': s.first, 'last': s.last, 'found': list_concat(z.found, s.found)}} ELSE z END, {{'first': 0::BIGINT, 'last': 0::BIGINT, 'found': []::DOUBLE[]}}).found AS found
+  FROM best GROUP BY ALL
+),
+k AS (SELECT * FROM m WHERE dice >= {LEAST} UNION ALL SELECT r, name, unnest(found) FROM taken)
 SELECT doc_id, count(name)::BIGINT AS n_matches, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS licenses,
        first(name ORDER BY dice DESC, name) AS best_license, round(max(dice), 6) AS best_dice
 FROM d LEFT JOIN k USING (r) GROUP BY r, doc_id

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ import corpus_pipeline
 from docengine.llm import common, decontaminate, jaccard_join, language_rank, license_dice, media_ts, packing, pii_crf, quality_knn, queries, token_store, tokens, warc
 from docengine.llm.components import components
 
-from ..oracle import same
+from ..oracle import TABLES, same
 from . import pii_lines
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
@@ -790,6 +791,43 @@ def test_license_passages(spark):
     assert [got[i]["best_dice"] for i in range(6)] == [1.0] * 6 and got[6]["best_dice"] is None
 
 
+def licence_texts(seed, n):
+    """Notices and bodies, whole, inline, wrapped, damaged and repeated, between other words."""
+    r = random.Random(seed)
+    pieces, out = [*license_dice.TEMPLATES.values(), *license_dice.BODIES.values()], []
+    for _ in range(n):
+        parts = []
+        for _ in range(r.randint(1, 5)):
+            w = r.choice(pieces).split()
+            for _ in range(r.choice([0, 0, 1, len(w) // 8, len(w) // 4])):
+                i = r.randrange(len(w))
+                w[i : i + r.randint(0, 1)] = r.choice([[], ["other"], [w[i], w[i]]])
+            parts.append(" ".join(x + r.choice([" ", "\n"] if r.random() < 0.1 else [""]) for x in w))
+            parts.append(" ".join(r.choice(["the", "software", "river", "license", "of"]) for _ in range(r.choice([0, 2, 30]))))
+        out.append(r.choice([" ", "\n", ". "]).join(parts))
+    return out
+
+
+def test_license_passages_against_sql(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(licence_texts(3, 24))), "doc_id long, text string")
+    for name in TABLES:
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = license_dice.scan(df).cache()
+    same(found, license_dice.ORACLE, str(tmp_path))
+    assert found.filter("n_matches > 2").count() > 8 and found.filter("best_dice < 1").count() > 3
+
+
+def test_license_many_notices(spark):
+    """64 notices in one text: the passages are counted in time linear in the text."""
+    text = ("\nint main() {}\n" + license_dice.BODIES["mit"]) * 64
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    license_dice.scan(df.limit(0)).collect()
+    began = time.monotonic()
+    got = license_dice.scan(df).first()
+    assert (got["n_matches"], got["licenses"], got["best_dice"]) == (64, "mit", 1.0)
+    assert time.monotonic() - began < 20
+
+
 def test_license_edges(spark, awkward, empty):
     got = {r["doc_id"]: r for r in license_dice.scan(awkward).collect()}
     assert got[7]["licenses"] == "mit" and got[7]["best_dice"] == 1.0
