@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import text as X
-from docengine.operators import fusion, lexical, vectors
+from docengine.operators import block_index, fusion, lexical, vectors
 
 
 def expanded_tokens(text: Column) -> Column:
@@ -16,18 +16,19 @@ def expanded_tokens(text: Column) -> Column:
     return F.concat(X.tokens(text), X.tokens(text), once)
 
 
-def hybrid(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, query_vectors: DataFrame, fetch: int = 50, k: int = 30, expand: bool = False, index: lexical.Bm25Index | None = None, only: str | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, query_vectors: DataFrame, fetch: int = 50, k: int = 30, expand: bool = False, index: lexical.Bm25Index | block_index.BlockIndex | None = None, only: str | None = None) -> DataFrame:
     """query_id, id, rrf_score, rank of the fused branches.
 
     ``expand``: a query's tokens count twice and once more with its expansions.
 
     chunks (id, text), embeddings (id, embedding), queries (query_id, text), query_vectors (query_id, embedding).
-    ``index``: a saved one, else it is counted from the texts, of the queries' terms only.  ``only``: a column
+    ``index``: a saved one, with or without blocks, else it is counted from the texts, of the queries' terms only.  ``only``: a column
     of embeddings and query_vectors that the vector branch has to agree in.
     """
     index = index or lexical.build(chunks, "id", X.tokens(F.col("text")))
     terms = lexical.query_terms(queries, "query_id", expanded_tokens(F.col("text")) if expand else X.tokens(F.col("text")))
-    words = fusion.top(lexical.search(index, terms).withColumn("score", F.round("score", 6)), fetch)
+    scored = block_index.search(index, terms, fetch) if isinstance(index, block_index.BlockIndex) else lexical.search(index, terms)
+    words = fusion.top(scored.withColumn("score", F.round("score", 6)), fetch)
     near = vectors.nearest(embeddings, query_vectors, fetch, only=only)
     fused = fusion.rrf(words, near).withColumn("rrf_score", F.round("rrf_score", 9))
     return fusion.top(fused, k, "rrf_score")

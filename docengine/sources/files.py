@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -27,6 +28,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Of a table's files: their names, lengths and times."""
+    fs, p = _hadoop(spark, path)
+    files, seen = fs.listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:32]
+
+
+def saved(spark: SparkSession, source: str, name: str, build) -> str:
+    """The path of what ``build(path)`` writes from the table ``source``: built once for the same files, in the shared folder.
+
+    It is built under a name of its own and renamed when whole, so a build that fails or loses a race leaves nothing
+    that would be read.
+    """
+    fresh = scratch(spark, name)
+    path = f"{fresh.rsplit('/', 1)[0]}/docengine-{name}-{fingerprint(spark, source)}"
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        build(fresh)
+        if fs.exists(p) or not fs.rename(_hadoop(spark, fresh)[1], p):
+            fs.delete(_hadoop(spark, fresh)[1], True)
+    return path
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, tolerant: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """One object a line, blank lines skipped; ``tolerant`` drops corrupt lines, else they fail."""
     reader = spark.read.schema(schema).option("encoding", encoding).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST")
