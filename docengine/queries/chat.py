@@ -3,8 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docengine.registry import query, table
+from docengine.registry import ORACLES, query, table
 from docengine.streaming import sessions as S
+from docengine.streaming import stateful
 
 _LAST = "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)"
 
@@ -99,3 +100,29 @@ def history(spark, sf):
 def session_stats(spark, sf):
     n = F.count_distinct("conv_id")
     return table(spark, sf, "conversations").agg(n.alias("sessions"), F.count("*").alias("messages"), F.round(F.count("*") / n, 4).alias("mean"))
+
+
+def _messages(spark, sf):
+    return table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("number"))
+
+
+@query("z1_stateful", ORACLES["z1_sessions"])
+def stateful_sessions(spark, sf):
+    """The sessions of a stream kept as state, over restarts."""
+    rows = stateful.replay(_messages(spark, sf), idle_hours=None)
+    return rows.select(F.col("key").alias("user_id"), F.col("created").cast("timestamp_ntz").alias("created"), F.col("last_activity").cast("timestamp_ntz").alias("last_activity"), "messages")
+
+
+@query("z3_stateful", ORACLES["z3_expired"])
+def stateful_expired(spark, sf):
+    """Sessions whose timer the watermark has passed and that no later message has opened again."""
+    return stateful.replay(_messages(spark, sf), feeds=2).filter("expired").select(F.col("key").alias("user_id"))
+
+
+@query("z2_stateful", ORACLES["z2_last_messages"])
+def stateful_last(spark, sf):
+    """The last messages of each conversation, held by the cap of its state."""
+    talks = table(spark, sf, "conversations")
+    rows = talks.select(F.col("conv_id").alias("key"), F.timestamp_seconds(F.col("turn") * 60 + 86400).alias("ts"), F.col("turn").alias("number"))
+    kept = stateful.replay(rows, feeds=2, cap=3, idle_hours=None).select(F.col("key").alias("conv_id"), F.explode("kept").alias("turn"))
+    return kept.join(talks.select("conv_id", "turn", "role"), ["conv_id", "turn"]).select("conv_id", "turn", "role")
