@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import text as X
+from docengine.sources.files import written
 
 SEPARATORS = ("\n\n###", "\n\n##", "\n\n", ". ")
 RECURSIVE_SEPARATORS = ("\n\n", "\n    ", "\n  ", "\n", ". ", ", ", "; ", " ", "")
@@ -117,6 +118,11 @@ def merge_short(sections: DataFrame, least: int = 300) -> DataFrame:
                  'out', concat(coalesce(acc.out, array()), array(named_struct('seq', x.seq, 'first', x.seq)))))).out"""
     )
     heads = rows.filter("size(rows) > 1").select("url", F.explode(folded).alias("m")).select("url", "m.seq", "m.first")
+    return _joined(sections, heads)
+
+
+def _joined(sections: DataFrame, heads: DataFrame) -> DataFrame:
+    """Sections with their first one's seq (url, seq, first; itself where there is none) as merged sections."""
     placed = sections.join(heads, ["url", "seq"], "left").withColumn("_first", F.coalesce("first", "seq"))
     merged = placed.groupBy("url", "_first").agg(F.array_sort(F.collect_list(F.struct("seq", "title", "content"))).alias("rows"))
     part = lambda x: F.concat(F.when(x["title"] != F.col("rows")[0]["title"], F.concat(F.lit("\n\n## "), x["title"])).otherwise(F.lit("")), F.lit("\n\n"), x["content"])
@@ -124,6 +130,103 @@ def merge_short(sections: DataFrame, least: int = 300) -> DataFrame:
     return merged.select(F.col("_first").alias("seq"), "url", F.col("rows")[0]["title"].alias("title"), F.concat(F.col("rows")[0]["content"], F.array_join(rest, "")).alias("content"))
 
 
+def _following(seqs: list[int], titles: list, lengths: list[int], own: int, least: int) -> list[int]:
+    """Of each of the first ``own`` rows: the place of the row that a merged section starting there does not take."""
+    out = []
+    for i in range(own):
+        n, at = lengths[i], i + 1
+        while n < least and at < len(seqs) and seqs[at] == seqs[at - 1] + 1:
+            other = titles[at] is not None and titles[i] is not None and titles[at] != titles[i]
+            n += (5 + len(titles[at]) if other else 0) + 2 + lengths[at]
+            at += 1
+        out.append(at)
+    return out
+
+
+def _groups(batches, key_columns: int):
+    """(key, columns of its rows) of batches in order of their keys; a key's rows are bounded by the caller."""
+    now, held = None, None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:key_columns] != now:
+                if now is not None:
+                    yield now, held
+                now, held = row[:key_columns], [[] for _ in row[key_columns:]]
+            for column, value in zip(held, row[key_columns:], strict=True):
+                column.append(value)
+    if now is not None:
+        yield now, held
+
+
+def merge_short_split(sections: DataFrame, least: int = 300, block: int = 4096) -> DataFrame:
+    """``merge_short`` as a segmented scan: one url of any length is worked on in blocks of ``block`` sections.
+
+    Where a merged section ends follows from the at most ``least`` / 2 + 1 sections behind its first one, as each
+    adds two characters.  A block sees so many rows of the next one and is summed up as a function: for each row at
+    which it may be entered, the row at which the next block is.  These functions are composed along a url, a row a
+    block; then each block is walked from its own entry.  Sections without a url are not merged.
+    """
+    halo, n = least // 2 + 2, max(1, int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if block < halo:
+        raise ValueError(f"a block of {block} is shorter than a merged section may be, {halo}")
+    narrow = sections.filter("url is not null").select("url", "seq", "title", F.length("content").alias("n")).withColumn("block", F.expr(f"seq div {block}"))
+    over = narrow.filter(F.expr(f"seq % {block} < {halo}")).withColumn("block", F.col("block") - 1)
+    rows = narrow.unionByName(over).repartition(n, "url", "block").sortWithinPartitions("url", "block", "seq").select("url", "block", "seq", "title", F.coalesce("n", F.lit(0)).alias("n"))
+
+    def follow(batches):
+        """A row a block: its rows' seqs and followers, and for each entry (the first row too) its exit and the last start before that."""
+        for (url, at), (seqs, titles, lengths) in _groups(batches, 2):
+            own = sum(s // block == at for s in seqs)
+            if not own:
+                continue
+            after = _following(seqs, titles, lengths, own, least)
+            exits, lasts = [0] * own, [0] * own
+            for i in range(own - 1, -1, -1):
+                exits[i], lasts[i] = (after[i], i) if after[i] >= own else (exits[after[i]], lasts[after[i]])
+            seq_at = lambda i, seqs=seqs: seqs[i] if i < len(seqs) else seqs[-1] + 1
+            entries = [i for i in range(own) if seqs[i] % block < halo]
+            yield pa.RecordBatch.from_pydict(
+                {"url": [url], "block": [at], "seqs": [seqs[:own]], "after": [[seq_at(i) for i in after]], "entries": [[seqs[i] for i in [0, *entries]]], "exits": [[seq_at(exits[i]) for i in [0, *entries]]], "lasts": [[seqs[lasts[i]] for i in [0, *entries]]]},
+                schema=_BLOCK,
+            )
+
+    blocks = written(rows.mapInArrow(follow, "url string, block long, seqs array<long>, after array<long>, entries array<long>, exits array<long>, lasts array<long>"), "merge-blocks")
+
+    def compose(batches):
+        """url, block, entry: the first row of each block at which a merged section starts; owner: the start of what is before it."""
+        before = leave = last = None
+        for batch in batches:
+            out = []
+            for url, at, first, entries, exits, lasts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                known = {e: (x, y) for e, x, y in zip(entries, exits, lasts, strict=True)}
+                goes_on = before == (url, at - 1) and leave in known
+                entry, owner = (leave, last) if goes_on else (first, None)
+                out.append((url, at, entry, owner))
+                before, (leave, last) = (url, at), known[entry]
+            yield pa.RecordBatch.from_pydict({n: [o[i] for o in out] for i, n in enumerate(_ENTRY.names)}, schema=_ENTRY)
+
+    heads = blocks.select("url", "block", F.col("seqs")[0].alias("first"), "entries", "exits", "lasts").repartition(n, "url").sortWithinPartitions("url", "block")
+    entered = blocks.select("url", "block", "seqs", "after").join(heads.mapInArrow(compose, "url string, block long, entry long, owner long"), ["url", "block"])
+
+    def walk(batches):
+        for batch in batches:
+            for url, seqs, after, entry, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                next_of, start, firsts = dict(zip(seqs, after, strict=True)), entry, []
+                for s in seqs:
+                    if s >= start:
+                        first, start = s, next_of[s]
+                    firsts.append(first)
+                yield pa.RecordBatch.from_pydict({"url": [url] * len(seqs), "seq": seqs, "first": firsts}, schema=_HEAD)
+
+    found = entered.select("url", "seqs", "after", "entry", "owner").mapInArrow(walk, "url string, seq long, first long")
+    return _joined(sections, found)
+
+
+_BLOCK = pa.schema([("url", pa.string()), ("block", pa.int64()), ("seqs", pa.list_(pa.int64())), ("after", pa.list_(pa.int64())), ("entries", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64())), ("lasts", pa.list_(pa.int64()))])
+_ENTRY = pa.schema([("url", pa.string()), ("block", pa.int64()), ("entry", pa.int64()), ("owner", pa.int64())])
+_HEAD = pa.schema([("url", pa.string()), ("seq", pa.int64()), ("first", pa.int64())])
+
+
 def build_chunks(sections: DataFrame, least: int = 300, most: int = 800, overlap: int = 150) -> DataFrame:
     """Merged, split and enriched chunks keyed by (seq, chunk_index)."""
     merged = merge_short(sections, least).filter(X.strip(F.col("content")) != "")

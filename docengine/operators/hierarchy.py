@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.sources.files import written
+from docengine.sources.files import remove, written
 
 
 def nodes(pages: DataFrame) -> DataFrame:
@@ -39,6 +39,30 @@ def depths(pages: DataFrame) -> DataFrame:
     return seen
 
 
+def depths_by_jumps(pages: DataFrame) -> DataFrame:
+    """``depths`` in a number of steps that grows with the logarithm of the depth (H3, H1).
+
+    A page points at its least parent row that leads to a root; in each step it points as far again.  A page of one
+    parent has one way up, so steps double its hops.  Pages of several parents are taken at their least depth: all
+    their ways are kept, each with its hops.  A way that is still open after as many steps as double to the number of
+    pages runs in a cycle, and is dropped.
+    """
+    parents = pages.select("url", F.when(F.col("parent_url") != F.col("url"), F.nullif("parent_url", F.lit(""))).alias("parent_url")).distinct()
+    known = parents.select(F.col("url").alias("parent_url"), F.lit(True).alias("_known")).distinct()
+    ways = parents.join(known, "parent_url", "left").select("url", F.when(F.col("_known"), F.col("parent_url")).alias("to"), F.lit(1).cast("long").alias("hops"))
+    ways = written(ways, "ways")
+    most = parents.select("url").distinct().count()
+    steps = 0
+    while most >> steps and ways.filter("to is not null").limit(1).count():
+        ahead = ways.select(F.col("url").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
+        far = ways.filter("to is not null").join(ahead, "to").select("url", F.col("next").alias("to"), (F.col("hops") + F.col("more")).alias("hops"))
+        # Of the ways of one page to one place only the shortest can matter.
+        new = written(ways.filter("to is null").unionByName(far).groupBy("url", "to").agg(F.min("hops").alias("hops")), "ways")
+        remove(ways)
+        ways, steps = new, steps + 1
+    return ways.filter("to is null").groupBy("url").agg(F.min("hops").cast("int").alias("depth"))
+
+
 def crawl(links: DataFrame, start: str, most: int = 1000) -> DataFrame:
     """url, hops reached from ``start`` over links (url, target), nearest first, at most ``most`` pages."""
     spark = links.sparkSession

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +93,47 @@ def embed_one_by_one(df: DataFrame, text: str, provider: Embedder, retries: int
     return df.withColumn(out, run(F.col(text)))
 
 
+def embed_at_rate(df: DataFrame, text: str, provider: Embedder, gap: float, lanes: int = 4, retries: int = 3, wait: float = 0.0, out: str = "embedding") -> DataFrame:
+    """Adds a vector (null where all attempts fail) and ``called_at``: the calls of all tasks together are ``gap`` seconds apart.
+
+    Time is cut into slots of ``gap``; of every ``lanes`` slots each task has the one of its number, and makes one call, or
+    one attempt again, in a slot of its own.  A task that starts later, or is run again, takes the next of its slots; one
+    that wakes too late for a slot leaves it out.  Machines' clocks have to agree to within half a slot.
+    """
+    began = time.time()
+    declared = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{out} array<float>", "called_at double"])
+    at = df.columns.index(text)
+
+    def run(batches):
+        lane, last = TaskContext.get().partitionId() % lanes, -1
+
+        def slot():
+            nonlocal last
+            while True:
+                last = max(last + 1, math.ceil(((time.time() - began) / gap - lane) / lanes))
+                due = began + (last * lanes + lane) * gap
+                time.sleep(max(0.0, due - time.time()))
+                if time.time() < due + gap / 2:
+                    return time.time()
+
+        for batch in batches:
+            found, stamps = [], []
+            for value in batch.column(at).to_pylist():
+                answer = None
+                for attempt in range(retries):
+                    stamps_at = slot()
+                    answer = _tried(provider, [value or ""], 1, 0.0)
+                    if answer is not None:
+                        break
+                    time.sleep(wait * 2**attempt)
+                found.append(None if answer is None else answer[0])
+                stamps.append(stamps_at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float32())), pa.array(stamps, pa.float64())], names=[*batch.schema.names, out, "called_at"])
+
+    # As many tasks as lanes: the rows are dealt evenly, and no two tasks share a lane.
+    return df.repartition(lanes).mapInArrow(run, declared)
+
+
 def embed_distinct(df: DataFrame, text: str, provider: Embedder, width: int, out: str = "embedding", **options) -> DataFrame:
     """Each distinct text is embedded once (I1's memo); a zero vector where the provider fails."""
     once = embed_one_by_one(df.select(F.col(text).alias("_text")).distinct(), "_text", provider, missing=[0.0] * width, out=out, **options)

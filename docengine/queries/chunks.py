@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docengine.operators import chunking as C
-from docengine.registry import query, table
+from docengine.registry import ORACLES, query, table
 
 
 def _sections(spark, sf):
@@ -72,3 +72,9 @@ def paragraphs(spark, sf):
 @query("w2_chunk_numbers", "SELECT doc_id, source, (row_number() OVER (ORDER BY source, doc_id) - 1)::BIGINT AS id FROM documents")
 def numbers(spark, sf):
     return C.with_sequence(table(spark, sf, "documents").select("doc_id", "source"), ["source", "doc_id"])
+
+
+@query("c1_merge_split", ORACLES["c1_merge_short"])
+def merge_short_split(spark, sf):
+    """The same, block by block: no url is one task's."""
+    return C.merge_short_split(_sections(spark, sf), block=256)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docengine.operators import hierarchy as H
-from docengine.registry import query, table
+from docengine.registry import ORACLES, query, table
 from docengine.sources import html as X
 
 _H = "coalesce(html, '')"
@@ -230,3 +230,17 @@ def depths(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
     up = F.when(F.col("doc_id") > 0, F.concat(F.lit("p"), F.floor((F.col("doc_id") - 1) / 2).cast("string")))
     return H.depths(d.select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("url"), up.alias("parent_url")))
+
+
+@query("h3_depth_jumps", ORACLES["h3_depths"])
+def depth_jumps(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    up = F.when(F.col("doc_id") > 0, F.concat(F.lit("p"), F.floor((F.col("doc_id") - 1) / 2).cast("string")))
+    return H.depths_by_jumps(d.select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("url"), up.alias("parent_url")))
+
+
+@query("h3_chain_depths", "SELECT 'p' || doc_id::VARCHAR AS url, (doc_id - min(doc_id) OVER (PARTITION BY doc_id - n) + 1)::INT AS depth FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents)")
+def chain_depths(spark, sf):
+    """Every document under the one before it: as deep as there are documents, in steps of a logarithm."""
+    d = table(spark, sf, "documents").select("doc_id")
+    return H.depths_by_jumps(d.select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("p"), (F.col("doc_id") - 1).cast("string")).alias("parent_url")))

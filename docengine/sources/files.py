@@ -25,7 +25,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote, once no plan reads it any more."""
+    for df in tables:
+        fs, p = _hadoop(df.sparkSession, df._scratch_path)
+        fs.delete(p, True)
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -168,10 +177,40 @@ def detect_encoding(head: bytes) -> str:
     return {(False, True, True, True): "UTF-32LE", (True, True, True, False): "UTF-32BE", (False, True, False, True): "UTF-16LE", (True, False, True, False): "UTF-16BE"}.get(zeros, "UTF-8")
 
 
+_MARKS = (b"\xff\xfe", b"\xfe\xff", b"\xef\xbb\xbf")
+
+
+def _decoded(spark: SparkSession, paths: list[str], schema: str, encoding: str) -> DataFrame:
+    """JSON lines of files that Spark's reader does not take, in UTF-32 or with a byte order mark: a file is one task's."""
+
+    def lines(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows = [x for x in content.decode(encoding).lstrip("\ufeff").split("\n") if x.strip()]
+                yield pa.RecordBatch.from_pydict({"line": rows}, schema=pa.schema([("line", pa.string())]))
+
+    raw = spark.read.format("binaryFile").load(paths).select("content").mapInArrow(lines, "line string")
+    return raw.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def read_detected(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines in the encoding that the first bytes of a file show (S7). All files of a path have one encoding."""
-    first = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.expr("substring(content, 1, 4)").alias("head")).first()
-    return read_jsonl(spark, path, schema, encoding=detect_encoding(bytes(first["head"])) if first else "UTF-8")
+    """JSON lines, each file in the encoding that its own first bytes show.
+
+    Tasks look at the files; a row a file reaches the driver, as does any listing.  The files of one encoding are then one
+    read, which splits them, but for files in UTF-32 or with a byte order mark, which are decoded whole.
+    """
+    heads = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0").select("path", F.expr("substring(content, 1, 4)").alias("head"))
+    by: dict[tuple[str, bool], list[str]] = {}
+    for r in heads.toLocalIterator():
+        head = bytes(r["head"])
+        encoding = detect_encoding(head)
+        by.setdefault((encoding, encoding.startswith("UTF-32") or head.startswith(_MARKS)), []).append(r["path"])
+    out = None
+    for encoding, whole in sorted(by):
+        paths = by[encoding, whole]
+        part = _decoded(spark, paths, schema, encoding) if whole else read_jsonl(spark, paths, schema, encoding=encoding)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def write_texts(df: DataFrame, path: str, folder: str, text: str = "text") -> None:
