@@ -174,7 +174,7 @@ def merge_short_split(sections: DataFrame, least: int = 300, block: int = 4096)
     rows = narrow.unionByName(over).repartition(n, "url", "block").sortWithinPartitions("url", "block", "seq").select("url", "block", "seq", "title", F.coalesce("n", F.lit(0)).alias("n"))
 
     def follow(batches):
-        """A row a block: its rows' seqs and followers, and for each entry (the first row too) its exit and the last start before that."""
+        """A row a block: its rows' seqs and followers, and for each entry (the rows a section of the block before may leave it at) its exit and the last start before that."""
         for (url, at), (seqs, titles, lengths) in _groups(batches, 2):
             own = sum(s // block == at for s in seqs)
             if not own:
@@ -184,9 +184,10 @@ def merge_short_split(sections: DataFrame, least: int = 300, block: int = 4096)
             for i in range(own - 1, -1, -1):
                 exits[i], lasts[i] = (after[i], i) if after[i] >= own else (exits[after[i]], lasts[after[i]])
             seq_at = lambda i, seqs=seqs: seqs[i] if i < len(seqs) else seqs[-1] + 1
-            entries = [i for i in range(own) if seqs[i] % block < halo]
+            near = sum(s % block < halo for s in seqs[:own])
+            entries = range(min(near + 1, own))
             yield pa.RecordBatch.from_pydict(
-                {"url": [url], "block": [at], "seqs": [seqs[:own]], "after": [[seq_at(i) for i in after]], "entries": [[seqs[i] for i in [0, *entries]]], "exits": [[seq_at(exits[i]) for i in [0, *entries]]], "lasts": [[seqs[lasts[i]] for i in [0, *entries]]]},
+                {"url": [url], "block": [at], "seqs": [seqs[:own]], "after": [[seq_at(i) for i in after]], "entries": [[seqs[i] for i in entries]], "exits": [[seq_at(exits[i]) for i in entries]], "lasts": [[seqs[lasts[i]] for i in entries]]},
                 schema=_BLOCK,
             )
 
@@ -197,15 +198,17 @@ def merge_short_split(sections: DataFrame, least: int = 300, block: int = 4096)
         before = leave = last = None
         for batch in batches:
             out = []
-            for url, at, first, entries, exits, lasts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                known = {e: (x, y) for e, x, y in zip(entries, exits, lasts, strict=True)}
-                goes_on = before == (url, at - 1) and leave in known
-                entry, owner = (leave, last) if goes_on else (first, None)
-                out.append((url, at, entry, owner))
-                before, (leave, last) = (url, at), known[entry]
+            for url, at, entries, exits, lasts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if url != before:
+                    before, leave, last = url, entries[0], None
+                # The first row that the section before has not taken; it may take a whole block of few rows.
+                i = next((i for i, e in enumerate(entries) if e >= leave), None)
+                out.append((url, at, None if i is None else entries[i], last))
+                if i is not None:
+                    leave, last = exits[i], lasts[i]
             yield pa.RecordBatch.from_pydict({n: [o[i] for o in out] for i, n in enumerate(_ENTRY.names)}, schema=_ENTRY)
 
-    heads = blocks.select("url", "block", F.col("seqs")[0].alias("first"), "entries", "exits", "lasts").repartition(n, "url").sortWithinPartitions("url", "block")
+    heads = blocks.select("url", "block", "entries", "exits", "lasts").repartition(n, "url").sortWithinPartitions("url", "block")
     entered = blocks.select("url", "block", "seqs", "after").join(heads.mapInArrow(compose, "url string, block long, entry long, owner long"), ["url", "block"])
 
     def walk(batches):
@@ -213,7 +216,7 @@ def merge_short_split(sections: DataFrame, least: int = 300, block: int = 4096)
             for url, seqs, after, entry, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 next_of, start, firsts = dict(zip(seqs, after, strict=True)), entry, []
                 for s in seqs:
-                    if s >= start:
+                    if start is not None and s >= start:
                         first, start = s, next_of[s]
                     firsts.append(first)
                 yield pa.RecordBatch.from_pydict({"url": [url] * len(seqs), "seq": seqs, "first": firsts}, schema=_HEAD)
