@@ -15,7 +15,9 @@ are ignored by ``find`` and kept by ``mask``.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 
@@ -394,7 +396,11 @@ def all_spans(text: str, base: list[tuple[str, int, int]], found: list[tuple[str
     raw = np.frombuffer(text.encode(), np.uint8)
     chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     more = [(kind, int(chars[a]), int(chars[b])) for kind, a, b in found]
-    more = [m for m in more if not any(m[1] < b[2] and b[1] < m[2] for b in base)]
+    ordered = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in ordered], list(itertools.accumulate((b for _, b in ordered), max))
+    # Of the base spans that start before the end of one, the farthest reaching tells whether any overlaps it.
+    free = lambda a, b: not (k := bisect.bisect_left(starts, b)) or reach[k - 1] <= a
+    more = [m for m in more if free(m[1], m[2])]
     return sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

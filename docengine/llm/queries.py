@@ -9,7 +9,8 @@ from .common import held_out_expr, materialise, scratch, table
 
 
 def op1_pii_crf(spark, sf_dir):
-    return pii_crf.find(table(spark, sf_dir, "documents"))
+    field = pii_crf.learn(pii_crf.labelled_table(spark))
+    return pii_crf.find(table(spark, sf_dir, "documents"), field)
 
 
 def op2_warc_normalise(spark, sf_dir):

@@ -90,6 +90,21 @@ def test_pii_base_spans():
     assert pii_crf.base_spans("a" * 300_000 + " " + "1" * 300_000) == []
 
 
+def test_pii_spans_merge():
+    r = random.Random(6)
+    kinds = ["email", "ip", "card", "phone"]
+    for _ in range(300):
+        span = lambda: (r.choice(kinds), a := r.randrange(60), a + r.randint(1, 9))
+        base, found = sorted(span() for _ in range(r.randint(0, 6))), [span() for _ in range(r.randint(0, 6))]
+        base.sort(key=lambda s: (pii_crf.KINDS.index(s[0]), s[1]))
+        want = sorted(base + [m for m in found if not any(m[1] < b[2] and b[1] < m[2] for b in base)], key=lambda s: (pii_crf.KINDS.index(s[0]), s[1]))
+        assert pii_crf.all_spans("x" * 70, base, found) == want
+    many = [("phone", 40 * i, 40 * i + 12) for i in range(40_000)]
+    began = time.monotonic()
+    assert len(pii_crf.all_spans("x" * 1_700_000, many, [("name", a + 15, a + 25) for _, a, _ in many])) == 80_000
+    assert time.monotonic() - began < 5
+
+
 def test_pii_query(spark, sf):
     want = texts(spark, sf)
     rows = queries.op1_pii_crf(spark, sf).collect()
