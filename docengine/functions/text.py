@@ -246,5 +246,10 @@ def prompt(config: Column, context: Column | None = None) -> Column:
     return body if context is None else F.concat(F.lit("Context:\n"), context, F.lit("\n\n"), body)
 
 
+def normal_title(*fields: Column) -> Column:
+    """The first field that holds more than white space, trimmed and in lower case (F32)."""
+    return F.lower(F.coalesce(*(F.nullif(strip(f), F.lit("")) for f in fields)))
+
+
 def normal_url(c: Column) -> Column:
     return F.split_part(c, F.lit("#"), F.lit(1))

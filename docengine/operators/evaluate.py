@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import dictionaries as D
@@ -97,6 +97,25 @@ def model_score(quality: Column, seconds: Column, success: Column) -> Column:
     return 0.5 * quality + 0.3 * (100 - F.least(seconds, F.lit(60.0))) + 0.2 * success
 
 
+def ranking(models: DataFrame) -> DataFrame:
+    """Adds by_quality, by_speed and compromise (the most quality for one and its seconds) to a row a model.
+
+    A row a model is few; equal ones share a rank.
+    """
+    worth = F.round(F.col("quality") / (1 + F.col("seconds")), 6)
+    out = models.withColumn("by_quality", F.rank().over(Window.orderBy(F.desc("quality")))).withColumn("by_speed", F.rank().over(Window.orderBy("seconds")))
+    best = models.agg(F.max(worth).alias("_best"))
+    return out.crossJoin(F.broadcast(best)).withColumn("compromise", worth == F.col("_best")).drop("_best")
+
+
+def chunk_faults(chunks: DataFrame, parents: DataFrame, required: list[str]) -> DataFrame:
+    """id, missing (required keys that are null or empty), orphan: chunks that break an invariant."""
+    lacking = F.array_compact(F.array(*(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(c)) for c in required)))
+    known = parents.select("parent_id", F.lit(True).alias("_known")).distinct()
+    rows = chunks.withColumn("missing", F.array_join(lacking, ",")).join(known, "parent_id", "left")
+    return rows.select("id", "missing", F.col("_known").isNull().alias("orphan")).filter("missing != '' or orphan")
+
+
 def wilcoxon_p(differences: list[float]) -> float:
     """Two-sided signed-rank p by the normal approximation, ties averaged."""
     d = sorted((abs(x), x > 0) for x in differences if x)
