@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docengine.operators import evaluate as E
 from docengine.operators import keywords, providers, statistics
+from docengine.plans import agent
 from docengine.queries.aggregates import _KW, _L, _Q, _answers, _quality
 from docengine.queries.search import _unsteady
 from docengine.registry import ORACLES, query, table
@@ -71,3 +72,29 @@ def embed_at_rate(spark, sf):
     """Queries embedded by several tasks at one rate for all of them."""
     rows = providers.embed_at_rate(table(spark, sf, "benchmark"), "text", _unsteady, gap=0.01, retries=2)
     return rows.select("item_id", F.col("embedding").isNotNull().alias("embedded"))
+
+
+_ROUTE = "CASE WHEN calls >= 2 THEN 'answer' WHEN role = 'tool' THEN 'agent' WHEN role = 'assistant' AND contains(s.text, 'tool:') THEN 'tools' WHEN role = 'assistant' THEN 'end' ELSE 'agent' END"
+
+
+@query(
+    "z20_agent_loop",
+    f"""WITH RECURSIVE s AS (SELECT conv_id, 0 AS step, role, text, 0 AS calls, false AS done FROM conversations WHERE turn = 0
+UNION ALL SELECT conv_id, step + 1, CASE go WHEN 'tools' THEN 'tool' ELSE 'assistant' END,
+ CASE go WHEN 'tools' THEN 'found ' || coalesce(len, 0) WHEN 'answer' THEN 'final ' || length(text) ELSE CASE WHEN length(text) % 2 = 0 THEN 'tool: ' || (length(text) % 97) WHEN length(text) % 3 = 0 THEN 'tool: none' ELSE 'reply ' || length(text) END END,
+ calls + CASE go WHEN 'tools' THEN 1 ELSE 0 END, go = 'answer'
+ FROM (SELECT s.*, {_ROUTE} AS go, length(d.text) AS len FROM s LEFT JOIN documents d ON s.text = 'tool: ' || d.doc_id WHERE NOT done) WHERE go <> 'end')
+SELECT conv_id, step, role, text FROM s WHERE step > 0""",
+)
+def agent_loop(spark, sf):
+    """Every conversation's first message answered by a loop of agent, look-ups of documents and a budget of two."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("tool: "), "doc_id").alias("text"), F.length("text").cast("string").alias("n"))
+
+    def reply(texts):
+        return [f"tool: {len(t) % 97}" if len(t) % 2 == 0 else "tool: none" if len(t) % 3 == 0 else f"reply {len(t)}" for t in texts]
+
+    def look_up(calls):
+        return calls.join(docs, "text", "left").select("conv_id", F.concat(F.lit("found "), F.coalesce("n", F.lit("0"))).alias("result"))
+
+    first = table(spark, sf, "conversations").filter("turn = 0")
+    return agent.run(first, reply, look_up, lambda texts: [f"final {len(t)}" for t in texts])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import docengine.registry as registry
 from docengine.operators import chunking, hierarchy, keywords, providers, statistics
 from docengine.operators.evaluate import wilcoxon_p
+from docengine.plans import agent
 from docengine.sources import files, keyed
 from docengine.streaming import stateful
 
@@ -135,3 +136,25 @@ def test_cap_of_a_session(spark):
 
 def test_new_queries_are_registered():
     assert {"z1_stateful", "c1_merge_split", "h3_depth_jumps", "a16_signed_rank", "j5_keyword_table", "k6_upsert_parts", "s7_mixed_encodings"} <= set(registry.ORACLES)
+
+
+def test_agent_without_work_and_with_nulls(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    keep = lambda texts: [f"tool: {t}" for t in texts]
+    tool = lambda calls: calls.select("conv_id", F.lit(None).cast("string").alias("result"))
+    done = spark.createDataFrame([(1, 0, "assistant", "bye"), (None, 0, "user", "x")], schema)
+    assert agent.run(done, keep, tool, keep).count() == 0
+    asks = spark.createDataFrame([(1, 0, "user", None), (2, 3, None, "q"), (2, 1, "assistant", "x")], schema)
+    got = sorted((r.conv_id, r.step, r.role) for r in agent.run(asks, keep, tool, lambda t: ["end"] * len(t), budget=2).collect())
+    assert got == [(c, i + 1, role) for c in (1, 2) for i, role in enumerate(["assistant", "tool", "assistant", "tool", "assistant"])]
+
+
+def test_streamed_answers_are_cut_off(spark):
+    def slow(prompt):
+        for i in range(4):
+            time.sleep(0.3 if prompt == "slow" else 0)
+            yield f"{i} "
+
+    rows = spark.createDataFrame([("slow",), ("quick",), (None,)], "prompt string").coalesce(1)
+    got = {r.prompt: (r.answer, r.timed_out) for r in agent.streamed(rows, slow, seconds=0.7).collect()}
+    assert got["quick"] == got[None] == ("0 1 2 3 ", False) and got["slow"][1] and got["slow"][0].startswith("0 ")
