@@ -13,6 +13,7 @@ from docengine.queries.search import _BM25, _BOOST, _KNN, _RRF, _hybrid_inputs
 from docengine.queries.text import _TAGS
 from docengine.registry import query, table
 from docengine.sources import files
+from docengine.sources import html as H
 
 _ASKED = "CASE doc_id % 7 WHEN 0 THEN '<b>' || text || '</b>' WHEN 1 THEN 'a <script x>1</script> b' WHEN 2 THEN 'go JavaScript:' || doc_id WHEN 3 THEN 'x {{ y }} ' || doc_id WHEN 4 THEN '  ' WHEN 5 THEN chr(1) ELSE 'plain ' || doc_id || chr(2) END"
 _CUT = "left(trim(asked, E' \\n\\t\\r'), 2000)"
@@ -199,8 +200,38 @@ def read_or_empty(spark, sf):
     return there.unionByName(missing)
 
 
-@query("i3_embed_batched", "SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN 1 ELSE 0 END::DOUBLE AS norm FROM documents")
+@query("i3_embed_batched", "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND regexp_matches(coalesce(text, ''), '\\S') THEN 1 ELSE 0 END::DOUBLE AS norm FROM documents")
 def embed_batched(spark, sf):
-    """Vectors in batches of 32."""
-    rows = providers.embed(table(spark, sf, "documents").select("doc_id", "text"), "text", providers.hashing_embedder(16))
+    """Vectors in batches of 32; an absent text has a zero vector."""
+    rows = providers.embed(table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("text")), "text", providers.hashing_embedder(16))
     return rows.select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 5).alias("norm"))
+
+
+_DEEP = "url || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/a/b.html#x.1' WHEN 2 THEN '/c/?q=1/2' ELSE '/d//e/' END"
+
+
+@query("x21_url_parts_varied", rf"SELECT page_id, regexp_replace(regexp_replace(u, '[?#].*$', ''), '/[^/]*/?$', '') AS parent_url, len(list_filter(string_split(regexp_replace(regexp_replace(u, '^[a-z]+://[^/]+', ''), '[?#].*$', ''), '/'), lambda x: x <> ''))::INT AS depth, CASE WHEN contains(u, '#') THEN split_part(u, '#', 2) END AS anchor FROM (SELECT page_id, {_DEEP} AS u FROM pages)")
+def url_parts_varied(spark, sf):
+    """Parents, depths and anchors of urls of several depths."""
+    u = F.expr(_DEEP)
+    return table(spark, sf, "pages").select("page_id", H.parent_url(u).alias("parent_url"), H.url_depth(u).alias("depth"), H.anchor_of(u).alias("anchor"))
+
+
+_HEADED = "html || '<h2 id=q>Two ' || page_id || '</h2><h4><b>Deep</b>  er</h4>' || CASE WHEN page_id % 2 = 0 THEN '<h6>six</h6>' ELSE '' END"
+_HEADS = "|".join(rf"<h{i}\b[^>]*>.*?</h{i}>" for i in range(1, 7))
+
+
+@query("x17_outline_varied", rf"WITH h AS (SELECT page_id, regexp_extract_all({_HEADED}, '(?is){_HEADS}') AS t FROM pages) SELECT page_id, (i - 1)::INT AS pos, substr(t[i], 3, 1)::INT AS level, trim(regexp_replace(regexp_replace(t[i], '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS title FROM (SELECT page_id, t, unnest(range(1, len(t) + 1)) AS i FROM h)")
+def outline_varied(spark, sf):
+    """Headings of four levels."""
+    return H.outline(table(spark, sf, "pages").select("page_id", F.expr(_HEADED).alias("html")))
+
+
+_BODY = """'<body><h2 id="a' || page_id || '">One</h2><p>' || repeat('word ', CAST(page_id % 90 + 1 AS INT)) || '</p></body>'"""
+
+
+@query("x13_page_documents", "SELECT page_id, 'a' || page_id AS anchor, length(content) AS n, length(content) < 200 AS short FROM (SELECT page_id, 'One' || chr(10) || trim(repeat('word ', CAST(page_id % 90 + 1 AS INT))) AS content FROM pages) WHERE length(content) >= 50")
+def page_documents(spark, sf):
+    """Documents of anchors: those under 50 characters go, those under 200 are short."""
+    rows = H.anchor_rows(table(spark, sf, "pages").select("page_id", F.expr(_BODY).alias("html")), 50)
+    return rows.select("page_id", "anchor", F.length("content").cast("long").alias("n"), (F.length("content") < 200).alias("short"))
