@@ -3,10 +3,11 @@
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z folded.  Every window of
 WINDOW consecutive item words (or the whole item, if it has fewer) is a pattern; the automaton scans a
 document's normalised words once, and matches are mapped back to word numbers and to offsets of the
-original text.  Windows are collected and counted by Spark and fetched in blocks of at most BLOCK_CHARS
-characters, of which the driver and a worker hold one at a time: a benchmark of one block (any in use today)
-is one scan without a shuffle, and each further block is one more pass over rows written out, which adds its
-hits to those found.
+original text.  The automaton's letters are word numbers, so that a window of 13 words has 13 states and not one
+a character.  Windows are collected and counted by Spark and fetched in blocks of at most BLOCK_WORDS words, of
+which the driver and a worker hold one at a time: a benchmark of one block (some 160,000 windows) is one scan
+without a shuffle, and each further block is one more pass over rows written out, which adds its hits to those
+found.
 
 Defined results: null texts have no words; items without words have no window; equal items each count, and
 each row of a repeated item_id too, in the number and in the list; null item_ids are left out of the list;
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, lut, materialise, tidy
 
 WINDOW = 13
-#: Characters of patterns, and eight for each item of one, in one automaton (about 100 bytes of memory each at most).
-BLOCK_CHARS = 1 << 20
+#: Words of patterns, and one for each item of one, in one automaton (45 bytes of memory each, measured, and some 7 of text).
+BLOCK_WORDS = 1 << 21
 #: contaminated: hit words times this are at least the words.
 SHARE = 20
 
@@ -52,16 +53,28 @@ _CACHE: dict[str, tuple] = {}
 Item = tuple[int, str | None]
 
 
-def automaton(patterns: list[tuple[str, tuple[Item, ...]]]):
-    """patterns: (text, items). Values are (number of words, pattern number)."""
-    import ahocorasick
+class Machine:
+    """An Aho-Corasick automaton whose letters are the numbers of the patterns' words."""
 
-    machine = ahocorasick.Automaton()
-    for k, (text, _) in enumerate(patterns):
-        machine.add_word(f" {text} ", (text.count(" ") + 1, k))
-    if patterns:
-        machine.make_automaton()
-    return machine, [items for _, items in patterns]
+    def __init__(self, patterns: list[str]):
+        import ahocorasick
+
+        self.states = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.numbers: dict[bytes, int] = {}
+        for k, text in enumerate(patterns):
+            key = tuple([self.numbers.setdefault(w, len(self.numbers) + 1) for w in text.encode().split()])
+            self.states.add_word(key, (len(key), k))
+        if patterns:
+            self.states.make_automaton()
+
+    def find(self, found: list[bytes]):
+        """(last word, (number of words, pattern number)) of each match; 0, a word of no pattern, leads back to the root."""
+        return self.states.iter(tuple([self.numbers.get(w, 0) for w in found]))
+
+
+def automaton(patterns: list[tuple[str, tuple[Item, ...]]]) -> tuple[Machine, list[tuple[Item, ...]]]:
+    """The automaton of patterns (text, items), and the items of each."""
+    return Machine([text for text, _ in patterns]), [items for _, items in patterns]
 
 
 def _cached(shared, key: str):
@@ -72,21 +85,15 @@ def _cached(shared, key: str):
     return _CACHE[key]
 
 
-def scan(text: str | None, machine, items_of) -> tuple[int, list[tuple[int, int]], set[Item]]:
+def scan(text: str | None, machine: Machine, items_of) -> tuple[int, list[tuple[int, int]], set[Item]]:
     """(words, merged hit ranges of word numbers, items found) of one text."""
     found = words(text)
     if not found or not items_of:
         return len(found), [], set()
-    line = f" {b' '.join(found).decode()} "
-    hits = [(end, value) for end, value in machine.iter(line)]
-    if not hits:
-        return len(found), [], set()
-    gaps = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
     ranges, items = [], set()
-    last_of = np.searchsorted(gaps, [end for end, _ in hits])
-    for last, (_, (n, k)) in zip(last_of.tolist(), hits, strict=True):
+    for last, (n, k) in machine.find(found):
         items.update(items_of[k])
-        ranges.append((last - n, last))
+        ranges.append((last + 1 - n, last + 1))
     return len(found), merged(ranges), items
 
 
@@ -124,11 +131,11 @@ def patterns(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return materialise(each.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("items")), "patterns")
 
 
-def blocks(rows: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[str, tuple[Item, ...]]]]:
+def blocks(rows: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tuple[str, tuple[Item, ...]]]]:
     """Patterns in blocks of bounded size; a partition of the table and a block are held at a time."""
     block, held = [], 0
     for row in rows.toLocalIterator():
-        size = len(row["pattern"]) + 8 * len(row["items"])
+        size = row["pattern"].count(" ") + 1 + len(row["items"])
         if block and held + size > limit:
             yield block
             block, held = [], 0
@@ -165,7 +172,7 @@ def _scan_block(shared, key: str):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_CHARS) -> tuple[DataFrame, list[str]]:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_WORDS) -> tuple[DataFrame, list[str]]:
     """Documents with three more columns, and their names: words, merged hit ranges, items.
 
     A block's automaton is gone before the next one is built: rows are written out between two scans.
@@ -196,7 +203,7 @@ def hit_words(ranges: str) -> str:
     return f"aggregate({ranges}, 0L, (a, r) -> a + r.hi - r.lo)"
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_CHARS) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
     hits, (n_words, ranges, items) = find(docs.select("doc_id", "text"), benchmark, window, limit)
     named = f"concat_ws(',', array_sort(filter(transform({items}, x -> x.id), x -> x is not null)))"
@@ -204,7 +211,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: i
     return rows.withColumn("contaminated", F.expr(f"n_hit > 0 and {SHARE} * n_hit >= n_words"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_CHARS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_WORDS) -> DataFrame:
     """The documents that are not contaminated, all columns kept."""
     hits, (n_words, ranges, _) = find(docs, benchmark, window, limit)
     hit = hit_words(ranges)
