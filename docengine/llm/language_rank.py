@@ -4,8 +4,8 @@ A profile is the PROFILE most frequent character n-grams (1 to 3 letters, words
 order of frequency.  A document's own most frequent n-grams are compared to each language's profile by
 out-of-place distance: how far each n-gram is from its place there, PROFILE if it is absent.
 
-Profiles are counted over all training rows: n-gram counts are summed per task, then per language, so
-what is shuffled and broadcast is bounded by the n-grams of the languages, not by the documents.
+Profiles are counted over all training rows: n-gram counts are summed per task in bounded memory, then per
+language, and each task of the sums keeps a language's first PROFILE before they are ranked in one place.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where no language was
 learned; rows with a null lang are not learned from; equal distances go to the language first in
@@ -26,6 +26,8 @@ PROFILE = 400
 SIZES = (1, 2, 3)
 #: Code points and documents of one vectorised step.
 SLICE_CHARS, SLICE_ROWS = 1 << 18, 2048
+#: N-grams that a task holds while it counts (16 bytes each, and as much again while they are merged).
+HELD_GRAMS = 1 << 22
 #: keep_known() rejects what scores less.
 LEAST_SCORE = 0.05
 
@@ -105,13 +107,19 @@ def _distinct(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sum_grams(batches):
-    """lang, code, n of all rows of a task."""
+    """lang, code, n of the rows of a task; a code may come again, as at most HELD_GRAMS are held at a time."""
     held: dict[str, list] = {}
 
     def merge(parts):
         codes, inverse = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
         return codes, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
+    def emptied():
+        for lang in sorted(held):
+            codes, n = merge(held[lang])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["lang", "code", "n"])
+        held.clear()
+
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -123,17 +131,22 @@ def _sum_grams(batches):
                 parts.append((code[own], n[own]))
                 if len(parts) > 16:
                     held[lang] = [merge(parts)]
-    for lang in sorted(held):
-        codes, n = merge(held[lang])
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["lang", "code", "n"])
+            if sum(len(codes) for parts in held.values() for codes, _ in parts) > HELD_GRAMS:
+                for lang in held:
+                    held[lang] = [merge(held[lang])]
+                # Still over half: the grams are distinct ones, which the shuffle has to sum up.
+                if 2 * sum(len(parts[0][0]) for parts in held.values()) > HELD_GRAMS:
+                    yield from emptied()
+    yield from emptied()
 
 
 def train(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     """lang, code, place (from 0): the profiles learned from rows with a lang (columns text, lang)."""
     sums = docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(tidy(_sum_grams), "lang string, code long, n long")
     totals = sums.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1
-    return totals.withColumn("place", place).filter(F.col("place") < size).select("lang", "code", "place")
+    # A filter on the row number itself lets each task keep its own first rows before the shuffle by language.
+    number = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    return totals.withColumn("number", number).filter(F.col("number") <= size).select("lang", "code", (F.col("number") - 1).alias("place"))
 
 
 class Profiles:

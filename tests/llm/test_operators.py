@@ -1,5 +1,6 @@
 """Each operator against brute force, exact round trips or held-out accuracy, and on awkward tables."""
 
+import collections
 import gzip
 import hashlib
 import json
@@ -774,6 +775,24 @@ def test_language_equals_brute_force(spark, tmp_path):
         assert got[d][0] == best and abs(got[d][1] - (1 - far[best] / (size * len(own)))) < 1e-9, d
 
 
+def test_language_counts_in_bounded_memory(spark, sf, monkeypatch):
+    rows = common.table(spark, sf, "documents").select("text", "lang").filter("lang is not null").limit(60).collect()
+    batches = [pa.RecordBatch.from_pylist([{"lang": r["lang"], "text": r["text"]} for r in rows[i : i + 10]]) for i in range(0, 60, 10)]
+
+    def counts():
+        out = collections.Counter()
+        parts = list(language_rank._sum_grams(iter(batches)))
+        for part in parts:
+            for x in part.to_pylist():
+                out[x["lang"], x["code"]] += x["n"]
+        return out, len(parts)
+
+    whole, few = counts()
+    monkeypatch.setattr(language_rank, "HELD_GRAMS", 500)
+    split, many = counts()
+    assert whole == split and many > few
+
+
 def test_language_edges(spark, awkward, empty):
     profiles = language_rank.learn(language_rank.training_rows(awkward))
     got = language_rank.predict(awkward, profiles).collect()
@@ -871,7 +890,7 @@ def plain_contamination(text, items, size=13):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 500])
+@pytest.mark.parametrize("limit", [1 << 20, 500, 60])
 def test_decontamination(spark, limit):
     r = random.Random(5)
     word = lambda: r.choice(["a", "B", "cé", "d1", "e"])
@@ -891,7 +910,7 @@ def test_decontamination_edges(spark, awkward, empty):
     assert len(got) == len(AWKWARD) and {d for d, c in got if c} == {5, 6}
     assert decontaminate.report(awkward, b.filter("false")).filter("contaminated").count() == 0
     assert decontaminate.report(empty, b).count() == 0
-    for limit in (1 << 20, 14):
+    for limit in (1 << 20, 14, 4):
         clean = decontaminate.clean(awkward, b.unionByName(spark.createDataFrame([(2, "zz zz")], b.schema)), limit=limit)
         assert clean.columns == awkward.columns and {r["doc_id"] for r in clean.collect()} == {1, 2, 3, 4, 7, 8, 9, None}
     machine, items = decontaminate.automaton([("one two", ((0, "7"),))])
