@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import warnings
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import text as X
 from docengine.operators import block_index, fusion, lexical, vectors
+from docengine.sources import files
 
 
 def expanded_tokens(text: Column) -> Column:
@@ -90,8 +94,13 @@ def plan(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, query_vec
 
 
 def search_or_vectors(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, id, score, rank: hybrid search, or the vector branch alone where the chunks cannot be searched by words."""
+    """query_id, id, score, rank: hybrid search, or the vector branch alone where that fails.
+
+    The search is run here and its rows, k a query, are written to the shared folder: a fault while it runs, an
+    unreadable text or a lost folder, falls back as one of planning does.  Rows are of one branch, never of both.
+    """
     try:
-        return hybrid(chunks, embeddings, queries, query_vectors, k=k).withColumnRenamed("rrf_score", "score")
-    except AnalysisException:
+        return files.written(hybrid(chunks, embeddings, queries, query_vectors, k=k).withColumnRenamed("rrf_score", "score"), "search")
+    except (PySparkException, Py4JJavaError) as e:
+        warnings.warn(f"vector search only: {str(e).splitlines()[0]}", stacklevel=2)
         return vectors.nearest(embeddings, query_vectors, k).withColumnRenamed("similarity", "score")

@@ -175,6 +175,14 @@ def fallback(spark, sf):
     return R.search_or_vectors(chunks.drop("text"), embeddings, questions, query_vectors).withColumn("score", F.round("score", 6))
 
 
+@query("i29_runtime_fallback", ORACLES["i29_fallback"])
+def runtime_fallback(spark, sf):
+    """Texts that plan well and fail once they are read: the vector branch answers alone."""
+    chunks, embeddings, questions, query_vectors = _hybrid_inputs(spark, sf)
+    broken = chunks.withColumn("text", F.when(F.length("text") >= 0, F.raise_error(F.lit("unreadable text"))).otherwise(F.col("text")))
+    return R.search_or_vectors(broken, embeddings, questions, query_vectors).withColumn("score", F.round("score", 6))
+
+
 @query("i29_hybrid_first", f"WITH {_BM25}, {_KNN}, {_RRF} SELECT query_id, id, rrf_score AS score, CAST(rank AS INTEGER) AS rank FROM hy WHERE rank <= 10")
 def hybrid_first(spark, sf):
     return R.search_or_vectors(*_hybrid_inputs(spark, sf))

@@ -25,5 +25,5 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _module in ("text", "search", "chunks", "aggregates", "lint", "chat", "pages", "more", "indexes", "deep", "varied"):
+for _module in ("text", "search", "chunks", "aggregates", "lint", "chat", "pages", "more", "indexes", "deep", "varied", "pdf"):
     importlib.import_module(f"docengine.queries.{_module}")
