@@ -285,3 +285,12 @@ def test_queries_are_listed_without_a_session():
     code = "import __spark_entry__ as e; from pyspark.sql import SparkSession as S; assert len(e.queries()) >= len(e.oracle_sql()) > 100; assert S.getActiveSession() is None"
     root = pathlib.Path(__file__).resolve().parents[1]
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("name", sorted(p.stem for p in pathlib.Path(__file__).parents[1].glob("docengine/queries/[a-z]*.py")))
+def test_query_module_first(name):
+    """Executors import the module of a shipped function before any other of the library."""
+    code = f"import docengine.queries.{name}; from docengine.registry import ORACLES, QUERIES; print(len(QUERIES), len(ORACLES))"
+    root = pathlib.Path(__file__).parents[1]
+    found = [subprocess.run([sys.executable, "-c", c], cwd=root, capture_output=True, text=True, check=True, timeout=120).stdout for c in (code, code.replace(f"queries.{name}", "registry"))]
+    assert found[0] == found[1]
