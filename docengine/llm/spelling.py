@@ -34,6 +34,8 @@ LEAST_LENGTH, LEAST_COUNT, RATIO, DAMAGE = 6, 5, 5, 199
 FILTER_BITS = 1 << 27
 #: Words longer than this have LONG_PROBES bits in the filter, others PROBES.
 LONG, PROBES, LONG_PROBES = 32, 2, 8
+#: Shuffle partitions whose words go to one file: counting leaves a twentieth of the rows that it shuffles.
+A_FILE = 16
 #: Hashes of one vectorised step, and bytes of candidates written at once.
 BLOCK, BYTES = 1 << 20, 1 << 23
 
@@ -215,14 +217,25 @@ def _roots(forms: DataFrame) -> DataFrame:
     return now.select("word", "root")
 
 
+def _few_files(words: DataFrame) -> DataFrame:
+    """A table of words dealt out to as many files as it fills, not one for each shuffle partition.
+
+    Hadoop starts `chmod` on an executor for each local file, which for an instant shows as a second JVM of its size.
+    """
+    spark = words.sparkSession
+    n = spread(spark, words)
+    return words.repartition(min(n, max(spark.sparkContext.defaultParallelism, n // A_FILE)))
+
+
 def variants(docs: DataFrame, ratio: int = RATIO) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word of the documents."""
     spark: SparkSession = docs.sparkSession
-    words = materialise(vocabulary(docs), "words")
+    words = materialise(_few_files(vocabulary(docs)), "words")
     dealt = words.repartition(spread(spark, words), "word")
     best = near_words(dealt).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     all_words = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("best.less") >= ratio * F.col("n"), F.col("best")).alias("best"))
-    held = materialise(all_words.select("word", "n", "n_near", F.col("best.near").alias("form"), (-F.col("best.less")).alias("form_n")), "variants")
+    held = all_words.select("word", "n", "n_near", F.col("best.near").alias("form"), (-F.col("best.less")).alias("form_n"))
+    held = materialise(_few_files(held), "variants")
     roots = _roots(held.filter("form is not null"))
     return held.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 

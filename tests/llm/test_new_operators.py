@@ -349,3 +349,25 @@ def test_awkward_words(spark):
     assert got == plain_variants(rows)
     assert got[long][0] == f"{long}x"
     assert spelling.variants(df.limit(0)).count() == 0
+
+
+def test_variants_write_few_files(spark, monkeypatch):
+    """Tables of words fill files of their own number, however many partitions counting shuffles."""
+    rows, written = spelled(4), {}
+
+    def counted(df, name, keep=spelling.materialise):
+        out = keep(df, name)
+        written[name] = max(len(out.inputFiles()), written.get(name, 0))
+        return out
+
+    monkeypatch.setattr(spelling, "materialise", counted)
+    settings = {"spark.sql.shuffle.partitions": "160", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert variants(spark.createDataFrame(rows, "doc_id long, text string")) == plain_variants(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(written) == {"words", "variants", "roots"} and max(written.values()) <= 10
