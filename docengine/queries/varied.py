@@ -171,7 +171,7 @@ def answers(spark, sf):
 def titles(spark, sf):
     """The set of normal titles, from the first field that has one (F32)."""
     own = F.expr("CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN ' ' || left(text, 5) || ' ' ELSE '' END")
-    return table(spark, sf, "documents").select(X.normal_title(own, F.col("lang"), F.col("source")).alias("title")).distinct()
+    return table(spark, sf, "documents").select(X.normal_title(X.trim_spaces(own), F.col("lang"), F.col("source")).alias("title")).distinct()
 
 
 @query("s5_tolerant_lines", "SELECT doc_id, lang FROM documents WHERE doc_id % 5 <> 0")
