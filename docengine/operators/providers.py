@@ -16,16 +16,23 @@ from pyspark.sql import functions as F
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
-def hashing_embedder(width: int = 64) -> Embedder:
-    """Feature hashing: a test provider that needs no model."""
+def hashing_embedder(width: int = 64, blank: str | None = None) -> Embedder:
+    """Feature hashing: a test provider that needs no model.  Only a text of white space has a zero vector.
+
+    ``blank``: what counts as white space there; a text of other white space alone is one word.
+    """
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:
             v = [0.0] * width
-            for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+            words = (t or "").lower().split() or [t][: bool((t or "").strip(blank))]
+            hashes = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") for w in words]
+            for h in hashes:
                 v[h % width] += 1.0 if h >> 63 else -1.0
+            if not any(v):  # words that cancel each other out count without their signs
+                for h in hashes:
+                    v[h % width] += 1.0
             norm = sum(x * x for x in v) ** 0.5
             out.append([x / norm for x in v] if norm else v)
         return out

@@ -301,7 +301,7 @@ def rerank_scored(spark, sf):
     return providers.rerank(asked, share).select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-_unsteady = providers.failing_on("tionsh", providers.hashing_embedder(16))
+_unsteady = providers.failing_on("tionsh", providers.hashing_embedder(16, " \n\t\r"))
 
 
 @query("i1_embed_memo", "SELECT doc_id, CASE WHEN contains(coalesce(text, ''), 'tionsh') OR trim(coalesce(text, ''), E' \\n\\t\\r') = '' THEN 0 ELSE 1 END::DOUBLE AS norm FROM documents")

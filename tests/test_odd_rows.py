@@ -20,3 +20,10 @@ def held(spark, sf, folder, name, texts):
 def test_titles_keep_line_breaks(spark, sf, tmp_path):
     texts = ["", "Den.\nEt", "", "", "\u00a0a\u3000 b", "", "", "\tab\u2028c", ("", "", "Src "), ("", " ", "src"), ("", None, ""), ("", "\n", "x")]
     held(spark, sf, tmp_path, "f32_titles", texts)
+
+
+BLANK = [None, "", " \t\r\n", "\f", "\v", "\u00a0", "\u2028 \u3000", "In. The.", "in. the. in. the.", "a tionsh b", "word"]
+
+
+def test_memo_has_a_vector_for_words_that_cancel(spark, sf, tmp_path):
+    held(spark, sf, tmp_path, "i1_embed_memo", BLANK * 2)
