@@ -203,7 +203,7 @@ def read_or_empty(spark, sf):
 @query("i3_embed_batched", "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND regexp_matches(coalesce(text, ''), '\\S') THEN 1 ELSE 0 END::DOUBLE AS norm FROM documents")
 def embed_batched(spark, sf):
     """Vectors in batches of 32; an absent text has a zero vector."""
-    rows = providers.embed(table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("text")), "text", providers.hashing_embedder(16))
+    rows = providers.embed(table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("text")), "text", providers.hashing_embedder(16, " \n\t\r\f"))
     return rows.select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 5).alias("norm"))
 
 

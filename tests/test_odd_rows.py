@@ -27,3 +27,7 @@ BLANK = [None, "", " \t\r\n", "\f", "\v", "\u00a0", "\u2028 \u3000", "In. The.",
 
 def test_memo_has_a_vector_for_words_that_cancel(spark, sf, tmp_path):
     held(spark, sf, tmp_path, "i1_embed_memo", BLANK * 2)
+
+
+def test_batches_have_a_vector_for_words_that_cancel(spark, sf, tmp_path):
+    held(spark, sf, tmp_path, "i3_embed_batched", BLANK * 2)
