@@ -29,6 +29,11 @@ def band(quality: Column) -> Column:
     return F.when(quality > 0.7, "resolved").when(quality > 0.4, "partial").otherwise("failed")
 
 
+def hundredths(c: Column) -> Column:
+    """Rounded to two places as SQL rounds a double: 0.285 is held as a little less and gives 0.28. F.round takes its shortest decimals and gives 0.29."""
+    return F.round(c * 100) / 100
+
+
 def response(df: DataFrame, answer: str = "answer", keywords: str = "keywords", least: int = 200, pass_at: float = 0.8) -> DataFrame:
     """Adds keyword_score, length_score, quality_score, is_fallback and passed."""
     a = F.coalesce(answer, F.lit(""))
@@ -41,7 +46,7 @@ def response(df: DataFrame, answer: str = "answer", keywords: str = "keywords",
     for p in D.FALLBACK_PHRASES:
         fallback = fallback | low.contains(p)
     quality = 0.7 * kw + 0.3 * length
-    out = df.withColumn("keyword_score", F.round(kw, 2)).withColumn("length_score", F.round(length, 2)).withColumn("quality_score", F.round(quality, 2)).withColumn("is_fallback", fallback)
+    out = df.withColumn("keyword_score", hundredths(kw)).withColumn("length_score", hundredths(length)).withColumn("quality_score", hundredths(quality)).withColumn("is_fallback", fallback)
     out = out.withColumn("passed", (quality >= pass_at) & (n >= least) & ~fallback)
     return out.withColumn("needs_fallback", ~F.col("passed"))
 

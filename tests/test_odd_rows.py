@@ -31,3 +31,7 @@ def test_memo_has_a_vector_for_words_that_cancel(spark, sf, tmp_path):
 
 def test_batches_have_a_vector_for_words_that_cancel(spark, sf, tmp_path):
     held(spark, sf, tmp_path, "i3_embed_batched", BLANK * 2)
+
+
+def test_the_better_arm_by_rounded_scores(spark, sf, tmp_path):
+    held(spark, sf, tmp_path, "z15_best_of", ["the " + "y" * (i // 12 % 196) for i in range(2400)])
