@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,10 +17,17 @@ RECURSIVE_SEPARATORS = ("\n\n", "\n    ", "\n  ", "\n", ". ", ", ", "; ", " ", "
 
 def semantic_split(text: str | None, least: int = 300, most: int = 800, overlap: int = 150) -> list[str]:
     """Pieces cut after the last separator between ``least`` and ``most`` with closed fences before it, else at ``most``."""
-    rest = text or ""
+    if len(text or "") <= most:
+        return [text or ""]
+    return [piece for piece in semantic_pieces(text, least, most, overlap) if piece]
+
+
+def semantic_pieces(text: str, least: int = 300, most: int = 800, overlap: int = 150, white: str | None = None) -> Iterator[str]:
+    """The pieces in order, blank ones too, without ``white`` at their ends; a text up to ``most`` is one, as it is."""
+    rest = text
     if len(rest) <= most:
-        return [rest]
-    out = []
+        yield rest
+        return
     while len(rest) > most:
         cut = most
         for sep in SEPARATORS:
@@ -26,12 +35,9 @@ def semantic_split(text: str | None, least: int = 300, most: int = 800, overlap:
             if at > least and rest[:at].count("```") % 2 == 0:
                 cut = at + len(sep)
                 break
-        piece = rest[:cut].strip()
-        if piece:
-            out.append(piece)
+        yield rest[:cut].strip(white)
         rest = rest[max(0, cut - overlap) :]
-    last = rest.strip()
-    return [*out, last] if last else out
+    yield rest.strip(white)
 
 
 def recursive_split(text: str | None, size: int = 300, overlap: int = 150, separators=RECURSIVE_SEPARATORS) -> list[str]:

@@ -321,8 +321,8 @@ def sql_chunks(spark, sf):
 @query("p1_sql_chunks_all", ORACLES["c2_semantic_split"])
 def sql_chunks_all(spark, sf):
     sql.register(spark)
-    table(spark, sf, "documents").createOrReplaceTempView("docengine_documents")
-    return spark.sql("select doc_id, chunk_index, chunk from docengine_documents, lateral semantic_chunks(text)")
+    # Not a view of a fixed name, which another call in the session could replace.
+    return spark.sql("select doc_id, chunk_index, chunk from {documents}, lateral semantic_chunks(text)", documents=table(spark, sf, "documents"))
 
 
 @query("p2_sql_markdown")

@@ -35,3 +35,8 @@ def test_batches_have_a_vector_for_words_that_cancel(spark, sf, tmp_path):
 
 def test_the_better_arm_by_rounded_scores(spark, sf, tmp_path):
     held(spark, sf, tmp_path, "z15_best_of", ["the " + "y" * (i // 12 % 196) for i in range(2400)])
+
+
+def test_sql_chunks_of_blank_parts(spark, sf, tmp_path):
+    texts = [None, "", " ", " " * 900, "\u00a0" + "a" * 900 + "\u2003", "a" * 350 + ". " + " " * 1600 + "b" * 400, "\n" * 900 + "x" * 300, "b" * 798 + ". c", "c" * 797 + ". d", "d" * 300 + ". " + "e" * 900, "\ud55c. " * 500, "f" * 800]
+    held(spark, sf, tmp_path, "p1_sql_chunks_all", texts)
