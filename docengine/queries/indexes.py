@@ -39,8 +39,8 @@ def block_postings(spark, sf):
 @query("k5_block_index", "WITH " + ORACLES["i5_bm25_index"].split("WITH ", 1)[1].rsplit(" SELECT ", 1)[0] + " SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term")
 def block_rows(spark, sf):
     """The saved blocks hold every posting once."""
-    posts = _blocks(spark, sf).blocks.select("term", F.explode("posts").alias("p"))
-    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("p.tf").alias("cf"))
+    counted = F.aggregate("posts", F.lit(0).cast("long"), lambda n, p: n + p["tf"])
+    return _blocks(spark, sf).blocks.groupBy("term").agg(F.sum(F.size("posts")).alias("df"), F.sum(counted).alias("cf"))
 
 
 @query("i13_hybrid_indexed", ORACLES["i13_hybrid_expanded"])
