@@ -45,6 +45,9 @@ def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, query
     """
     found = hybrid(chunks, embeddings, queries, query_vectors, fetch, fused, expand, **options)
     q = queries.select("query_id", X.tokens(F.col("text")).alias("base"), (X.expand(X.tokens(F.col("text")), F.col("text")) if expand else F.array_distinct(X.tokens(F.col("text")))).alias("expanded"), X.category_hint(F.col("text")).alias("hint"))
+    # The texts of what is found are read where they lie; else all texts would be shuffled.
+    few = queries.limit(lexical.BROADCAST_TERMS // fused + 1).count() <= lexical.BROADCAST_TERMS // fused
+    found = F.broadcast(found) if few else found
     words = [(F.col(c) if c in chunks.columns else F.array().cast("array<string>")).alias(c) for c in ("keywords", "synonyms")]
     rows = found.join(chunks.select("id", F.col("text").alias("content"), F.col("title"), F.col("category"), *words), "id").join(q, "query_id")
     scored = fusion.boost(rows).withColumn("score", F.round("boosted", 9))
